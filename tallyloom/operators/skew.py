@@ -3,7 +3,8 @@
 * ``pick`` reduces to one row per key with a combinable aggregate instead of sorting whole groups.
 * ``positions``, ``previous`` and ``running_total`` split each group into slices along its order,
   work inside a slice, and carry one summary row per slice across. ``slice_of`` must grow with the
-  order and bound the rows it holds (a range of a unique id, a time range).
+  order and bound the rows it holds (a range of a unique id, a time range); without it the slices are
+  the range partitions of (keys, order), written once so that every use sees the same cut.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.session import cut_lineage
+
 
 def pick(df: DataFrame, keys: Sequence[str], order: Column, *, last: bool = True) -> DataFrame:
     """The row of each key with the largest (or smallest) ``order``."""
@@ -21,15 +24,18 @@ def pick(df: DataFrame, keys: Sequence[str], order: Column, *, last: bool = True
     return df.groupBy(*keys).agg(chooser(row, order).alias("_row")).select("_row.*")
 
 
-def by_slice(df: DataFrame, slice_of: Column) -> DataFrame:
-    return df.withColumn("_slice", slice_of)
+def by_slice(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_of: Column | None) -> DataFrame:
+    if slice_of is not None:
+        return df.withColumn("_slice", slice_of)
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+    return cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()))
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_of: Column, name: str = "position"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_of: Column | None = None, name: str = "position"
 ) -> DataFrame:
     """Exact row number of each row within its key, starting at 1."""
-    df = by_slice(df, slice_of)
+    df = by_slice(df, keys, order, slice_of)
     sizes = df.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     walk = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(walk), F.lit(0)).alias("_start"))
@@ -41,10 +47,10 @@ def positions(
 
 
 def previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_of: Column, value: Column, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_of: Column | None, value: Column, name: str
 ) -> DataFrame:
     """``lag(value)`` over the whole key; ``order`` must be total."""
-    df = by_slice(df, slice_of).withColumn("_value", F.struct(value.alias("v")))
+    df = by_slice(df, keys, order, slice_of).withColumn("_value", F.struct(value.alias("v")))
     last = df.groupBy(*keys, "_slice").agg(F.max_by("_value", F.struct(*order)).alias("_last"))
     carried = last.select(
         *keys, "_slice", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carry")
@@ -57,10 +63,10 @@ def previous(
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_of: Column, value: Column, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_of: Column | None, value: Column, name: str
 ) -> DataFrame:
     """Sum of ``value`` up to and including the row, over the whole key."""
-    df = by_slice(df, slice_of).withColumn("_value", value)
+    df = by_slice(df, keys, order, slice_of).withColumn("_value", value)
     sums = df.groupBy(*keys, "_slice").agg(F.sum("_value").alias("_s"))
     walk = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*keys, "_slice", F.coalesce(F.sum("_s").over(walk), F.lit(0)).alias("_start"))

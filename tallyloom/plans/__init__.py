@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: list[str] = ["kpis"]
+MODULES: list[str] = ["kpis", "filters"]
 
 
 def load() -> None:

@@ -154,6 +154,32 @@ SELECT career_id, yr, 'SCIENTIFIC_OUTPUT' AS metric, 5 + career_id AS planned_va
 UNION ALL SELECT career_id, yr, 'ARTICLES', 3 + career_id FROM {v_career_years}
 UNION ALL SELECT career_id, yr, 'BOOKS', 2 + career_id FROM {v_career_years}
 UNION ALL SELECT career_id, yr, 'PROJECTS', 1 + career_id FROM {v_career_years}""",
+    "v_review_items": """
+SELECT event_id AS item_id, concat('caso-', CAST(event_id AS STRING)) AS public_id,
+  CASE event_type WHEN 'purchase' THEN 'product_validation' WHEN 'view' THEN 'identity_conflict' WHEN 'click' THEN 'project_director'
+    WHEN 'error' THEN 'possible_duplicate' ELSE 'external_institution' END AS case_type,
+  CASE event_type WHEN 'purchase' THEN 'scientific_productions' WHEN 'view' THEN 'person_roles' WHEN 'click' THEN 'research_entities'
+    WHEN 'error' THEN 'teachers' ELSE 'external_researchers' END AS target_table,
+  CAST(floor(event_id / 5) AS BIGINT) AS target_pk,
+  CASE WHEN value < 20 THEN 'pending' WHEN value < 50 THEN 'in_review' WHEN value < 80 THEN 'resolved' ELSE 'reopened' END AS case_status,
+  CASE WHEN user_id % 4 = 0 THEN NULL ELSE CAST(user_id % 7 AS INT) END AS manual_priority, CAST(floor(value) AS INT) AS automatic_priority,
+  concat('rev-', CAST(user_id AS STRING)) AS source_revision, CAST(floor(event_id / 5) AS BIGINT) AS document_id, ts AS created_at
+FROM {events}""",
+    "v_targets": """
+SELECT 'scientific_productions' AS target_table, production_id AS target_pk, job_id, title AS label FROM {v_productions}
+UNION ALL SELECT 'person_roles', role_id, job_id, canonical_name FROM {v_roles}
+UNION ALL SELECT 'research_entities', entity_id, job_id, name FROM {v_entities}
+UNION ALL SELECT 'teachers', teacher_id, job_id, full_name FROM {v_teachers}
+UNION ALL SELECT 'external_researchers', external_id, CAST(NULL AS BIGINT), full_name FROM {v_externals}""",
+    "v_users": """
+SELECT CAST(r_regionkey AS BIGINT) AS user_id, 'faculty_admin' AS role, CAST(r_regionkey AS BIGINT) AS faculty_id, CAST(NULL AS BIGINT) AS career_id FROM {region}
+UNION ALL SELECT 100 + CAST(n_nationkey AS BIGINT), 'career_manager', CAST(NULL AS BIGINT), CAST(n_nationkey AS BIGINT) FROM {nation}
+UNION ALL SELECT 1000 + CAST(n_nationkey AS BIGINT), 'teacher', CAST(n_regionkey AS BIGINT), CAST(n_nationkey AS BIGINT) FROM {nation}""",
+    "v_projects": """
+SELECT p_partkey AS project_id, concat(p_brand, '-', CAST(p_size AS STRING)) AS code, p_name AS name,
+  CAST((1995 + p_size % 7) * 10 + 1 + p_partkey % 2 AS BIGINT) AS period_id,
+  CASE p_type WHEN 'PROMO' THEN 'semillero' ELSE 'proyecto_fci' END AS entity_type, concat('Director ', p_brand) AS director_name
+FROM {part}""",
     "v_audit_events": """
 SELECT conv_id AS aggregate_key, turn AS seq, role AS event_type, text AS payload FROM {conversations}""",
     "v_reports": """
