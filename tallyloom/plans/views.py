@@ -88,7 +88,7 @@ SELECT o_orderkey AS role_id,
     WHEN o_orderpriority = '2-HIGH' THEN concat('pending:', CAST(o_custkey AS STRING), '-', CAST(month(o_orderdate) AS STRING))
     ELSE concat('teacher:', CAST(o_custkey AS STRING)) END AS canonical_key,
   concat('p', CAST(o_custkey AS STRING)) AS person_key,
-  concat('Persona ', CAST(o_custkey AS STRING)) AS canonical_name,
+  concat('Persona ', CAST(CAST(floor(o_custkey / 20) AS BIGINT) AS STRING)) AS canonical_name,
   o_totalprice > 300000 AS identity_locked, round(o_totalprice / 500000, 3) AS confidence,
   CASE WHEN o_totalprice > 400000 THEN 'clave exacta' ELSE NULL END AS reason,
   o_orderdate AS created_at
@@ -97,7 +97,7 @@ FROM {orders}""",
 SELECT p_partkey AS entity_id, p_name AS name, p_brand AS code,
   CASE p_type WHEN 'ECONOMY' THEN 'proyecto_fci' WHEN 'PROMO' THEN 'semillero' WHEN 'LARGE' THEN 'grupo_investigacion'
     WHEN 'SMALL' THEN 'linea_investigacion' ELSE 'otro' END AS entity_type,
-  p_size * 2.3 AS progress,
+  CAST(p_size * 2.3 AS DOUBLE) AS progress,
   CASE WHEN p_size % 3 = 0 THEN 'Aprobado' WHEN p_size % 3 = 1 THEN 'Vigente' ELSE 'en_proceso' END AS status,
   CASE WHEN p_size <= 30 THEN 'validated' WHEN p_size <= 42 THEN 'pending_review' ELSE 'discarded_invalid' END AS validation_status,
   concat('Licenciatura en Nation_', CAST(p_size % 25 AS STRING)) AS career_name,
@@ -129,6 +129,11 @@ SELECT doc_id AS case_id, doc_id AS target_id,
   CASE WHEN doc_id % 3 = 0 THEN concat('Nombre ', CAST(doc_id % 25 AS STRING)) ELSE NULL END AS identity_name,
   CASE WHEN doc_id % 2 = 0 THEN 'global_identity' ELSE 'record' END AS scope
 FROM {labels}""",
+    "v_files": """
+SELECT page_id AS file_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE concat('f', CAST(page_id % 60 AS STRING)) END AS external_id,
+  CASE WHEN page_id % 4 = 0 THEN NULL ELSE concat('r', CAST(page_id % 6 AS STRING)) END AS rev,
+  regexp_replace(url, '^https?://[^/]*', '') AS path, concat(' ', split_part(url, '/', 5), ' ') AS name, CAST(length(html) AS BIGINT) AS size_bytes
+FROM {pages}""",
     "v_traces": """
 SELECT doc_id AS trace_id, doc_id AS job_id, CAST(floor(doc_id / 2) AS BIGINT) AS report_id,
   concat('/Informes/', source, '/Doc ', CAST(doc_id % 40 AS STRING), '.pdf') AS source_path,
@@ -158,9 +163,9 @@ UNION ALL SELECT career_id, yr, 'PROJECTS', 1 + career_id FROM {v_career_years}"
 SELECT event_id AS item_id, concat('caso-', CAST(event_id AS STRING)) AS public_id,
   CASE event_type WHEN 'purchase' THEN 'product_validation' WHEN 'view' THEN 'identity_conflict' WHEN 'click' THEN 'project_director'
     WHEN 'error' THEN 'possible_duplicate' ELSE 'external_institution' END AS case_type,
-  CASE event_type WHEN 'purchase' THEN 'scientific_productions' WHEN 'view' THEN 'person_roles' WHEN 'click' THEN 'research_entities'
-    WHEN 'error' THEN 'teachers' ELSE 'external_researchers' END AS target_table,
-  CAST(floor(event_id / 5) AS BIGINT) AS target_pk,
+  CASE event_type WHEN 'purchase' THEN 'scientific_productions' WHEN 'view' THEN 'teachers' WHEN 'click' THEN 'research_entities'
+    WHEN 'error' THEN 'person_roles' ELSE 'external_researchers' END AS target_table,
+  CASE event_type WHEN 'error' THEN event_id ELSE CAST(floor(event_id / 5) AS BIGINT) END AS target_pk,
   CASE WHEN value < 20 THEN 'pending' WHEN value < 50 THEN 'in_review' WHEN value < 80 THEN 'resolved' ELSE 'reopened' END AS case_status,
   CASE WHEN user_id % 4 = 0 THEN NULL ELSE CAST(user_id % 7 AS INT) END AS manual_priority, CAST(floor(value) AS INT) AS automatic_priority,
   concat('rev-', CAST(user_id AS STRING)) AS source_revision, CAST(floor(event_id / 5) AS BIGINT) AS document_id, ts AS created_at
@@ -180,6 +185,16 @@ SELECT p_partkey AS project_id, concat(p_brand, '-', CAST(p_size AS STRING)) AS
   CAST((1995 + p_size % 7) * 10 + 1 + p_partkey % 2 AS BIGINT) AS period_id,
   CASE p_type WHEN 'PROMO' THEN 'semillero' ELSE 'proyecto_fci' END AS entity_type, concat('Director ', p_brand) AS director_name
 FROM {part}""",
+    "v_mention_names": """
+SELECT teacher_id AS mention_id, CAST(floor(teacher_id / 5) AS BIGINT) AS document_id,
+  CASE teacher_id % 4
+    WHEN 0 THEN full_name
+    WHEN 1 THEN concat(split_part(full_name, ' ', 3), ' ', split_part(full_name, ' ', 4), ' ', split_part(full_name, ' ', 1), ' ', split_part(full_name, ' ', 2))
+    WHEN 2 THEN concat(split_part(full_name, ' ', 3), ' de ', split_part(full_name, ' ', 1), ' ', split_part(full_name, ' ', 2))
+    ELSE concat(split_part(full_name, ' ', 3), ' ', split_part(full_name, ' ', 4), 'X ', lower(split_part(full_name, ' ', 1)), ' ', split_part(full_name, ' ', 2)) END AS raw_name,
+  concat(split_part(full_name, ' ', 3), ' ', split_part(full_name, ' ', 4), ' ', split_part(full_name, ' ', 1), ' ', split_part(full_name, ' ', 2)) AS official_name,
+  career_id, segment
+FROM {v_teachers}""",
     "v_audit_events": """
 SELECT conv_id AS aggregate_key, turn AS seq, role AS event_type, text AS payload FROM {conversations}""",
     "v_reports": """
