@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: list[str] = ["kpis", "filters", "joins", "versions", "sources", "sets"]
+MODULES: list[str] = ["kpis", "filters", "joins", "versions", "sources", "sets", "text"]
 
 
 def load() -> None:

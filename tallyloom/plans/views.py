@@ -202,11 +202,11 @@ SELECT doc_id, lang, source, concat('Formulario de informe', chr(10),
   'Periodo: 2025 ciclo ', CASE WHEN doc_id % 2 = 0 THEN 'II' ELSE 'I' END, chr(10),
   '13. Investigadores que participan en el proyecto', chr(10), 'ANA MARÍA PAREDES RUIZ', chr(10),
   'FACULTAD DE CIENCIAS ADMINISTRATIVAS', chr(10), 'CARRERA DE NATION_', CAST(doc_id % 25 AS STRING), chr(10),
-  'PROYECTOS FCI', chr(10), 'FCI-', CAST(100 + doc_id % 900 AS STRING), '-2025', chr(10),
-  'Gestion de recursos ', lang, chr(10), 'ROSA ELENA MENA VERA', chr(10), CAST(doc_id % 101 AS STRING), '%', chr(10), 'VIGENTE', chr(10),
+  'PROYECTOS FCI', chr(10), 'FCI', CAST(100 + doc_id % 900 AS STRING), '-2025', chr(10),
+  'Gestion de recursos ', lang, chr(10), 'ROSA ELENA MENA VERA', chr(10), '[[PAGE_BREAK:4]]', chr(10), CAST(doc_id % 101 AS STRING), '%', chr(10), 'VIGENTE', chr(10),
   'Producción científica impacto mundial y regional', chr(10),
   'Analisis de la gestion financiera en empresas ', lang, ' ', source, chr(10),
-  'LUIS JOSE ROJAS LEON', chr(10), CASE WHEN doc_id % 2 = 0 THEN 'PUBLICADO' ELSE 'EN REVISION' END, chr(10), 'Evidencias', chr(10),
+  'LUIS JOSE ROJAS LEON', chr(10), CASE WHEN doc_id % 2 = 0 THEN 'PUBLICADO' ELSE 'EN REVISION' END, chr(10), '[[PAGE_BREAK]]', chr(10), 'Impacto regional', chr(10), 'Evidencias', chr(10),
   text) AS text
 FROM {documents}""",
 }
@@ -354,6 +354,21 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY yr, cycle, dkey ORDER B
     concat_ws('|', 'SIGNATURE', yr, cycle, trim(regexp_replace(upper(career_name), ' +', ' ', 'g')), upper(teacher_name), articles, books, book_chapters, presentations, projects)) AS dkey
   FROM {v_progress} p LEFT JOIN (SELECT report_id, arg_max(source_path, trace_id) AS source_path, arg_max(review_status, trace_id) AS review_status FROM {v_traces} GROUP BY 1) t ON t.report_id = p.report_id
   WHERE p.job_id IN (SELECT job_id FROM {x_current})) k) q WHERE rn = 1""",
+    "x_raw_lines": r"""
+SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no FROM (SELECT doc_id,
+  list_filter(list_transform(string_split_regex(regexp_replace(text, '[\x00-\x08\x0b\x0e-\x1f]', '', 'g'), '\r\n|[\n\r]'),
+    lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM {v_reports}) d""",
+    "x_lines": r"""
+SELECT doc_id, line, line_no, CASE WHEN base IS NULL AND cum = 0 THEN NULL ELSE coalesce(base, 1) + CAST(cum - coalesce(at_base, 0) AS INT) END AS page
+FROM (SELECT *, last_value(p IGNORE NULLS) OVER w AS base, last_value(CASE WHEN p IS NOT NULL THEN cum END IGNORE NULLS) OVER w AS at_base FROM (
+  SELECT *, sum(CASE WHEN line = '[[PAGE_BREAK]]' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS cum,
+    CAST(coalesce(nullif(regexp_extract(line, '^\[\[PAGE_BREAK:(\d+)\]\]$', 1), ''), nullif(regexp_extract(upper(line), '^(\d+)\s+DE\s+\d+$', 1), ''), nullif(regexp_extract(line, '^(\d+)/\d+$', 1), '')) AS INT) AS p
+  FROM {x_raw_lines}) a WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)) b""",
+    "x_sections": """
+SELECT s.doc_id, s.kind, s.page, least(coalesce(lead(s.line_no) OVER (PARTITION BY s.doc_id ORDER BY s.line_no), e.last + 1), e.stop) - s.line_no - 1 AS line_count
+FROM (SELECT doc_id, line_no, page, CASE WHEN starts_with(line, '13. Investigadores') THEN 'integrantes_internos' WHEN line = 'PROYECTOS FCI' THEN 'proyectos_fci' ELSE 'produccion_cientifica' END AS kind
+  FROM {x_lines} WHERE line IN ('13. Investigadores que participan en el proyecto', 'PROYECTOS FCI', 'Producción científica impacto mundial y regional')) s
+JOIN (SELECT doc_id, max(line_no) AS last, min(CASE WHEN line = 'Evidencias' THEN line_no END) AS stop FROM {x_lines} GROUP BY 1) e ON e.doc_id = s.doc_id""",
     "x_career_keys": """
 SELECT career_id, name, trim(regexp_replace(replace(replace(strip_accents(upper(name)), 'LICENCIATURA EN ', ''), 'LICENCIATURA ', ''), '\\s+', ' ', 'g')) AS ck FROM {v_careers}""",
     "x_entity_careers": """
