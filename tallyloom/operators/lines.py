@@ -17,7 +17,7 @@ from tallyloom.functions import wordlists as W
 from tallyloom.functions.stage import put
 from tallyloom.functions.fuzzy import set_ratio
 from tallyloom.functions.people import has_piece
-from tallyloom.functions.text import collapse, fix_mojibake, parser_key
+from tallyloom.functions.text import fix_mojibake, strip_accents
 
 PAGE_MARK = r"(?i)^\[\[PAGE_BREAK(?::\d+)?\]\]$"
 ACCEPT, REVIEW = 90.0, 75.0  # scores from which a heading is taken, and is taken without review
@@ -30,20 +30,31 @@ def clean_text(value: Column) -> Column:
 
 
 def split_lines(value: Column) -> Column:
+    """Non-empty lines with single spaces; the text is cleaned as a whole before it is split."""
     marked = F.replace(clean_text(value), F.lit("\f"), F.lit("\n[[PAGE_BREAK]]\n"))
-    return F.filter(F.transform(F.split(marked, "\r\n|[\n\r\u0085\u2028\u2029]"), collapse), lambda x: x != "")
+    spaced = F.regexp_replace(marked, "[\\s\u00a0&&[^\n\r\u0085\u2028\u2029]]+", " ")
+    return F.filter(F.transform(F.split(spaced, "\r\n|[\n\r\u0085\u2028\u2029]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def line_keys(lines: Column) -> Column:
+    """``parser_key`` of every line, worked out over the joined lines at once."""
+    joined = strip_accents(F.upper(F.array_join(lines, "\n")))
+    plain = F.regexp_replace(joined, r"[^A-Z0-9%./:\-\n]+", " ")
+    return F.when(F.size(lines) > 0, F.transform(F.split(plain, "\n"), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
 
 
 def with_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``lines``, their ``keys`` and the page marks of each document."""
-    df = docs.transform(put, "lines", split_lines(F.col(text))).transform(put, "keys", F.transform("lines", parser_key))
+    df = docs.transform(put, "lines", split_lines(F.col(text))).transform(put, "keys", line_keys(F.col("lines")))
     number = lambda line, key: F.coalesce(
         F.nullif(F.regexp_extract(line, r"(?i)^\[\[PAGE_BREAK:(\d+)\]\]$", 1), F.lit("")),
-        F.nullif(F.regexp_extract(key, r"^(\d+)\s+DE\s+\d+$", 1), F.lit("")),
-        F.nullif(F.regexp_extract(key, r"^(\d+)/\d+$", 1), F.lit("")),
+        F.nullif(F.regexp_extract(key, r"^(\d+)(?:\s+DE\s+|/)\d+$", 1), F.lit("")),
     )
-    marks = F.transform("lines", lambda x, i: F.struct(
-        i.alias("at"), number(x, F.get(F.col("keys"), i)).try_cast("int").alias("page"), x.rlike(r"(?i)^\[\[PAGE_BREAK\]\]$").alias("implied")))
+    maybe = F.filter(
+        F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"), F.get(F.col("keys"), i).alias("key"))),
+        lambda r: r["line"].startswith("[[") | r["key"].rlike(r"^\d+(?:\s+DE\s+|/)\d+$"))
+    marks = F.transform(maybe, lambda r: F.struct(
+        r["at"].alias("at"), number(r["line"], r["key"]).try_cast("int").alias("page"), r["line"].rlike(r"(?i)^\[\[PAGE_BREAK\]\]$").alias("implied")))
     return df.transform(put, "marks", F.filter(marks, lambda m: m["page"].isNotNull() | m["implied"]))
 
 
@@ -109,13 +120,14 @@ def with_sections(docs: DataFrame, text: str = "text") -> DataFrame:
     A heading holds a known title of twelve characters or more, is no column header and no end marker.
     """
     df = with_lines(docs, text)
-    heading_key = F.transform("lines", lambda x: parser_key(F.regexp_replace(x, r"^\d{1,2}\.\s*", "")))
-    df = df.transform(put, "_hk", heading_key)
     long_aliases = tuple(a for _k, a in _alias_keys() if len(a) >= 12)
-    is_heading = lambda k: (
-        (F.length(k) >= 12) & has_piece(k, long_aliases) & ~k.isin(*W.TABLE_HEADERS) & ~has_piece(k, W.NEGATIVE_MARKERS))
-    spots = F.filter(F.transform("_hk", lambda k, i: F.struct(i.alias("at"), k.alias("key"))), lambda s: is_heading(s["key"]))
-    df = df.transform(put, "_spots", spots)
+    near = F.filter(
+        F.transform("keys", lambda k, i: F.struct(i.alias("at"), k.alias("key"))), lambda s: (F.length(s["key"]) >= 12) & has_piece(s["key"], long_aliases))
+    df = df.transform(put, "_near", near)
+    numbered = F.transform("_near", lambda s: F.struct(s["at"].alias("at"), F.when(
+        F.get("lines", s["at"]).rlike(r"^\d{1,2}\."), F.regexp_replace(s["key"], r"^\d{1,2}\.\s*", "")).otherwise(s["key"]).alias("key")))
+    df = df.transform(put, "_spots", F.filter(numbered, lambda s: (
+        (F.length(s["key"]) >= 12) & ~s["key"].isin(*W.TABLE_HEADERS) & ~has_piece(s["key"], W.NEGATIVE_MARKERS))))
     df = df.transform(put, "_found", F.when(F.size("_spots") > 0, _headings(F.transform("_spots", lambda s: s["key"]))))
     starts = F.filter(F.transform("_spots", lambda s, i: F.struct(
         s["at"].alias("at"), F.get("_found", i)["kind"].alias("kind"), F.get("_found", i)["score"].alias("score"))), lambda s: s["score"] >= REVIEW)
@@ -131,7 +143,7 @@ def with_sections(docs: DataFrame, text: str = "text") -> DataFrame:
             page_at(F.col("marks"), s["at"]).alias("page"), (s["score"] < ACCEPT).alias("requires_review"),
             F.slice("lines", s["at"] + 2, size).alias("lines"), F.slice("keys", s["at"] + 2, size).alias("keys"))
 
-    return df.transform(put, "sections", F.transform("_starts", section)).drop("_hk", "_spots", "_found", "_starts", "_ends")
+    return df.transform(put, "sections", F.transform("_starts", section)).drop("_near", "_spots", "_found", "_starts", "_ends")
 
 
 def section_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

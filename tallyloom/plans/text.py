@@ -67,7 +67,7 @@ def _general_docs(t):
 
 
 @query("t06_labelled_values", """
-SELECT doc_id, concat('FCI-', doc_id % 90 + 10, '-2024') AS code, concat('Gestion de ', source, ' en la region ', lang) AS title, 'Rosa Elena Mena Vera' AS director, 'Convocatoria 2023' AS year FROM documents""")
+SELECT doc_id, concat('FCI-', doc_id % 90 + 10, '-2024 Titulo del proyecto Gestion de ', source, ' en la region ', lang) AS code, concat('Gestion de ', source, ' en la region ', lang) AS title, 'Rosa Elena Mena Vera' AS director, 'Convocatoria 2023' AS year FROM documents""")
 def _(t):
     df = extract.general_data(lines.with_lines(_general_docs(t)))
     return df.select("doc_id", *[F.col(f"label_{c}").alias(c) for c in ("code", "title", "director", "year")])
@@ -199,7 +199,7 @@ def _(t):
 
 
 @query("t20_title_cleaning", """
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('Analisis de la gestion en ', source) WHEN 1 THEN concat('Estudio de empresas de la region ', source) ELSE 'Modelo de gestion para el puerto' END AS clean_title FROM documents""")
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('Analisis de la gestion en ', source, ' Luis R') WHEN 1 THEN concat('Estudio de empresas de la region ', source, ' - Public') ELSE 'Modelo de gestion para el puerto' END AS clean_title FROM documents""")
 def _(t):
     mod = F.col("doc_id") % 3
     title = F.when(mod == 0, F.concat(F.lit("Analisis de la gestion en "), "source", F.lit(" Luis Rojas Leon 2024"))).when(
