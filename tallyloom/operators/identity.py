@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tallyloom.functions.fuzzy import token_set_ratio, token_share
@@ -74,25 +75,34 @@ def _set_key(tokens: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(tokens)), " ")
 
 
-def _starts(tokens: Column) -> Column:
-    """Pairs of token beginnings: names that share most of their tokens share one."""
-    heads = F.array_sort(F.array_distinct(F.transform(F.filter(tokens, lambda t: F.length(t) > 1), lambda t: F.substring(t, 1, 3))))
-    pairs = F.flatten(F.transform(heads, lambda a: F.transform(F.filter(heads, lambda b: b > a), lambda b: F.concat(a, F.lit(" "), b))))
-    return F.when(F.size(heads) >= 2, pairs).otherwise(heads)
+def _heads(tokens: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(F.filter(tokens, lambda t: F.length(t) > 1), lambda t: F.substring(t, 1, 3))))
 
 
-@pandas_udf("double")
+def _near_keys(tokens: Column) -> Column:
+    """Sets of token beginnings as large as the number of tokens a similar name has to share."""
+    n = F.size(F.filter(tokens, lambda t: F.length(t) > 1))
+    need = F.least(F.ceil(n * 0.72).cast("int"), F.size(_heads(tokens)))
+    return F.filter(_subsets(_heads(tokens)), lambda k: F.size(F.split(k, " ")) == need)
+
+
+@pandas_udf(T.DoubleType())
 def _sequence(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)], dtype="float64")
 
 
+def _project_keys(codes: Column, tokens: Column) -> Column:
+    plain = F.filter(F.transform(codes, lambda c: F.replace(alnum_key(c), F.lit(" "), F.lit(""))), lambda c: c != "")
+    return F.flatten(F.transform(plain, lambda c: F.transform(_heads(tokens), lambda h: F.concat(F.lit("c:"), c, F.lit(" "), h))))
+
+
 def seed_matches(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
     """Compatible (candidate, record) pairs with match type, confidence and decision.
 
     ``candidates`` holds (candidate_id, name, identity_number, project_codes, role_words). A pair is built
-    only where an identity number, a spelling, a beginning of a spelling, a token subset or a pair of
-    token beginnings is equal, so the join keys carry the rules. Every rule but the looser similarity
-    ones is complete.
+    only where an identity number, a spelling, a beginning of a spelling, a token subset or enough
+    token beginnings are equal, so the join keys carry the rules. Every rule but the looser similarity
+    ones is complete: those need their tokens to begin alike, or a project code and one such token.
     """
     c = candidates.transform(put, "_key", name_key(F.col("name")))
     c = c.transform(put, "_tokens", F.filter(F.split("_key", " "), lambda t: t != "")).withColumn(
@@ -102,7 +112,7 @@ def seed_matches(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
     c_keys = F.concat(
         tagged("i:", one(F.col("_digits"))), tagged("a:", F.array("_key")),
         F.when(F.size("_tokens") >= 2, F.concat(tagged("p:", F.array("_key")), tagged("s:", F.array(_set_key(F.col("_tokens")))))).otherwise(F.array().cast("array<string>")),
-        tagged("f:", _starts(F.col("_tokens"))), F.when(F.size("_tokens") == 1, tagged("t:", F.col("_tokens"))).otherwise(F.array().cast("array<string>")))
+        tagged("f:", _near_keys(F.col("_tokens"))), _project_keys(F.col("project_codes"), F.col("_tokens")), F.when(F.size("_tokens") == 1, tagged("t:", F.col("_tokens"))).otherwise(F.array().cast("array<string>")))
     left = c.select("candidate_id", F.explode(F.array_distinct(c_keys)).alias("block"))
 
     spellings = F.transform("alias_keys", lambda a: F.split(a, " "))
@@ -110,7 +120,8 @@ def seed_matches(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
         F.filter(F.sequence(F.lit(1), F.length(a)), lambda n: (n > F.length(F.substring_index(a, " ", 1)) + 1) & (n < F.length(a))), lambda n: F.substring(a, F.lit(1), n)))))
     s_keys = F.concat(
         tagged("i:", one(F.col("identity_digits"))), tagged("a:", F.col("alias_keys")), tagged("p:", beginnings),
-        tagged("s:", F.flatten(F.transform(spellings, _subsets))), tagged("f:", _starts(F.split("normalized_name", " "))),
+        tagged("s:", F.flatten(F.transform(spellings, _subsets))), tagged("f:", _subsets(_heads(F.split("normalized_name", " ")))),
+        _project_keys(F.array("project_code"), F.split("normalized_name", " ")),
         tagged("t:", F.split("normalized_name", " ")))
     right = seeds.select("record_id", F.explode(F.array_distinct(s_keys)).alias("block"))
     pairs = left.join(right, "block").select("candidate_id", "record_id").distinct()
@@ -319,9 +330,11 @@ def evidence_components(roles: DataFrame, authors: DataFrame, most_rounds: int =
     parts = F.array_distinct(F.concat(_subsets(F.col("t")), whole))
 
     def points(full: DataFrame, within: DataFrame, tag: str) -> DataFrame:
-        one = full.select("entry", F.concat_ws("|", F.lit(tag), "relation", F.explode(whole)).alias("point"), F.lit(1).alias("side"))
-        two = within.select("entry", F.concat_ws("|", F.lit(tag), "relation", F.explode(parts)).alias("point"), F.lit(2).alias("side"))
-        return one.union(two)
+        def at(df: DataFrame, keys: Column, side: int) -> DataFrame:
+            return df.select("entry", "relation", F.explode(keys).alias("k")).select(
+                "entry", F.concat_ws("|", F.lit(tag), "relation", "k").alias("point"), F.lit(side).alias("side"))
+
+        return at(full, whole, 1).union(at(within, parts, 2))
 
     links = points(r, a, "r").union(points(a, r, "a")).distinct()
     live = links.groupBy("point").agg(F.min("side").alias("x"), F.max("side").alias("y")).filter("x <> y").select("point")
