@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: list[str] = ["kpis", "filters", "joins", "versions", "sources", "sets", "text", "identity"]
+MODULES: list[str] = ["kpis", "participants", "filters", "joins", "versions", "sources", "sets", "text", "identity"]
 
 
 def load() -> None:
