@@ -1,7 +1,7 @@
 """Grouped picks and ordered walks that hold when one key owns a large share of the rows.
 
 * ``pick`` reduces to one row per key with a combinable aggregate instead of sorting whole groups.
-* ``positions``, ``previous`` and ``running_total`` split each group into slices along its order,
+* ``positions``, ``previous`` and ``running`` split each group into slices along its order,
   work inside a slice, and carry one summary row per slice across. ``slice_of`` must grow with the
   order and bound the rows it holds (a range of a unique id, a time range); without it the slices are
   the range partitions of (keys, order), written once so that every use sees the same cut.
@@ -62,19 +62,20 @@ def previous(
     ).drop("_slice", "_value", "_lag", "_carry")
 
 
-def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_of: Column | None, value: Column, name: str
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_of: Column | None, value: Column, name: str,
+    how=F.sum,
 ) -> DataFrame:
-    """Sum of ``value`` up to and including the row, over the whole key."""
+    """Sum (or ``F.min``, ``F.max``) of ``value`` up to and including the row, over the whole key."""
     df = by_slice(df, keys, order, slice_of).withColumn("_value", value)
-    sums = df.groupBy(*keys, "_slice").agg(F.sum("_value").alias("_s"))
+    totals = df.groupBy(*keys, "_slice").agg(how("_value").alias("_t"))
     walk = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*keys, "_slice", F.coalesce(F.sum("_s").over(walk), F.lit(0)).alias("_start"))
+    starts = totals.select(*keys, "_slice", how("_t").over(walk).alias("_start"))
     inner = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = df.withColumn("_sum", F.sum("_value").over(inner))
-    return _rejoin(summed, starts, keys).withColumn(
-        name, F.col("_start") + F.col("_sum")
-    ).drop("_slice", "_value", "_sum", "_start")
+    joined = _rejoin(df.withColumn("_inner", how("_value").over(inner)), starts, keys)
+    both = {F.min: F.least, F.max: F.greatest}.get(how)
+    result = both("_start", "_inner") if both else F.coalesce("_start", F.lit(0)) + F.coalesce("_inner", F.lit(0))
+    return joined.withColumn(name, result).drop("_slice", "_value", "_inner", "_start")
 
 
 def _rejoin(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:

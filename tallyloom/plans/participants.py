@@ -138,7 +138,7 @@ def _(t):
 
 
 @query("p14_production_view", f"""
-SELECT p.production_id, CASE WHEN {GONE.format('p.eff')} THEN 'discarded' WHEN p.is_valid THEN 'eligible' ELSE 'pending' END AS visibility, a.author_id, coalesce(r.key, coalesce(a.canonical_key, concat('legacy-author:', a.author_id))) AS author_key
+SELECT p.production_id, CASE WHEN {GONE.format('p.eff')} THEN 'discarded' WHEN p.is_valid THEN 'eligible' ELSE 'pending' END AS visibility, a.author_id, coalesce(r.key, a.canonical_key, 'legacy-author:' || a.author_id) AS author_key
 FROM x_productions p LEFT JOIN v_authors a ON a.production_id = p.production_id LEFT JOIN x_resolved r ON r.source_table = 'scientific_production_authors' AND r.source_id = a.author_id""")
 def _(t):
     from tallyloom.operators.scope import visibility

@@ -161,11 +161,11 @@ UNION ALL SELECT career_id, yr, 'BOOKS', 2 + career_id FROM {v_career_years}
 UNION ALL SELECT career_id, yr, 'PROJECTS', 1 + career_id FROM {v_career_years}""",
     "v_review_items": """
 SELECT event_id AS item_id, concat('caso-', CAST(event_id AS STRING)) AS public_id,
-  CASE event_type WHEN 'purchase' THEN 'product_validation' WHEN 'view' THEN 'identity_conflict' WHEN 'click' THEN 'project_director'
-    WHEN 'error' THEN 'possible_duplicate' ELSE 'external_institution' END AS case_type,
-  CASE event_type WHEN 'purchase' THEN 'scientific_productions' WHEN 'view' THEN 'teachers' WHEN 'click' THEN 'research_entities'
-    WHEN 'error' THEN 'person_roles' ELSE 'external_researchers' END AS target_table,
-  CASE event_type WHEN 'error' THEN event_id ELSE CAST(floor(event_id / 5) AS BIGINT) END AS target_pk,
+  CASE event_type WHEN 'error' THEN 'product_validation' WHEN 'view' THEN 'identity_conflict' WHEN 'click' THEN 'project_director'
+    WHEN 'purchase' THEN 'possible_duplicate' ELSE 'external_institution' END AS case_type,
+  CASE event_type WHEN 'error' THEN 'scientific_productions' WHEN 'view' THEN 'teachers' WHEN 'click' THEN 'research_entities'
+    WHEN 'purchase' THEN 'person_roles' ELSE 'external_researchers' END AS target_table,
+  CASE event_type WHEN 'purchase' THEN event_id ELSE CAST(floor(event_id / 5) AS BIGINT) END AS target_pk,
   CASE WHEN value < 20 THEN 'pending' WHEN value < 50 THEN 'in_review' WHEN value < 80 THEN 'resolved' ELSE 'reopened' END AS case_status,
   CASE WHEN user_id % 4 = 0 THEN NULL ELSE CAST(user_id % 7 AS INT) END AS manual_priority, CAST(floor(value) AS INT) AS automatic_priority,
   concat('rev-', CAST(user_id AS STRING)) AS source_revision, CAST(floor(event_id / 5) AS BIGINT) AS document_id, ts AS created_at
@@ -195,6 +195,12 @@ SELECT teacher_id AS mention_id, CAST(floor(teacher_id / 5) AS BIGINT) AS docume
   concat(split_part(full_name, ' ', 3), ' ', split_part(full_name, ' ', 4), ' ', split_part(full_name, ' ', 1), ' ', split_part(full_name, ' ', 2)) AS official_name,
   career_id, segment
 FROM {v_teachers}""",
+    "v_decision_log": """
+SELECT conv_id AS case_id, turn + 1 AS seq, role, CASE WHEN turn % 3 = 2 THEN 'revert' WHEN turn % 2 = 0 THEN 'approve' ELSE 'correct' END AS action,
+  CASE WHEN turn % 3 = 2 THEN turn ELSE NULL END AS reverts_seq, CAST(length(text) AS BIGINT) AS value,
+  CASE WHEN conv_id % 3 = 0 THEN turn + 1 ELSE CAST(floor(turn / 2) AS INT) + 1 END AS expected_version,
+  CASE turn WHEN 0 THEN 'pending' WHEN 1 THEN 'in_review' WHEN 2 THEN 'resolved' WHEN 3 THEN 'pending' WHEN 4 THEN 'in_review' WHEN 5 THEN 'conflicted' WHEN 6 THEN 'resolved' ELSE 'superseded' END AS case_status
+FROM {conversations}""",
     "v_audit_events": """
 SELECT conv_id AS aggregate_key, turn AS seq, role AS event_type, text AS payload FROM {conversations}""",
     "v_reports": """
