@@ -372,6 +372,33 @@ def product_records(blocks: DataFrame) -> DataFrame:
                      (status == "validado").alias("kpi_eligible"), "quality", "quality_reason", missing.alias("fields_missing"))
 
 
+PRODUCT_LABELS = {"title": ("TITULO",), "authors": ("AUTOR", "AUTOR 1", "AUTOR 2", "AUTOR 3", "AUTOR 4", "AUTOR 5"), "status": ("ESTADO",), "impact": ("IMPACTO",), "link": ("LINK",)}
+
+
+def label_products(sections: DataFrame, key: str) -> DataFrame:
+    """Products laid out as label and value lines, one block per title label; page marks inside a block are skipped."""
+    labels = tuple(x for group in PRODUCT_LABELS.values() for x in group)
+    pairs = F.zip_with("lines", "keys", lambda a, b: F.struct(a.alias("line"), b.alias("key")))
+    useful = F.filter(pairs, lambda r: r["key"].isin(*labels) | ~is_skipped(r["line"], r["key"]))
+    df = sections.filter("kind = 'produccion_cientifica'").transform(put, "rows", useful)
+    df = df.transform(put, "_at", F.filter(F.transform("rows", lambda r, i: F.when(r["key"].isin(*PRODUCT_LABELS["title"]), i)), lambda i: i.isNotNull()))
+    df = df.select(key, "section_no", "rows", "_at", F.posexplode("_at").alias("product_no", "_from"))
+    end = F.coalesce(F.get("_at", F.col("product_no") + 1), F.size("rows"))
+    df = df.transform(put, "_block", F.slice("rows", F.col("_from") + 1, end - F.col("_from")))
+    df = df.transform(put, "_labels", F.filter(F.transform("_block", lambda r, i: F.when(r["key"].isin(*labels), F.struct(i.alias("at"), r["key"].alias("key")))), lambda x: x.isNotNull()))
+
+    def values(names: tuple[str, ...]) -> Column:
+        stop = lambda n: F.coalesce(F.get("_labels", n + 1)["at"], F.size("_block"))
+        texts = F.transform("_labels", lambda x, n: F.when(
+            x["key"].isin(*names), titles.join_wrapped(F.transform(F.slice("_block", x["at"] + 2, stop(n) - x["at"] - 1), lambda r: r["line"]))))
+        return F.filter(texts, lambda v: v.isNotNull() & (v != ""))
+
+    first = lambda name: F.get(values(PRODUCT_LABELS[name]), F.lit(0))
+    df = df.transform(put, "title", F.coalesce(first("title"), F.lit(""))).filter("title <> ''")
+    return df.select(key, "section_no", "product_no", "title", F.transform(values(PRODUCT_LABELS["authors"]), P.person_display).alias("authors"),
+                     P.product_status(first("status")).alias("status"), P.impact_of(first("impact")).alias("impact"), first("link").alias("link"))
+
+
 def interchange_rows(sections: DataFrame, key: str) -> DataFrame:
     """Faculty, type and title triples; a taken triple is not read again."""
     df = _rows(sections, "intercambios").transform(put, "_n", F.size("rows")).filter("_n >= 3")
