@@ -16,7 +16,6 @@ from tallyloom.plans.registry import query
 from tallyloom.plans.text import _general_docs, _sections
 from tallyloom.session import cut_lineage
 
-ONE = F.lit(1)
 
 
 def _chain(t):
@@ -55,7 +54,7 @@ LEFT JOIN (SELECT job_id, max(trace_id) AS trace_id, arg_max(n_chars, trace_id)
 def _(t):
     newest = t.traces.groupBy("job_id").agg(F.max("trace_id").alias("trace_id"), F.max_by("n_chars", "trace_id").alias("n_chars"))
     rows = t.jobs.select("job_id", "batch_id").join(newest, "job_id", "left").join(t.productions.select("job_id", "production_id"), "job_id", "left")
-    return rows.groupBy("batch_id").agg(F.count(ONE).alias("jobs"), F.count("trace_id").alias("traced"), F.coalesce(F.sum("n_chars"), F.lit(0)).cast("long").alias("chars"), F.count("production_id").alias("productions"))
+    return rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("jobs"), F.count("trace_id").alias("traced"), F.coalesce(F.sum("n_chars"), F.lit(0)).cast("long").alias("chars"), F.count("production_id").alias("productions"))
 
 
 @query("au09_participants_audit", """
@@ -69,7 +68,7 @@ def _(t):
 @query("au10_normalization_audit", """
 SELECT entity_type, action, count(*) AS n, count(DISTINCT upper(raw_value)) AS distinct_values, count(record_id) AS linked FROM v_audits GROUP BY 1, 2""")
 def _(t):
-    return t.audits.groupBy("entity_type", "action").agg(F.count(ONE).alias("n"), F.count_distinct(upper_key(F.col("raw_value"))).alias("distinct_values"), F.count("record_id").alias("linked"))
+    return t.audits.groupBy("entity_type", "action").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(upper_key(F.col("raw_value"))).alias("distinct_values"), F.count("record_id").alias("linked"))
 
 
 @query("au11_reconciliation_audit", """
@@ -78,12 +77,12 @@ LEFT JOIN v_progress p ON p.report_id = t.report_id LEFT JOIN x_progress_kept k
 def _(t):
     shown = kpis.dedupe_progress(t.progress.join(Facts(t).current, "job_id", "left_semi"), t.traces).select("report_id", F.lit(True).alias("_shown"))
     linked = t.traces.select("trace_id", "report_id", "lang").join(t.progress.select("report_id", F.lit(True).alias("_linked")), "report_id", "left").join(shown, "report_id", "left")
-    base = linked.groupBy("lang").agg(F.count(ONE).alias("documents"), F.count_if("_shown").alias("shown"), F.count_if(F.col("_linked").isNull()).alias("unlinked"))
+    base = linked.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count_if("_shown").alias("shown"), F.count_if(F.col("_linked").isNull()).alias("unlinked"))
     sections = cut_lineage(_sections(t))
     langs = t.documents.select("doc_id", "lang")
     parts = [("projects", extract.project_rows(sections, "doc_id")), ("products", extract.product_records(extract.product_blocks(sections, "doc_id"))), ("members", extract.internal_members(sections, "doc_id"))]
     for name, rows in parts:
-        base = base.join(rows.select("doc_id").join(langs, "doc_id").groupBy("lang").agg(F.count(ONE).alias(name)), "lang", "left")
+        base = base.join(rows.select("doc_id").join(langs, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias(name)), "lang", "left")
     return base
 
 
@@ -96,7 +95,7 @@ def _(t):
 
 def _extraction(t):
     sections = cut_lineage(_sections(t))
-    n = lambda rows, name: rows.groupBy("doc_id").agg(F.count(ONE).alias(name))
+    n = lambda rows, name: rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
     people = extract.internal_members(sections, "doc_id").select("doc_id", "name").union(extract.project_rows(sections, "doc_id").select("doc_id", F.col("director")))
     products = extract.product_records(extract.product_blocks(sections, "doc_id"))
     authors = products.select("doc_id", F.explode("authors"))
@@ -121,7 +120,7 @@ m AS (SELECT 'min_jobs' AS rule, j AS actual, 10 AS expected FROM a UNION ALL SE
 SELECT rule, actual, expected::BIGINT AS expected, actual >= expected AS passed FROM m UNION ALL SELECT 'forbidden_product_markers', count(*) FILTER (regexp_matches(strip_accents(upper(title)), 'EVIDENCIA|ANEXO|OBSERVACION|PIRAMIDE CIENTIFICA')), 0, count(*) FILTER (regexp_matches(strip_accents(upper(title)), 'EVIDENCIA|ANEXO|OBSERVACION|PIRAMIDE CIENTIFICA')) = 0 FROM v_productions""")
 def _(t):
     teacher = F.col("person_type") == "teacher"
-    counts = [t.jobs.agg(F.count(ONE).alias("v")), t.roles.agg(F.count_if(teacher).alias("v")), t.roles.agg(F.count_if(~teacher).alias("v")), t.productions.agg(F.count(ONE).alias("v")), t.entities.agg(F.count(ONE).alias("v"))]
+    counts = [t.jobs.agg(F.count(F.lit(1)).alias("v")), t.roles.agg(F.count_if(teacher).alias("v")), t.roles.agg(F.count_if(~teacher).alias("v")), t.productions.agg(F.count(F.lit(1)).alias("v")), t.entities.agg(F.count(F.lit(1)).alias("v"))]
     rows = None
     for (rule, least), frame in zip(GOLDEN, counts):
         part = frame.select(F.lit(rule).alias("rule"), F.col("v").alias("actual"), F.lit(least).cast("long").alias("expected"), (F.col("v") >= least).alias("passed"))
@@ -146,7 +145,7 @@ def _(t):
 SELECT project_id, count(*) OVER (PARTITION BY period_id, code) AS same_code, count(*) OVER (PARTITION BY period_id, name) AS same_name, count(*) OVER (PARTITION BY period_id, code, name) AS same_both, count(*) OVER (PARTITION BY period_id) AS same_period FROM v_projects""")
 def _(t):
     base = t.projects.select("project_id", "period_id", "code", "name")
-    cells = base.groupBy("period_id", "code", "name").agg(F.count(ONE).alias("n"))
+    cells = base.groupBy("period_id", "code", "name").agg(F.count(F.lit(1)).alias("n"))
     for keys, name in ((["period_id", "code"], "same_code"), (["period_id", "name"], "same_name"), (["period_id", "code", "name"], "same_both"), (["period_id"], "same_period")):
         base = base.join(cells.groupBy(*keys).agg(F.sum("n").alias(name)), keys)
     return base.select("project_id", "same_code", "same_name", "same_both", "same_period")
@@ -182,15 +181,15 @@ WATCHED = ("MENA", "VERA", "CEDENO", "ROJAS")
 SELECT w.surname, count(*) AS people FROM v_teachers t JOIN (SELECT unnest(['MENA', 'VERA', 'CEDENO', 'ROJAS']) AS surname) w ON list_contains(string_split(strip_accents(full_name), ' '), w.surname) GROUP BY 1""")
 def _(t):
     found = F.array_intersect(F.split(alnum_key(F.col("full_name")), " "), F.array(*map(F.lit, WATCHED)))
-    return t.teachers.select(F.explode(found).alias("surname")).groupBy("surname").agg(F.count(ONE).alias("people"))
+    return t.teachers.select(F.explode(found).alias("surname")).groupBy("surname").agg(F.count(F.lit(1)).alias("people"))
 
 
 @query("au26_candidate_completeness", """
 SELECT case_type, count(*) AS cases, count(DISTINCT public_id) AS unique_cases, count(*) FILTER (manual_priority IS NULL) AS without_priority, count(*) = count(DISTINCT public_id) AS complete FROM v_review_items GROUP BY 1""")
 def _(t):
     return t.review_items.groupBy("case_type").agg(
-        F.count(ONE).alias("cases"), F.count_distinct("public_id").alias("unique_cases"), F.count_if(F.col("manual_priority").isNull()).alias("without_priority"),
-        (F.count(ONE) == F.count_distinct("public_id")).alias("complete"))
+        F.count(F.lit(1)).alias("cases"), F.count_distinct("public_id").alias("unique_cases"), F.count_if(F.col("manual_priority").isNull()).alias("without_priority"),
+        (F.count(F.lit(1)) == F.count_distinct("public_id")).alias("complete"))
 
 
 @query("au27_participant_flags", X_STATES + """
@@ -198,7 +197,7 @@ SELECT person_type, count(*) AS people, count(*) FILTER (person_type = 'docente_
 def _(t):
     ok = F.col("kpi_eligible")
     return _states(t).groupBy("person_type").agg(
-        F.count(ONE).alias("people"), F.count_if((F.col("person_type") == "docente_interno") & ok).alias("counts_as_teacher"), F.count_if((F.col("person_type") == "investigador_externo") & ok).alias("counts_as_external"))
+        F.count(F.lit(1)).alias("people"), F.count_if((F.col("person_type") == "docente_interno") & ok).alias("counts_as_teacher"), F.count_if((F.col("person_type") == "investigador_externo") & ok).alias("counts_as_external"))
 
 
 @query("au28_candidate_lists", """
@@ -213,7 +212,7 @@ def _(t):
         named = df.select(F.lit(kind).alias("kind"), F.concat(F.lit("valor "), F.col(key).cast("string")).alias("raw_value"))
         part = candidate_actions(named, t.audits, kind)
         rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("kind", "action").agg(F.count(ONE).alias("n"))
+    return rows.groupBy("kind", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("au29_section_listing", "SELECT doc_id, kind, page, line_count, least(12, line_count) AS preview_lines FROM x_sections")
@@ -358,7 +357,7 @@ SELECT source, count(*) AS pages, count(*) FILTER (length(trim(regexp_replace(te
   CASE WHEN count(*) FILTER (length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 300 AND length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) >= 150) = count(*) THEN 'digital_text' WHEN count(*) FILTER (length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 300 AND length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) >= 150) = 0 THEN 'ocr' ELSE 'mixed' END AS method FROM documents GROUP BY 1""")
 def _(t):
     enough = (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) >= 300) & (F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")) >= 150)
-    counted = t.documents.groupBy("source").agg(F.count(ONE).alias("pages"), F.count_if(enough).alias("digital_pages"))
+    counted = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.count_if(enough).alias("digital_pages"))
     return counted.withColumn("method", F.when(F.col("digital_pages") == F.col("pages"), "digital_text").when(F.col("digital_pages") == 0, "ocr").otherwise("mixed"))
 
 
