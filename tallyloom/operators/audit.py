@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import skew
 from tallyloom.operators.decisions import canonical_json
+from tallyloom.session import cut_lineage
 
 
 def event_hash(previous: Column) -> Column:
@@ -23,7 +24,7 @@ def append_chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame
     micro-batch); the stored past is only needed as its head. Verifying a stored chain is not
     sequential, see ``verify_chain``.
     """
-    text = F.struct("seq", "event_type", "payload")
+    text = F.struct(F.col("seq").cast("long").alias("seq"), "event_type", "payload")
     grouped = events.groupBy("aggregate_key").agg(F.array_sort(F.collect_list(text)).alias("items"))
     if heads is not None:
         grouped = grouped.join(heads.select("aggregate_key", F.col("event_hash").alias("_head")), "aggregate_key", "left")
@@ -36,11 +37,26 @@ def append_chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame
             "aggregate_key": F.col("aggregate_key"), "event_type": e["event_type"], "payload": e["payload"], "previous_event_hash": before, "seq": e["seq"]}), 256)
         return F.array_append(done, F.struct(e["seq"].alias("seq"), before.alias("previous_hash"), own.alias("event_hash")))
 
-    start = F.array().cast("array<struct<seq:int,previous_hash:string,event_hash:string>>")
+    start = F.array().cast("array<struct<seq:bigint,previous_hash:string,event_hash:string>>")
     linked = grouped.select("aggregate_key", F.explode(F.aggregate("items", start, step)).alias("e")).select("aggregate_key", "e.*")
     return events.join(linked, ["aggregate_key", "seq"])
 
 
+def chain_events(events: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """Chain a whole log: every aggregate advances by at most ``chunk`` events per round, on the heads of the round before."""
+    placed = cut_lineage(skew.positions(events, ["aggregate_key"], [F.col("seq")], F.floor(F.col("seq") / chunk), "_place").withColumn(
+        "_round", F.floor((F.col("_place") - 1) / chunk)))
+    rounds = placed.agg(F.max("_round").alias("r")).first()["r"]
+    done = heads = None
+    for number in range((rounds or 0) + 1):
+        part = append_chain(placed.filter(F.col("_round") == number).drop("_place", "_round"), heads)
+        if rounds:
+            part = cut_lineage(part)
+            heads = chain_heads(part)
+        done = part if done is None else done.unionByName(part)
+    return done
+
+
 def verify_chain(events: DataFrame, slice_of: Column | None) -> DataFrame:
     """Broken links: own hash does not recompute, or the stored previous hash is not that of the event before.
 

@@ -18,6 +18,7 @@ from tallyloom.functions.stage import put
 from tallyloom.functions.fuzzy import set_ratio
 from tallyloom.functions.people import has_piece
 from tallyloom.functions.text import fix_mojibake, strip_accents
+from tallyloom.session import spread
 
 PAGE_MARK = r"(?i)^\[\[PAGE_BREAK(?::\d+)?\]\]$"
 ACCEPT, REVIEW = 90.0, 75.0  # scores from which a heading is taken, and is taken without review
@@ -45,7 +46,7 @@ def line_keys(lines: Column) -> Column:
 
 def with_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``lines``, their ``keys`` and the page marks of each document."""
-    df = docs.transform(put, "lines", split_lines(F.col(text))).transform(put, "keys", line_keys(F.col("lines")))
+    df = spread(docs).transform(put, "lines", split_lines(F.col(text))).transform(put, "keys", line_keys(F.col("lines")))
     number = lambda line, key: F.coalesce(
         F.nullif(F.regexp_extract(line, r"(?i)^\[\[PAGE_BREAK:(\d+)\]\]$", 1), F.lit("")),
         F.nullif(F.regexp_extract(key, r"^(\d+)(?:\s+DE\s+|/)\d+$", 1), F.lit("")),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: list[str] = ["kpis", "participants", "filters", "joins", "versions", "sources", "sets", "text", "identity", "decisions", "audits"]
+MODULES: list[str] = ["kpis", "participants", "filters", "joins", "versions", "sources", "sets", "text", "identity", "decisions", "audits", "streams"]
 
 
 def load() -> None:

@@ -19,7 +19,7 @@ from tallyloom.session import cut_lineage
 
 
 def _chain(t):
-    return A.append_chain(t.audit_events)
+    return A.chain_events(t.audit_events)
 
 
 @query("au01_event_chain")
