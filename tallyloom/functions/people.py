@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,10 +24,8 @@ def share(tokens: Column, words: tuple[str, ...]) -> Column:
 
 
 def has_piece(text: Column, pieces: tuple[str, ...]) -> Column:
-    test = F.lit(False)
-    for piece in pieces:
-        test = test | text.contains(piece)
-    return test
+    """Whether any of the literal pieces occurs."""
+    return text.rlike("|".join(re.sub(r"([.*+?^${}()|\[\]\\/])", r"\\\1", piece) for piece in pieces))
 
 
 def tokens_make_name(tokens: Column) -> Column:

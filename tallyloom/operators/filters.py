@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.people import has_piece
 from tallyloom.functions.text import contains_literal, upper_key
-from tallyloom.operators.kpis import has_any
 
 # Markers of people that were never detected.
 PLACEHOLDER_PEOPLE = ("AUTOR NO DETECTADO", "DOCENTE NO DETECTADO", "DIRECTOR NO DETECTADO", "RESPONSABLE NO DETECTADO")
@@ -30,13 +30,13 @@ LOCATOR_PREFIXES = (
 
 
 def is_placeholder_person(name: Column) -> Column:
-    return has_any(upper_key(name), PLACEHOLDER_PEOPLE)
+    return has_piece(upper_key(name), PLACEHOLDER_PEOPLE)
 
 
 def is_bad_title(title: Column) -> Column:
     key = upper_key(title)
     last = F.element_at(F.split(key, " "), -1)
-    return (key == "") | has_any(key, BAD_TITLE_WORDS) | last.isin(*DANGLING_WORDS)
+    return (key == "") | has_piece(key, BAD_TITLE_WORDS) | last.isin(*DANGLING_WORDS)
 
 
 def visible_to(items: DataFrame, users: DataFrame) -> DataFrame:

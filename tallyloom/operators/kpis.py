@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import percent, variation
+from tallyloom.functions.people import has_piece
 from tallyloom.functions.text import upper_key
 from tallyloom.operators.scope import VALIDATED, is_discarded
 
@@ -20,18 +21,11 @@ GOAL_METRICS = (
 )
 
 
-def has_any(key: Column, words: tuple[str, ...]) -> Column:
-    test = F.lit(False)
-    for word in words:
-        test = test | key.contains(word)
-    return test
-
-
 def status_class(status: Column) -> Column:
     """published before in_review; anything else is null."""
     key = upper_key(status)
-    return F.when(has_any(key, ("PUBLIC", "PUBLISHED")), "published").when(
-        has_any(key, ("REVISION", "REVIEW", "ENVIADO", "SUBMITTED")), "in_review"
+    return F.when(has_piece(key, ("PUBLIC", "PUBLISHED")), "published").when(
+        has_piece(key, ("REVISION", "REVIEW", "ENVIADO", "SUBMITTED")), "in_review"
     )
 
 
@@ -65,8 +59,8 @@ def project_counts(entities: DataFrame, by: list[str]) -> DataFrame:
     whole = F.col("progress").cast("int")
     return entities.filter(F.col("validation_status") == VALIDATED).groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(has_any(key, ("VIGENTE", "EJECUCION", "ACTIVO", "CURRENT"))).alias("current"),
-        F.count_if(has_any(key, ("APROBADO", "APPROVED"))).alias("approved"),
+        F.count_if(has_piece(key, ("VIGENTE", "EJECUCION", "ACTIVO", "CURRENT"))).alias("current"),
+        F.count_if(has_piece(key, ("APROBADO", "APPROVED"))).alias("approved"),
         F.coalesce(F.round(F.sum(whole) / F.count(whole), 2), F.lit(0.0)).alias("average_progress"),
     )
 
@@ -81,18 +75,15 @@ def entity_reconciliation(entities: DataFrame, by: list[str]) -> DataFrame:
 
 
 def previous_periods(periods: DataFrame) -> DataFrame:
-    """(period_id, previous_id): cycle 2 looks at cycle 1 of its year, cycle 1 at the latest earlier cycle 2."""
-    p = periods.select("period_id", "yr", "cycle")
-    firsts = p.filter("cycle = 1").select(F.col("yr").alias("_yr"), F.col("period_id").alias("_first"))
-    second = p.filter("cycle = 2").join(F.broadcast(firsts), F.col("yr") == F.col("_yr"), "left").select(
-        "period_id", F.col("_first").alias("previous_id")
-    )
-    earlier = p.filter("cycle = 2").select(F.col("yr").alias("_yr"), F.col("period_id").alias("_second"))
-    first = (
-        p.filter("cycle = 1").join(F.broadcast(earlier), F.col("_yr") < F.col("yr"), "left")
-        .groupBy("period_id").agg(F.max_by("_second", "_yr").alias("previous_id"))
-    )
-    return second.unionByName(first)
+    """(period_id, previous_id): cycle 2 looks at cycle 1 of its year, cycle 1 at the latest earlier cycle 2.
+
+    Periods are half years, a few rows at most, so one ordered walk over all of them is fine.
+    """
+    years = Window.orderBy("yr")
+    second = F.when(F.col("cycle") == 2, F.struct("yr", "period_id"))
+    earlier = F.max(second).over(years.rangeBetween(Window.unboundedPreceding, -1))["period_id"]
+    same = F.max(F.when(F.col("cycle") == 1, F.col("period_id"))).over(years.rangeBetween(0, 0))
+    return periods.select("period_id", F.when(F.col("cycle") == 2, same).otherwise(earlier).alias("previous_id"))
 
 
 def dedupe_progress(progress: DataFrame, traces: DataFrame) -> DataFrame:
@@ -311,9 +302,6 @@ def overlap_counts(memberships: DataFrame, order: list[str]) -> DataFrame:
 
 def ranked_bars(df: DataFrame, name: str, count: str, top: int = 6) -> DataFrame:
     """The first bars in name order, width relative to the largest count of all, at least 8."""
-    peak = df.agg(F.max(count).alias("_peak"))
-    first = df.orderBy(name).limit(top)
-    return first.join(F.broadcast(peak), F.lit(True), "left").select(
-        name, count,
-        F.when(F.col("_peak") > 0, F.greatest(F.lit(8.0), F.lit(100.0) * F.col(count) / F.col("_peak"))).otherwise(0.0).alias("width"),
-    )
+    peak = df.agg(F.max(count).alias("m")).first()["m"] or 0
+    width = F.greatest(F.lit(8.0), F.lit(100.0) * F.col(count) / F.lit(max(peak, 1))) if peak > 0 else F.lit(0.0)
+    return df.orderBy(name).limit(top).select(name, count, width.alias("width"))

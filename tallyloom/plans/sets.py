@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import compare, dashboard, scope
+from tallyloom.operators import compare, dashboard, kpis, scope
 from tallyloom.plans.common import Facts
 from tallyloom.plans.registry import query
 
@@ -214,7 +214,8 @@ def _(t):
     first = compare.apply_plan(t.roles.withColumn("identity_locked", F.lit(False)), once, "role_id", ["canonical_key"], "identity_locked")
     again = compare.apply_plan(once.withColumn("identity_locked", F.lit(False)), once, "role_id", ["canonical_key"], "identity_locked")
     count = F.count_if(F.col("state") == "changed")
-    return first.agg(count.alias("changed")).join(again.agg(count.alias("changed_again")), F.lit(True), "left")
+    parts = [first.agg(count.alias("changed")).withColumn("k", F.lit(1)), again.agg(count.alias("changed_again")).withColumn("k", F.lit(1))]
+    return kpis.stack_frames(parts, ["k"], ["changed", "changed_again"]).drop("k")
 
 
 @query("au22_promotion_invariants", """
