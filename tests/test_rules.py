@@ -1,0 +1,122 @@
+"""Rules on small hand-made frames: titles, promotion, decisions, chains, intake, redaction."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.functions import redact
+from tallyloom.functions.titles import join_wrapped, with_clean_title, with_title_quality
+from tallyloom.operators import audit, decisions, filters, scope, versions
+from tallyloom.sources import ingest
+
+
+def test_title_quality(spark):
+    cases = [
+        ("Analisis de la gestion financiera en empresas del Ecuador", "valid"), ("Analisis", "invalid"), ("https://doi.org/10.1/x", "invalid"),
+        ("Analisis de la gestion financiera de", "truncated"), ("Evidencia de la actividad realizada", "invalid"), ("Tutor estudiante", "invalid"),
+        ("Gestion corta hoy", "truncated"), ("Gestion del riesgo en la region costa Ana Maria Vera Jose Luis Paz", "truncated"), (None, "invalid"),
+        ("Libro planificado sobre la gestion publica", "truncated"), ("Analisis de la gestion HTTP index", "truncated"),
+    ]
+    got = with_title_quality(spark.createDataFrame(cases, "title string, want string"), "title").collect()
+    assert [r["quality"] for r in got] == [r["want"] for r in got]
+
+
+def test_title_cleaning(spark):
+    df = spark.createDataFrame([("Modelo de gestion para el puerto. Ana Maria Vera, Jose Luis Paz", ["X Y"]), ("  - Gestion  corta - ", []), (None, [])], "t string, a array<string>")
+    assert [r["clean_title"] for r in with_clean_title(df, "t", "a").collect()] == ["Modelo de gestion para el puerto", "Gestion corta", None]
+    wrapped = spark.createDataFrame([(["Rentabilid", "ad de empresas", "", "del pais"],), (["Cadena de sumi-", "nistro"],)], "p array<string>").select(join_wrapped(F.col("p"))).collect()
+    assert [r[0] for r in wrapped] == ["Rentabilidad de empresas del pais", "Cadena de sumi-nistro"]
+
+
+def test_promotion_ignores_outcome_and_late_older_jobs(spark):
+    jobs = spark.createDataFrame([(1, "d", "SUCCESS"), (2, "d", "ERROR"), (3, "d", "REQUIRES_REVIEW"), (4, "d", "PROCESSING"), (5, None, "SUCCESS"), (6, "e", "SUCCESS")],
+                                 "job_id long, document_key string, status string")
+    got = {r["job_id"]: (r["is_current"], r["supersedes_id"]) for r in scope.promote_versions(jobs, 2).collect()}
+    assert got == {1: (False, None), 2: (False, None), 3: (True, 1), 4: (False, None), 5: (False, None), 6: (True, None)}
+    assert {r[0] for r in scope.current_jobs(jobs).collect()} == {6}
+
+
+def test_version_fold_against_loop(spark):
+    import random
+
+    random.seed(3)
+    log = [(c, s, random.randrange(1, 6)) for c in range(20) for s in range(1, 30)]
+    want = {}
+    for c in range(20):
+        version = 1
+        for case, seq, expected in log:
+            if case == c:
+                want[(c, seq)] = "applied" if expected == version else "conflict"
+                version += expected == version
+    df = spark.createDataFrame(log, "case_id long, seq int, expected_version int")
+    got = decisions.fold_versions(df, -F.floor(F.col("seq") / 7)).collect()
+    assert {(r["case_id"], r["seq"]): r["outcome"] for r in got} == want
+
+
+def test_reversal_of_a_reversal(spark):
+    log = spark.createDataFrame([(1, 1, None, 10), (1, 2, None, 20), (1, 3, 2, None), (1, 4, 3, None), (1, 5, None, 50)], "case_id long, seq int, reverts_seq int, value long")
+    got = {r["seq"]: r["effective_value"] for r in decisions.restore_values(log).collect()}
+    assert got == {1: 10, 2: 20, 3: 10, 4: 20, 5: 50}
+
+
+def test_overlay_fails_closed(spark):
+    rows = [(1, "resolved", "validated", "k", True, True, True), (2, "resolved", "validated", "k", True, False, True), (3, "resolved", "validated", "k", True, True, True),
+            (3, "reopened", "discarded", "k", True, True, True), (4, "resolved", "validated", "k", True, True, True), (4, "superseded", "discarded", "k", True, True, True)]
+    df = spark.createDataFrame(rows, "target_id long, case_status string, scientific_status string, identity_key string, approved boolean, locked boolean, snapshot_matches boolean")
+    got = {r["target_id"]: (r["overlay_state"], r["scientific_status"]) for r in decisions.effective_overlay(df).collect()}
+    assert got == {1: ("effective", "validated"), 2: ("not_materialized", None), 3: ("ambiguous", None), 4: ("effective", "validated")}
+
+
+def test_hash_chain(spark):
+    events = spark.createDataFrame([(a, s, "note", f"{a}-{s}") for a in (1, 2) for s in range(25)], "aggregate_key long, seq int, event_type string, payload string")
+    whole = audit.chain_events(events)
+    parts = audit.chain_events(events, chunk=4)
+    key = lambda df: sorted((r["aggregate_key"], r["seq"], r["event_hash"]) for r in df.collect())
+    assert key(whole) == key(parts)
+    assert audit.verify_chain(whole, F.floor(F.col("seq") / 4)).count() == 0
+    edited = whole.withColumn("payload", F.when(F.col("seq") == 9, "x").otherwise(F.col("payload")))
+    assert {(r["aggregate_key"], r["seq"], r["violation"]) for r in audit.verify_chain(edited, None).collect()} == {(1, 9, "hash mismatch"), (2, 9, "hash mismatch")}
+    assert {(r["seq"], r["violation"]) for r in audit.verify_chain(whole.filter("seq <> 5"), None).collect()} == {(6, "previous hash mismatch")}
+
+
+def test_reconciliation_is_idempotent(spark):
+    jobs = spark.createDataFrame([(1, "path:a", False, None), (2, "id:a", True, None), (3, "path:b", False, None), (4, "id:b", True, 9)], "id long, document_key string, is_current boolean, supersedes_id long")
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "historical_id long, current_id long")
+    once = versions.reconcile_pairs(jobs, pairs)
+    got = {r["id"]: (r["document_key"], r["supersedes_id"], r["conflict"]) for r in once.collect()}
+    assert got == {1: ("id:a", None, None), 2: ("id:a", 1, None), 3: ("path:b", None, "linked elsewhere"), 4: ("id:b", 9, None)}
+    again = versions.reconcile_pairs(once.select(*jobs.columns), pairs)
+    assert again.filter("changed").count() == 0
+
+
+def test_intake(spark):
+    new = ingest.intake(spark.createDataFrame([(1, "f1", "r1", "a", "/x/a.pdf", 1), (2, "f1", "r1", "a", "/x/a.pdf", 1), (3, None, None, "b", "\\X\\\\B.pdf", 1), (4, "f2", "r9", "c", "/c", 1)],
+                                              "file_id long, external_id string, rev string, name string, path string, size_bytes long"))
+    old = ingest.intake(spark.createDataFrame([(9, None, None, "b", "/x/b.pdf", 1), (8, "f2", "r8", "c", "/c", 1)], "file_id long, external_id string, rev string, name string, path string, size_bytes long"))
+    got = {r["file_id"]: r["outcome"] for r in ingest.intake_dedupe(new, old).collect()}
+    assert got == {1: "queued", 2: "duplicate_in_payload", 3: "already_stored", 4: "queued"}
+
+
+def test_import_rules(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(" Código ,Horas\nA1,2.9\n,\nB2,\nC3,diez\n", encoding="utf-8")
+    table = ingest.read_table(spark, str(tmp_path / "t.csv"), "csv")
+    assert table.columns == ["CODIGO", "HORAS"] and table.count() == 3
+    with pytest.raises(ValueError, match="FALTA"):
+        ingest.require_columns(table, ["CODIGO", "FALTA"])
+    got = ingest.import_sheet(table, {"CODIGO": "code"}, {"HORAS": "hours"}).orderBy("code").collect()
+    assert [(r["code"], r["hours"], r["bad_numbers"]) for r in got] == [("A1", 2, None), ("B2", 0, None), ("C3", None, "hours")]
+    ingest.write_outputs({"rows": table}, str(tmp_path / "out"))
+    ingest.export_sheet(table, str(tmp_path / "sheet"))
+    assert spark.read.json(str(tmp_path / "out/rows.json")).count() == 3 and spark.read.option("header", True).csv(str(tmp_path / "sheet")).count() == 3
+
+
+def test_queue_filter_refuses_reversed_range(spark):
+    with pytest.raises(ValueError):
+        filters.queue_filter(spark.range(1).select(F.current_timestamp().alias("created_at")), created_from=datetime(2024, 2, 1), created_to=datetime(2024, 1, 1))
+
+
+def test_text_safety(spark):
+    texts = ["Informe de gestion 2025, avance 50%", "ver C:\\datos\\x", "token de s3://caja/x", "password=abcdef123", "ruta%2F..%2Fsecreta/x", "-----BEGIN RSA PRIVATE KEY-----", "select * from usuarios"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string").withColumn("d", redact.decoded(F.col("x")))
+    assert [r[0] == redact.REDACTED for r in df.select(redact.public_text(F.col("d"))).collect()] == [False, True, True, True, True, True, True]
