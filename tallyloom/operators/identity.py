@@ -16,7 +16,7 @@ from tallyloom.functions.people import title_case
 from tallyloom.functions.stage import put
 from tallyloom.functions.text import alnum_key, name_key, upper_key
 from tallyloom.operators import names, skew
-from tallyloom.session import cut_lineage
+from tallyloom.session import cut_lineage, spread
 
 EXACT, PARTIAL = 0.98, 0.96  # least confidence of exact and of corroborated partial matches
 SUGGESTED = 0.86  # from here a suggestion about an eligible person is taken
@@ -71,6 +71,10 @@ def _subsets(tokens: Column) -> Column:
     return F.transform(F.filter(grown, lambda s: F.size(s) >= 2), lambda s: F.array_join(s, " "))
 
 
+def _proper_subsets(tokens: Column) -> Column:
+    return F.filter(_subsets(tokens), lambda k: F.size(F.split(k, " ")) < F.size(F.array_distinct(tokens)))
+
+
 def _set_key(tokens: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(tokens)), " ")
 
@@ -104,13 +108,14 @@ def seed_matches(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
     token beginnings are equal, so the join keys carry the rules. Every rule but the looser similarity
     ones is complete: those need their tokens to begin alike, or a project code and one such token.
     """
-    c = candidates.transform(put, "_key", name_key(F.col("name")))
+    seeds = spread(seeds)
+    c = spread(candidates).transform(put, "_key", name_key(F.col("name")))
     c = c.transform(put, "_tokens", F.filter(F.split("_key", " "), lambda t: t != "")).withColumn(
         "_digits", F.nullif(F.regexp_replace(F.coalesce("identity_number", F.lit("")), r"\D+", ""), F.lit("")))
     tagged = lambda tag, values: F.transform(values, lambda v: F.concat(F.lit(tag), v))
     one = lambda v: F.array_compact(F.array(v))
     c_keys = F.concat(
-        tagged("i:", one(F.col("_digits"))), tagged("a:", F.array("_key")),
+        tagged("i:", one(F.col("_digits"))), tagged("a:", one(F.nullif("_key", F.lit("")))),
         F.when(F.size("_tokens") >= 2, F.concat(tagged("p:", F.array("_key")), tagged("s:", F.array(_set_key(F.col("_tokens")))))).otherwise(F.array().cast("array<string>")),
         tagged("f:", _near_keys(F.col("_tokens"))), _project_keys(F.col("project_codes"), F.col("_tokens")), F.when(F.size("_tokens") == 1, tagged("t:", F.col("_tokens"))).otherwise(F.array().cast("array<string>")))
     left = c.select("candidate_id", F.explode(F.array_distinct(c_keys)).alias("block"))
@@ -120,25 +125,27 @@ def seed_matches(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
         F.filter(F.sequence(F.lit(1), F.length(a)), lambda n: (n > F.length(F.substring_index(a, " ", 1)) + 1) & (n < F.length(a))), lambda n: F.substring(a, F.lit(1), n)))))
     s_keys = F.concat(
         tagged("i:", one(F.col("identity_digits"))), tagged("a:", F.col("alias_keys")), tagged("p:", beginnings),
-        tagged("s:", F.flatten(F.transform(spellings, _subsets))), tagged("f:", _subsets(_heads(F.split("normalized_name", " ")))),
+        tagged("s:", F.flatten(F.transform(spellings, _proper_subsets))), tagged("f:", _subsets(_heads(F.split("normalized_name", " ")))),
         _project_keys(F.array("project_code"), F.split("normalized_name", " ")),
         tagged("t:", F.split("normalized_name", " ")))
     right = seeds.select("record_id", F.explode(F.array_distinct(s_keys)).alias("block"))
-    pairs = left.join(right, "block").select("candidate_id", "record_id").distinct()
+    tag = F.substring("block", 1, 1)
+    # the kind of key two rows met on is the rule that holds for them
+    pairs = left.join(right, "block").groupBy("candidate_id", "record_id").agg(
+        F.bool_or(tag == "i").alias("_number"), F.bool_or(tag == "a").alias("_exact"), F.bool_or(tag == "p").alias("_prefix"), F.bool_or(tag == "s").alias("_subset"))
 
-    columns = ["candidate_id", "name", "_key", "_tokens", "_digits", "project_codes", "role_words"]
+    columns = ["candidate_id", "name", "_key", "_tokens", "project_codes", "role_words"]
     df = pairs.join(c.select(*columns), "candidate_id").join(
-        seeds.select("record_id", "official_name", "normalized_name", "inverted_key", "alias_keys", "identity_digits", "project_code", "role"), "record_id")
-    exact = F.array_contains("alias_keys", F.col("_key")) & (F.col("_key") != "")
-    prefix = (F.size("_tokens") >= 2) & F.exists("alias_keys", lambda a: (a != F.col("_key")) & a.startswith(F.col("_key")))
-    subset = (F.size("_tokens") >= 2) & F.exists("alias_keys", lambda a: (
-        (F.size(F.array_except(F.col("_tokens"), F.split(a, " "))) == 0) & (F.size(F.array_distinct(F.split(a, " "))) > F.size(F.array_distinct("_tokens")))))
-    number = F.coalesce(F.col("_digits") == F.col("identity_digits"), F.lit(False))
+        seeds.select("record_id", "official_name", "normalized_name", "inverted_key", "identity_digits", "project_code", "role"), "record_id")
     code = lambda v: F.replace(alnum_key(v), F.lit(" "), F.lit(""))
-    df = df.withColumn("_exact", exact).withColumn("_prefix", prefix).withColumn("_subset", subset).withColumn("_number", number).withColumn(
+    df = df.withColumn(
         "_project", F.coalesce(F.array_contains(F.transform("project_codes", code), code(F.col("project_code"))) & (code(F.col("project_code")) != ""), F.lit(False))
     ).withColumn("_role", F.coalesce(F.exists("role_words", lambda w: (w != "") & alnum_key(F.col("role")).contains(w)), F.lit(False)))
-    df = df.withColumn("_share", token_share(F.col("_tokens"), F.split("normalized_name", " "))).withColumn("_ratio", _sequence(F.col("_key"), F.col("normalized_name")))
+    # similarity depends on the two names alone: score each distinct pair once
+    scores = df.filter("NOT (_number OR _exact OR _prefix OR _subset)").select("_key", "normalized_name").distinct().select(
+        "_key", "normalized_name", token_share(F.split("_key", " "), F.split("normalized_name", " ")).alias("_share"),
+        _sequence(F.col("_key"), F.col("normalized_name")).alias("_ratio"))
+    df = df.join(scores, ["_key", "normalized_name"], "left").fillna(0.0, ["_share", "_ratio"])
     best = F.greatest("_share", "_ratio")
     two = F.size("_tokens") >= 2
     row = lambda kind, confidence, decision: F.struct(F.lit(kind).alias("match_type"), F.round(confidence, 3).alias("confidence"), F.lit(decision).alias("decision"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.fuzzy import token_share
 from tallyloom.functions.text import name_tokens
+from tallyloom.session import spread
 
 
 def same_token_set(left: Column, right: Column) -> Column:
@@ -86,7 +87,7 @@ def partial_matches(
             F.filter(tokens, lambda b: b > a), lambda b: F.concat(F.lit("2:"), a, F.lit(" "), b))))
         return df.select(f"{side}_set").distinct().select(f"{side}_set", F.explode(F.concat(singles, pairs)).alias("block"))
 
-    ls, rs = token_sets(left, left_name, "l"), token_sets(right, right_name, "r")
+    ls, rs = token_sets(spread(left), left_name, "l"), token_sets(spread(right), right_name, "r")
     two = F.least(F.size("l_set"), F.size("r_set")) == 2
     on_pairs = F.col("l.block").startswith("2:") & (F.size("l_set") > 2) & (F.size("r_set") > 2)
     on_single = F.col("l.block").startswith("1:") & two
