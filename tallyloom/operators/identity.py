@@ -329,19 +329,21 @@ def evidence_components(roles: DataFrame, authors: DataFrame, most_rounds: int =
     two or more tokens lies in the other. Rows are tied to a meeting point (relation, token set) instead
     of to each other, and the smallest entry spreads over the meeting points until nothing changes.
     """
-    def tokens(df: DataFrame) -> DataFrame:
-        return df.select("entry", F.explode("relations").alias("relation"), F.filter(F.split(alnum_key(F.col("name")), " "), lambda t: t != "").alias("t"))
+    def keyed(df: DataFrame) -> DataFrame:
+        # the keys of a name are worked out once per distinct name
+        t = F.filter(F.split(alnum_key(F.col("name")), " "), lambda x: x != "")
+        named = df.select("name").distinct().transform(put, "_t", t).transform(put, "whole", F.array(_set_key(F.col("_t"))))
+        named = named.transform(put, "parts", F.array_distinct(F.concat(_subsets(F.col("_t")), F.col("whole")))).drop("_t")
+        return df.select("entry", "name", F.explode("relations").alias("relation")).join(named, "name")
 
-    r, a = tokens(roles), tokens(authors)
-    whole = F.array(_set_key(F.col("t")))
-    parts = F.array_distinct(F.concat(_subsets(F.col("t")), whole))
+    r, a = keyed(roles), keyed(authors)
 
     def points(full: DataFrame, within: DataFrame, tag: str) -> DataFrame:
-        def at(df: DataFrame, keys: Column, side: int) -> DataFrame:
+        def at(df: DataFrame, keys: str, side: int) -> DataFrame:
             return df.select("entry", "relation", F.explode(keys).alias("k")).select(
                 "entry", F.concat_ws("|", F.lit(tag), "relation", "k").alias("point"), F.lit(side).alias("side"))
 
-        return at(full, whole, 1).union(at(within, parts, 2))
+        return at(full, "whole", 1).union(at(within, "parts", 2))
 
     links = points(r, a, "r").union(points(a, r, "a")).distinct()
     live = links.groupBy("point").agg(F.min("side").alias("x"), F.max("side").alias("y")).filter("x <> y").select("point")
