@@ -361,7 +361,7 @@ def evidence_components(roles: DataFrame, authors: DataFrame, most_rounds: int =
             break
     else:
         raise RuntimeError("evidence components did not settle")
-    everyone = roles.select("entry").union(authors.select("entry"))
+    everyone = roles.select("entry").union(authors.select("entry")).distinct()
     return everyone.join(labels, "entry", "left").select("entry", F.coalesce("component", "entry").alias("component"))
 
 
