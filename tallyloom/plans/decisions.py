@@ -322,12 +322,12 @@ def _(t):
 
 
 @query("ov30_case_materialization", """
-WITH p AS (SELECT item_id, case_type, target_table, CASE WHEN item_id % 10 = 0 THEN 'changed' ELSE case_status END AS s FROM v_review_items), s AS (SELECT item_id, case_type, target_table, case_status AS s FROM v_review_items WHERE item_id % 4 <> 0)
+WITH p AS (SELECT item_id, case_type, target_table, CASE WHEN item_id % 10 = 0 THEN 'changed' ELSE case_status END AS s FROM v_review_items), s AS (SELECT item_id, case_type, target_table, case_status AS s FROM v_review_items WHERE case_type <> 'project_director')
 SELECT CASE WHEN s.item_id IS NULL THEN 'created' WHEN s.s IS DISTINCT FROM p.s THEN 'conflict' ELSE 'unchanged' END AS outcome, count(*) AS n FROM p LEFT JOIN s ON s.item_id = p.item_id GROUP BY 1""")
 def _(t):
     columns = ["case_type", "target_table", "case_status"]
     planned = t.review_items.select("item_id", "case_type", "target_table", F.when(F.col("item_id") % 10 == 0, "changed").otherwise(F.col("case_status")).alias("case_status"))
-    stored = t.review_items.filter("item_id % 4 <> 0").select("item_id", *columns)
+    stored = t.review_items.filter("case_type <> 'project_director'").select("item_id", *columns)
     pair = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in columns])
     joined = planned.alias("p").join(stored.alias("s"), F.col("p.item_id") == F.col("s.item_id"), "left")
     outcome = F.when(F.col("s.item_id").isNull(), "created").when(~pair("p").eqNullSafe(pair("s")), "conflict").otherwise("unchanged")

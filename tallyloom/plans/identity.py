@@ -194,7 +194,7 @@ def _(t):
 
 @query("id17_author_ladder")
 def _(t):
-    roles = t.mention_names.filter("mention_id % 3 = 0").select(F.col("mention_id").alias("role_id"), F.col("official_name").alias("role_name"))
+    roles = t.mention_names.select(F.col("mention_id").alias("role_id"), F.col("official_name").alias("role_name"))
     mentions = t.mention_names.select("mention_id", F.when(F.col("mention_id") % 40 == 0, "X").otherwise(F.col("raw_name")).alias("raw_name"))
     return I.author_ladder(mentions, t.teachers.filter("is_active"), t.externals, roles)
 
@@ -278,10 +278,10 @@ SELECT {pos}, CASE WHEN bad THEN 'discarded' WHEN unsure THEN 'requires_review'
 @query("id25_teacher_upsert", """
 WITH c AS (SELECT mention_id, career_id, array_to_string(list_filter(string_split(strip_accents(upper(raw_name)), ' '), lambda x: x <> 'DE'), ' ') AS k, segment FROM v_mention_names)
 SELECT mention_id, CASE WHEN segment = 'BUILDING' THEN 'discarded' WHEN segment = 'MACHINERY' THEN 'requires_review'
-  WHEN EXISTS (SELECT 1 FROM c o WHERE o.segment = 'HOUSEHOLD' AND o.k = c.k AND o.career_id = c.career_id AND o.mention_id % 2 = 0) OR mention_id > (SELECT min(o.mention_id) FROM c o WHERE o.k = c.k AND o.career_id = c.career_id AND o.segment NOT IN ('BUILDING', 'MACHINERY')) THEN 'merged_duplicate' ELSE 'persisted' END AS action FROM c""")
+  WHEN EXISTS (SELECT 1 FROM c o WHERE o.segment = 'HOUSEHOLD' AND o.k = c.k AND o.career_id = c.career_id) OR mention_id > (SELECT min(o.mention_id) FROM c o WHERE o.k = c.k AND o.career_id = c.career_id AND o.segment NOT IN ('BUILDING', 'MACHINERY')) THEN 'merged_duplicate' ELSE 'persisted' END AS action FROM c""")
 def _(t):
     rows = t.mention_names.select("mention_id", "career_id", name_key(F.col("raw_name")).alias("k"), "segment")
-    master = rows.filter("segment = 'HOUSEHOLD' AND mention_id % 2 = 0")
+    master = rows.filter("segment = 'HOUSEHOLD'")
     return I.upsert_actions(rows, master, ["k", "career_id"], "mention_id", discard=F.col("segment") == "BUILDING", review=F.col("segment") == "MACHINERY").select("mention_id", "action")
 
 
@@ -304,7 +304,7 @@ def _(t):
 
 @query("id28_project_upsert", _upsert_sql("v_projects", ["period_id", "name"], "project_id", "false", "name LIKE 'red%'", "false"))
 def _(t):
-    return I.upsert_actions(t.projects, t.projects.limit(0), ["period_id", "name"], "project_id", discard=F.col("name").startswith("red")).select("project_id", "action")
+    return I.upsert_actions(t.projects, t.projects.filter(F.lit(False)), ["period_id", "name"], "project_id", discard=F.col("name").startswith("red")).select("project_id", "action")
 
 
 @query("id29_product_upsert", _upsert_sql("(SELECT *, strip_accents(upper(title)) AS k FROM v_productions)", ["period_id", "k"], "production_id", "yr = 1995 AND production_type = 'BOOK'", "validation_status = 'discarded_invalid'", "false"))
@@ -506,7 +506,7 @@ def _(t):
     mod = F.col("teacher_id") % 3
     text = F.when(mod == 0, F.concat("full_name", F.lit("; "), other)).when(mod == 1, F.concat("full_name", F.lit(" "), other)).otherwise(F.col("full_name"))
     rows = t.teachers.select("teacher_id", text.alias("authors"))
-    known = t.teachers.select(F.col("full_name").alias("name")).union(t.teachers.limit(1).select(other))
+    known = t.teachers.select(F.col("full_name").alias("name")).union(t.teachers.select(other).distinct())
     split = I.split_authors(rows, "teacher_id", "authors", known)
     return split.groupBy("teacher_id", "split_by").agg(F.count(F.lit(1)).alias("mentions"))
 

@@ -17,7 +17,7 @@ def build_session(master: str = "local[8]", app: str = "tallyloom", **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
-        "spark.driver.memory": "12g",
+        "spark.driver.memory": "5g",
         "spark.ui.showConsoleProgress": "false",
     }
     settings.update(conf)
