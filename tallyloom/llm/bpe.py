@@ -16,21 +16,23 @@ results.
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
+from array import array
 from dataclasses import dataclass, field
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.common import Recent, without
 
-CHUNKS = 600_000
+CHUNKS = 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -75,42 +77,38 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(ids, ranks, merged, width, special, split, model["end_of_word_suffix"] or "", strings)
 
 
+#: Symbol of a place that is gone or beyond either end; no merge has it.
+GONE = -(1 << 60)
+
+
 def merge(symbols: list[int], v: Vocabulary) -> list[int]:
     """Apply merges in order of rank, then position. A heap entry is rank * length + position."""
-    n, width, ranks, merged = len(symbols), v.width, v.ranks, v.merged
-    if n < 2:
+    n, width, merged, rank_of = len(symbols), v.width, v.merged, v.ranks.get
+    heap = [rank * n + at for at, (x, y) in enumerate(pairwise(symbols)) if (rank := rank_of(x * width + y)) is not None]
+    if not heap:
         return symbols
-    symbols = list(symbols)
-    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-    heap = []
-    for at in range(n - 1):
-        rank = ranks.get(symbols[at] * width + symbols[at + 1])
-        if rank is not None:
-            heap.append(rank * n + at)
-    heapq.heapify(heap)
+    heapify(heap)
+    symbols = [*symbols, GONE]
+    before, after = list(range(-1, n)), list(range(1, n + 2))
     while heap:
-        rank, at = divmod(heapq.heappop(heap), n)
+        rank, at = divmod(heappop(heap), n)
         right = after[at]
-        if right < 0 or ranks.get(symbols[at] * width + symbols[right]) != rank:
+        if rank_of(symbols[at] * width + symbols[right]) != rank:
             continue  # stale: a symbol has changed, or is gone
-        symbol = symbols[at] = merged[rank]
-        symbols[right] = -1
-        left, further = before[at], after[right]
-        after[at], after[right] = further, -1
-        if further >= 0:
-            before[further] = at
-            rank = ranks.get(symbol * width + symbols[further])
-            if rank is not None:
-                heapq.heappush(heap, rank * n + at)
-        if left >= 0:
-            rank = ranks.get(symbols[left] * width + symbol)
-            if rank is not None:
-                heapq.heappush(heap, rank * n + left)
+        symbols[at] = symbol = merged[rank]
+        symbols[right] = GONE
+        after[at] = right = after[right]
+        before[right] = at
+        if (rank := rank_of(symbol * width + symbols[right])) is not None:
+            heappush(heap, rank * n + at)
+        left = before[at]
+        if (rank := rank_of(symbols[left] * width + symbol)) is not None:
+            heappush(heap, rank * n + left)
     return [s for s in symbols if s >= 0]
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of recent chunks and of recent pre-tokens."""
+    """Encodes texts; keeps the ids of recent chunks and of recent pre-tokens, packed as 32-bit integers."""
 
     def __init__(self, vocabulary: Vocabulary):
         import regex
@@ -121,29 +119,39 @@ class Encoder:
         self.special = regex.compile(f"({names})") if names else None
         # white space is what Unicode calls so; the separators 0x1C to 0x1F are not
         self.split = regex.compile(vocabulary.pattern.replace("^\\s", "^\\t-\\r \\x85\\p{Z}"))
-        self.symbols = byte_symbols()
+        known = vocabulary.ids
+        self.inner = [known.get(s, -1) for s in byte_symbols()]
+        self.last = [known.get(s + vocabulary.suffix, -1) for s in byte_symbols()]
 
-    def _chunk(self, chunk: bytes) -> tuple[int, ...]:
+    def _chunk(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters are one pre-token
+            return self.tokens[chunk.lower()]
         text = chunk.decode()
         if self.special is None or self.special.search(text) is None:
-            return tuple(self._plain(text))
-        return tuple(i for k, part in enumerate(self.special.split(text)) for i in ([self.vocabulary.special[part]] if k % 2 else self._plain(part)))
+            return self._plain(text)
+        parts = enumerate(self.special.split(text))
+        return b"".join(_pack([self.vocabulary.special[part]]) if k % 2 else self._plain(part) for k, part in parts)
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
         text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        out = []
-        for token in self.split.findall(text):
-            out += self.tokens[token]
-        return out
+        return b"".join([self.tokens[token.encode()] for token in self.split.findall(text)])
+
+    def _token(self, token: bytes) -> bytes:
+        symbols = [self.inner[b] for b in token]
+        symbols[-1] = self.last[token[-1]]
+        if -1 in symbols:
+            symbols = [s for s in symbols if s >= 0]
+        return _pack(merge(symbols, self.vocabulary))
 
-    def _token(self, token: str) -> list[int]:
-        marks = [self.symbols[b] for b in token.encode()]
-        marks[-1] += self.vocabulary.suffix
-        known = self.vocabulary.ids
-        return merge([known[m] for m in marks if m in known], self.vocabulary)
+    def packed(self, data: bytes) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, data.split()))
 
     def encode(self, data: bytes) -> list[int]:
-        return list(chain.from_iterable(map(self.chunks.__getitem__, data.split())))
+        return np.frombuffer(self.packed(data), dtype=np.int32).tolist()
+
+
+def _pack(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -163,21 +171,28 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encoded(texts: pa.Array) -> pa.Array:
         encoder = encoder_of(path, shared.value)
-        parts = [np.array(encoder.encode(data or b""), dtype=np.int32) for data in texts.cast(pa.binary()).to_pylist()]
-        ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-        return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *parts]))
+        parts = [encoder.packed(data or b"") for data in texts.cast(pa.binary()).to_pylist()]
+        ends = np.cumsum([0, *map(len, parts)]) // 4
+        return pa.ListArray.from_arrays(ends.astype(np.int32), np.frombuffer(b"".join(parts), dtype=np.int32))
 
     return docs.select(*without(docs, [ids]), encoded(text).alias(ids))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text of the ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(path).strings)
+    strings = load(path).strings
+    table = np.array([strings.get(i) for i in range(max(strings) + 1)] + [None], dtype=object)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     @F.arrow_udf(T.StringType())
     def decoded(lists: pa.Array) -> pa.Array:
-        strings = shared.value
-        return pa.array([" ".join(strings[i] for i in row or () if i in strings) for row in lists.to_pylist()], pa.string())
+        table = shared.value
+        ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        found = table[np.where((ids >= 0) & (ids < len(table)), ids, -1)]
+        gaps = any(x is None for x in found)
+        ends = np.cumsum([0, *pc.list_value_length(lists).fill_null(0).to_pylist()])
+        rows = (found[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False))
+        return pa.array([" ".join(x for x in row if x is not None) if gaps else " ".join(row) for row in rows], pa.string())
 
     return docs.select(*without(docs, [text]), decoded(ids).alias(text))
 
