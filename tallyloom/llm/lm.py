@@ -41,6 +41,7 @@ HEAD = 65_536
 SIZE = 16
 NOISE = 48
 BATCH = 4096
+LEAST_BATCH = 64
 RATE = 0.15
 SEED = 7
 #: Distinct tokens a task gathers before it hands their counts on; tokens scored at once; contexts normalised at once.
@@ -111,7 +112,7 @@ class Model:
         return np.array([c if (c := get(w)) is not None else -1 - tail(w) for w in words], dtype=np.int64)
 
     def class_of(self, codes: np.ndarray) -> np.ndarray:
-        return np.where(codes >= 0, self.head_class[codes], self.own - 1 - codes)
+        return np.where(codes >= 0, self.head_class[np.maximum(codes, 0)], self.own - 1 - codes)
 
     def contexts(self, classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The classes one and two before; ``classes`` stands for nothing before a start."""
@@ -140,14 +141,29 @@ class Model:
         return result / math.log(10)
 
 
+def head_of(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The end, a class in any case, and up to HEAD of the most frequent tokens, most frequent first.
+
+    Counts are binned by their logarithm and only bins that fit as a whole are fetched, so no task offers more than that.
+    """
+    level = F.floor(F.log2("n") * 64)
+    sizes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size")).collect()
+    held, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        held += r["size"]
+        if held > HEAD:
+            break
+        least = r["level"]
+    rows = [] if least is None else counts.filter(level >= least).collect()
+    ranked = sorted(((bytes(r["token"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+    end = counts.filter(F.col("token") == END).first()
+    return [(END, end["n"] if end else 0), *(x for x in ranked if x[0] != END)]
+
+
 def untrained(counts: DataFrame) -> Model:
     """Classes and totals from the count table; the weights start as the plain class frequencies."""
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    # the end comes first, as it is a class in any case
-    ranked = counts.orderBy((F.col("token") != END).asc(), F.col("n").desc(), "token").limit(HEAD).collect()
-    top = [(bytes(r["token"]), r["n"]) for r in ranked]
-    if not top or top[0][0] != END:
-        top = [(END, 0), *top[: HEAD - 1]]
+    top = head_of(counts)
     own = min(len(top), WORDS + 1)
     last = F.expr("substring(token, greatest(length(token) - 1, 1), 2)")
     tails = counts.groupBy((F.crc32(last) % TAILS).alias("tail")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
@@ -217,24 +233,25 @@ class Trainer:
 
     def learn(self, texts: Iterator[bytes | None]) -> None:
         held: list[np.ndarray] = []
-        starts, size = [], 0
+        starts, length = [], 0
 
         def drain() -> None:
             classes = np.concatenate(held)
             one, two = self.m.contexts(classes, np.array(starts))
             order = self.rng.permutation(len(classes))
-            for at in range(0, len(order), BATCH):
-                some = order[at : at + BATCH]
+            size = min(BATCH, max(LEAST_BATCH, len(order) // LEAST_BATCH))  # little text still takes many steps
+            for at in range(0, len(order), size):
+                some = order[at : at + size]
                 self.step(one[some], two[some], classes[some])
 
         for data in texts:
             classes = self.m.class_of(self.m.codes(tokens(data)))
-            starts.append(size)
+            starts.append(length)
             held.append(classes)
-            size += len(classes)
-            if size >= PIECE:
+            length += len(classes)
+            if length >= PIECE:
                 drain()
-                held, starts, size = [], [], 0
+                held, starts, length = [], [], 0
         if held:
             drain()
 
@@ -291,9 +308,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 classes = m.class_of(codes)
                 starts = np.array(bounds[:-1])
                 inside = np.where(classes >= m.own, m.class_total[classes], 0.0)
-                known = np.where(codes >= 0, logs[codes], 0.0)
+                place = np.maximum(codes, 0)
+                known = np.where(codes >= 0, logs[place], 0.0)
                 by_class = m.log10(classes, starts) - inside + np.where(classes >= m.own, known, 0.0)
-                heads = (codes >= 0) & (m.head_count[codes] > 0)
+                heads = (codes >= 0) & (m.head_count[place] > 0)
                 sums = {
                     "n_tokens": np.diff(bounds),
                     "n_known": np.add.reduceat(heads.astype(np.int64), starts),
