@@ -7,7 +7,7 @@ its neighbours and pushes the two new pairs. Decoding joins the vocabulary strin
 without a decoder asks for.
 
 Pre-tokens never span ASCII white space, so the chunks between such spaces are encoded on their own and the ids of
-recent chunks are kept, at most CHUNKS of them. The vocabulary and merges are read once and sent out; their size is fixed. Workers keep an encoder by path between tasks.
+recent chunks and pre-tokens are kept, at most CHUNKS and TOKENS of them. The vocabulary and merges are read once and sent out; their size is fixed. Workers keep an encoder by path between tasks.
 
 Defined cases: null text counts as empty and has no ids; decoding null or unknown ids skips them; symbols that the
 vocabulary lacks are dropped; extra columns pass through, one named like a new column is replaced; equal rows give equal
@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 
 from tallyloom.llm.common import Recent, without
 
-CHUNKS = 400_000
+CHUNKS = 250_000
+TOKENS = 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -114,7 +115,7 @@ class Encoder:
         import regex
 
         self.vocabulary = vocabulary
-        self.chunks, self.tokens = Recent(self._chunk, CHUNKS), Recent(self._token, CHUNKS)
+        self.chunks, self.tokens = Recent(self._chunk, CHUNKS), Recent(self._token, TOKENS)
         names = "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))
         self.special = regex.compile(f"({names})") if names else None
         # white space is what Unicode calls so; the separators 0x1C to 0x1F are not
@@ -175,21 +176,23 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         ends = np.cumsum([0, *map(len, parts)]) // 4
         return pa.ListArray.from_arrays(ends.astype(np.int32), np.frombuffer(b"".join(parts), dtype=np.int32))
 
-    return docs.select(*without(docs, [ids]), encoded(text).alias(ids))
+    # as a non-deterministic function it is not inlined into what reads the ids, which would encode each text again
+    return docs.select(*without(docs, [ids]), encoded.asNondeterministic()(text).alias(ids))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text of the ids."""
     strings = load(path).strings
-    table = np.array([strings.get(i) for i in range(max(strings) + 1)] + [None], dtype=object)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    table = np.array([strings.get(i) for i in range(max(strings) + 1)] + [None], dtype=object)  # the last place is for unknown ids
+    holes = np.array([s is None for s in table])
+    shared = docs.sparkSession.sparkContext.broadcast((table, holes))
 
     @F.arrow_udf(T.StringType())
     def decoded(lists: pa.Array) -> pa.Array:
-        table = shared.value
+        table, holes = shared.value
         ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-        found = table[np.where((ids >= 0) & (ids < len(table)), ids, -1)]
-        gaps = any(x is None for x in found)
+        ids = np.where((ids >= 0) & (ids < len(table)), ids, len(table) - 1)
+        found, gaps = table[ids], holes[ids].any()
         ends = np.cumsum([0, *pc.list_value_length(lists).fill_null(0).to_pylist()])
         rows = (found[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False))
         return pa.array([" ".join(x for x in row if x is not None) if gaps else " ".join(row) for row in rows], pa.string())

@@ -38,7 +38,7 @@ def compare(docs):
     return got
 
 
-def corpus(spark, n=600):
+def corpus(spark, n):
     rng = random.Random(6)
     words = {0: [f"k{i}" for i in range(30)], 1: [f"zu{i}" for i in range(30)]}
     rows = [(i, " ".join(rng.choice(words[i % 2]) if rng.random() < 0.95 else f"rare{rng.randint(0, 10**6)}" for _ in range(40))) for i in range(n)]
@@ -54,7 +54,7 @@ def test_base_scores_with_and_without_the_head(spark, monkeypatch):
 
 
 def test_the_model_gains_on_held_out_texts(spark):
-    rows = [r for r in lm.score_documents(corpus(spark)).collect() if r["held_out"]]
+    rows = [r for r in lm.score_documents(corpus(spark, 3000)).collect() if r["held_out"]]
     tokens = sum(r["n_tokens"] for r in rows)
     assert len(rows) > 80
     assert sum(r["score"] for r in rows) / tokens > sum(r["base_score"] for r in rows) / tokens + 0.1
