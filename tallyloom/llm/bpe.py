@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from tallyloom.llm.common import Recent, without
 
-CHUNKS = 250_000
-TOKENS = 500_000
+CHUNKS = 100_000
+TOKENS = 240_000
 
 
 def byte_symbols() -> list[str]:
