@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from tallyloom.llm.common import Recent, without
 
-CHUNKS = 100_000
-TOKENS = 240_000
+CHUNKS = 200_000
+TOKENS = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -165,16 +165,37 @@ def encoder_of(path: str, vocabulary: Vocabulary) -> Encoder:
     return _ENCODERS[path]
 
 
+def _encoded(encoder: Encoder, texts: pa.Array) -> pa.Array:
+    parts = [encoder.packed(data or b"") for data in texts.cast(pa.binary()).to_pylist()]
+    ends = np.cumsum([0, *map(len, parts)]) // 4
+    return pa.ListArray.from_arrays(ends.astype(np.int32), np.frombuffer(b"".join(parts), dtype=np.int32))
+
+
+def _table(vocabulary: Vocabulary) -> np.ndarray:
+    """Strings by id; the last place, none, is for unknown ids."""
+    return np.array([vocabulary.strings.get(i) for i in range(max(vocabulary.strings) + 1)] + [None], dtype=object)
+
+
+def _decoded(table: np.ndarray, lists: pa.Array) -> pa.Array:
+    ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+    at, out = 0, []
+    for length in pc.list_value_length(lists).fill_null(0).to_pylist():
+        own = ids[at : at + length]
+        at += length
+        if length and (own.min() < 0 or own.max() >= len(table)):
+            own = np.where((own >= 0) & (own < len(table)), own, len(table) - 1)
+        strings = table[own].tolist()
+        out.append(" ".join(strings) if None not in strings else " ".join(s for s in strings if s is not None))
+    return pa.array(out, pa.string())
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of the whole text as an array."""
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encoded(texts: pa.Array) -> pa.Array:
-        encoder = encoder_of(path, shared.value)
-        parts = [encoder.packed(data or b"") for data in texts.cast(pa.binary()).to_pylist()]
-        ends = np.cumsum([0, *map(len, parts)]) // 4
-        return pa.ListArray.from_arrays(ends.astype(np.int32), np.frombuffer(b"".join(parts), dtype=np.int32))
+        return _encoded(encoder_of(path, shared.value), texts)
 
     # as a non-deterministic function it is not inlined into what reads the ids, which would encode each text again
     return docs.select(*without(docs, [ids]), encoded.asNondeterministic()(text).alias(ids))
@@ -182,27 +203,33 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text of the ids."""
-    strings = load(path).strings
-    table = np.array([strings.get(i) for i in range(max(strings) + 1)] + [None], dtype=object)  # the last place is for unknown ids
-    holes = np.array([s is None for s in table])
-    shared = docs.sparkSession.sparkContext.broadcast((table, holes))
+    shared = docs.sparkSession.sparkContext.broadcast(_table(load(path)))
 
     @F.arrow_udf(T.StringType())
     def decoded(lists: pa.Array) -> pa.Array:
-        table, holes = shared.value
-        ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-        ids = np.where((ids >= 0) & (ids < len(table)), ids, len(table) - 1)
-        found, gaps = table[ids], holes[ids].any()
-        ends = np.cumsum([0, *pc.list_value_length(lists).fill_null(0).to_pylist()])
-        rows = (found[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False))
-        return pa.array([" ".join(x for x in row if x is not None) if gaps else " ".join(row) for row in rows], pa.string())
+        return _decoded(shared.value, lists)
 
     return docs.select(*without(docs, [text]), decoded(ids).alias(text))
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """Adds ``ids`` and ``decoded``, their text: both steps for a batch of texts in one worker."""
+    vocabulary = load(path)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, _table(vocabulary)))
+
+    @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
+    def both(texts: pa.Array) -> pa.Array:
+        vocabulary, table = shared.value
+        ids = _encoded(encoder_of(path, vocabulary), texts)
+        return pa.StructArray.from_arrays([ids, _decoded(table, ids)], ["ids", "decoded"])
+
+    found = docs.select(*without(docs, ["ids", "decoded", "_both"]), both("text").alias("_both"))
+    return found.select(*without(found, ["_both"]), "_both.*")
+
+
 def with_digests(docs: DataFrame, path: str) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of the whole text, beside the other columns."""
-    rows = decode(encode(docs, path), path)
+    rows = round_trip(docs, path)
     rows = rows.withColumns(
         {
             "n_tokens": F.size("ids").cast("long"),

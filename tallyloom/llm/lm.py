@@ -40,8 +40,9 @@ TAILS = 128
 HEAD = 65_536
 SIZE = 16
 NOISE = 48
-BATCH = 4096
+BATCH = 1024
 LEAST_BATCH = 64
+STEPS = 256
 RATE = 0.15
 SEED = 7
 #: Distinct tokens a task gathers before it hands their counts on; tokens scored at once; contexts normalised at once.
@@ -239,7 +240,7 @@ class Trainer:
             classes = np.concatenate(held)
             one, two = self.m.contexts(classes, np.array(starts))
             order = self.rng.permutation(len(classes))
-            size = min(BATCH, max(LEAST_BATCH, len(order) // LEAST_BATCH))  # little text still takes many steps
+            size = min(BATCH, max(LEAST_BATCH, len(order) // STEPS))  # little text still takes many steps
             for at in range(0, len(order), size):
                 some = order[at : at + size]
                 self.step(one[some], two[some], classes[some])
