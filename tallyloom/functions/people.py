@@ -63,7 +63,7 @@ def remove_short_prefix(value: Column) -> Column:
     tokens = F.split(upper_key(text), " ")
     noisy = (F.size(tokens) >= 2) & (F.length(tokens[0]) <= 2) & ~tokens[0].isin("DE", "LA", "EL")
     return F.struct(
-        F.when(noisy, F.array_join(F.slice(tokens, 2, 1000), " ")).otherwise(text).alias("text"), noisy.alias("flagged"))
+        F.when(noisy, F.array_join(F.slice(tokens, F.lit(2), F.size(tokens)), " ")).otherwise(text).alias("text"), noisy.alias("flagged"))
 
 
 def is_incomplete_name(value: Column) -> Column:

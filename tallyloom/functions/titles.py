@@ -106,7 +106,7 @@ def _without_sentence_tail(text: Column) -> Column:
     parts = F.filter(
         F.transform(F.split(text, r"\.\s+"), lambda p: F.regexp_replace(p, r"^[ \-]+|[ \-]+$", "")), lambda p: p != "")
     first = F.split(upper_key(F.get(parts, F.lit(0))), " ")
-    rest = F.split(upper_key(F.array_join(F.slice(parts, 2, 1000), " ")), " ")
+    rest = F.split(upper_key(F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " ")), " ")
     tail = (F.size(parts) > 1) & (F.size(first) >= 4) & (_hits(rest, W.COMMON_NAMES) >= 2)
     return F.when(tail, _trim_marks(F.get(parts, F.lit(0)))).otherwise(text)
 
@@ -118,7 +118,7 @@ def _without_token_tail(df: DataFrame, name: str) -> DataFrame:
     # a tail from index i counts when three common names are left at i or later
     cuts = F.filter(
         F.when(n >= 12, F.sequence(F.lit(5), n - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: _hits(F.slice(F.col("_plain"), i + 1, F.lit(1000)), W.COMMON_NAMES) >= 3)
+        lambda i: _hits(F.slice(F.col("_plain"), i + 1, n), W.COMMON_NAMES) >= 3)
     head = lambda i: _trim_marks(F.array_join(F.slice(F.col("_words"), F.lit(1), i), " "))
     heads = F.filter(F.transform(cuts, head), lambda h: F.size(F.split(upper_key(h), " ")) >= 4)
     return staged.transform(put, name, F.nullif(clean_name(F.coalesce(F.get(heads, F.lit(0)), F.col("_t"))), F.lit(""))).drop("_words", "_plain")

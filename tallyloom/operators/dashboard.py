@@ -152,8 +152,8 @@ def matrix(facts, period_ids: list[int] | None = None) -> DataFrame:
         [m for m in MEASURES if m not in REPORT_MEASURES],
     )
     periods = cut(t.periods)
-    wanted = F.explode(F.array(*[F.lit(v).cast("long") for v in [kpis.TOTAL, *sorted(kpis.bounded_values(t.careers, "career_id"))]]))
-    grid = periods.select("period_id", wanted.alias("scope_id"))
+    scopes = t.careers.select(F.explode(F.array(F.lit(kpis.TOTAL).cast("long"), F.col("career_id").cast("long"))).alias("scope_id")).distinct()
+    grid = kpis.grid(periods.select("period_id"), scopes)
     reports = progress_counts(t.progress, t.traces, facts.current, periods)
     joined = grid.join(cells, KEYS, "left").join(F.broadcast(reports), "period_id", "left")
     return joined.select(

@@ -100,7 +100,7 @@ def transition_errors(log: DataFrame, slice_of: Column | None) -> DataFrame:
         "case_id", "seq", "previous_status", "case_status")
 
 
-def fold_versions(log: DataFrame, slice_of: Column | None, most_rounds: int = 64) -> DataFrame:
+def fold_versions(log: DataFrame, slice_of: Column | None) -> DataFrame:
     """Adds ``outcome``: an event is applied when the version it expects is the version of its case then.
 
     A case starts at version 1 and every applied event adds one. So after the first event that expects
@@ -117,32 +117,28 @@ def fold_versions(log: DataFrame, slice_of: Column | None, most_rounds: int = 64
     jump = cut_lineage(nearest.filter("NOT asks AND next_seq IS NOT NULL").select("case_id", "seq", "next_seq"))
     first = log.filter("expected_version = 1").groupBy("case_id").agg(F.min("seq").alias("seq"))
     reached = cut_lineage(first)
-    for _round in range(most_rounds):
+    while True:
         more = reached.join(jump, ["case_id", "seq"]).select("case_id", F.col("next_seq").alias("seq"))
         grown = cut_lineage(reached.union(more).distinct())
         if grown.count() == reached.count():
             break
         hop = jump.select("case_id", F.col("seq").alias("next_seq"), F.col("next_seq").alias("far"))
         reached, jump = grown, cut_lineage(jump.join(hop, ["case_id", "next_seq"]).select("case_id", "seq", F.col("far").alias("next_seq")))
-    else:
-        raise RuntimeError("decision chains did not settle")
     return log.join(reached.withColumn("_in", F.lit(True)), ["case_id", "seq"], "left").withColumn(
         "outcome", F.when(F.col("_in"), "applied").otherwise("conflict")).drop("_in")
 
 
-def restore_values(log: DataFrame, most_rounds: int = 64) -> DataFrame:
+def restore_values(log: DataFrame) -> DataFrame:
     """Adds ``effective_value``: a reversal restores the state before the decision it reverts, through chains of reversals."""
     own = log.select("case_id", "seq", F.when(F.col("reverts_seq").isNull(), F.col("seq")).otherwise(F.col("reverts_seq") - 1).alias("source"))
     sources = cut_lineage(own)
-    for _round in range(most_rounds):
+    while True:
         hop = sources.select("case_id", F.col("seq").alias("source"), F.col("source").alias("next"))
         moved = cut_lineage(sources.join(hop, ["case_id", "source"], "left").select(
             "case_id", "seq", F.coalesce("next", "source").alias("source"), (F.coalesce("next", "source") != F.col("source")).alias("moved")))
         sources = moved.select("case_id", "seq", "source")
         if not moved.filter("moved").limit(1).count():
             break
-    else:
-        raise RuntimeError("reversal chains did not settle")
     values = log.select("case_id", F.col("seq").alias("source"), F.col("value").alias("effective_value"))
     return log.join(sources, ["case_id", "seq"]).join(values, ["case_id", "source"], "left")
 

@@ -100,10 +100,16 @@ def _project_keys(codes: Column, tokens: Column) -> Column:
     return F.flatten(F.transform(plain, lambda c: F.transform(_heads(tokens), lambda h: F.concat(F.lit("c:"), c, F.lit(" "), h))))
 
 
+def role_word(role: Column) -> Column:
+    """The word of the seed list that a role key stands for; any other text stands for itself."""
+    known = F.coalesce(*[F.when(F.lower(role) == k, F.lit(w)) for k, w in ROLE_WORDS.items()])
+    return F.coalesce(known, alnum_key(role))
+
+
 def seed_matches(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
     """Compatible (candidate, record) pairs with match type, confidence and decision.
 
-    ``candidates`` holds (candidate_id, name, identity_number, project_codes, role_words). A pair is built
+    ``candidates`` holds (candidate_id, name, identity_number, project_codes, role_words: role keys). A pair is built
     only where an identity number, a spelling, a beginning of a spelling, a token subset or enough
     token beginnings are equal, so the join keys carry the rules. Every rule but the looser similarity
     ones is complete: those need their tokens to begin alike, or a project code and one such token.
@@ -140,7 +146,7 @@ def seed_matches(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
     code = lambda v: F.replace(alnum_key(v), F.lit(" "), F.lit(""))
     df = df.withColumn(
         "_project", F.coalesce(F.array_contains(F.transform("project_codes", code), code(F.col("project_code"))) & (code(F.col("project_code")) != ""), F.lit(False))
-    ).withColumn("_role", F.coalesce(F.exists("role_words", lambda w: (w != "") & alnum_key(F.col("role")).contains(w)), F.lit(False)))
+    ).withColumn("_role", F.coalesce(F.exists("role_words", lambda w: (w != "") & alnum_key(F.col("role")).contains(role_word(w))), F.lit(False)))
     # similarity depends on the two names alone: score each distinct pair once
     scores = df.filter("NOT (_number OR _exact OR _prefix OR _subset)").select("_key", "normalized_name").distinct().select(
         "_key", "normalized_name", token_share(F.split("_key", " "), F.split("normalized_name", " ")).alias("_share"),
@@ -322,7 +328,7 @@ def record_roles(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.max("confidence").alias("confidence"), F.max_by("role_id", order).alias("role_id"), F.count(F.lit(1)).alias("merged_rows"))
 
 
-def evidence_components(roles: DataFrame, authors: DataFrame, most_rounds: int = 60) -> DataFrame:
+def evidence_components(roles: DataFrame, authors: DataFrame) -> DataFrame:
     """(entry, component): role and author rows with equivalent names that share a product or a job.
 
     Inputs hold (entry, name, relations). Names are equivalent when their token sets are equal or one of
@@ -349,7 +355,7 @@ def evidence_components(roles: DataFrame, authors: DataFrame, most_rounds: int =
     live = links.groupBy("point").agg(F.min("side").alias("x"), F.max("side").alias("y")).filter("x <> y").select("point")
     links = cut_lineage(links.join(live, "point", "left_semi").select("entry", "point"))
     labels = cut_lineage(links.select("entry", F.col("entry").alias("component")).distinct())
-    for _round in range(most_rounds):
+    while True:
         low = links.join(labels, "entry").groupBy("point").agg(F.min("component").alias("low"))
         near = links.join(low, "point").groupBy("entry").agg(F.min("low").alias("low"))
         hop = labels.select(F.col("entry").alias("low"), F.col("component").alias("far"))
@@ -359,8 +365,6 @@ def evidence_components(roles: DataFrame, authors: DataFrame, most_rounds: int =
         labels = fresh.select("entry", F.col("next").alias("component"))
         if not fresh.filter("next <> old").limit(1).count():
             break
-    else:
-        raise RuntimeError("evidence components did not settle")
     everyone = roles.select("entry").union(authors.select("entry")).distinct()
     return everyone.join(labels, "entry", "left").select("entry", F.coalesce("component", "entry").alias("component"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import career_key, folded_key, upper_key
-from tallyloom.operators import filters, kpis, matching, skew
+from tallyloom.operators import filters, matching, skew
 
 SMALL_CATALOG = 500
 
@@ -56,7 +56,7 @@ def longest_match(texts: DataFrame, key: str, text: str, catalog: DataFrame, id_
     """
     entries = catalog.select(F.col(id_column).alias("id"), upper_key(F.col(name)).alias("full")).withColumn(
         "short", F.replace(F.col("full"), F.lit("LICENCIATURA EN "), F.lit(""))
-    )
+    ).filter("full <> '' AND short <> ''")  # a blank name is in no text
     rows = texts.select(F.col(key).alias("_k"), upper_key(F.col(text)).alias("_t"))
     small = entries.limit(SMALL_CATALOG + 1).collect()
     if len(small) <= SMALL_CATALOG:
@@ -203,7 +203,3 @@ def candidate_actions(candidates: DataFrame, audits: DataFrame, entity_type: str
     first = first.groupBy("_key").agg(F.min_by(F.struct("action", "record_id"), "audit_id").alias("_a"))
     return candidates.withColumn("_key", upper_key(F.col("raw_value"))).join(first, "_key", "left").select(
         *candidates.columns, F.coalesce("_a.action", F.lit("detected_not_persisted_yet")).alias("action"), F.col("_a.record_id").alias("record_id"))
-
-
-def bounded(df: DataFrame, column: str) -> list:
-    return kpis.bounded_values(df, column)

@@ -108,12 +108,10 @@ def dedupe_progress(progress: DataFrame, traces: DataFrame) -> DataFrame:
     return rows.groupBy("yr", "cycle", "dedupe_key").agg(F.max_by(row, "report_id").alias("_row")).select("_row.*")
 
 
-def bounded_values(df: DataFrame, column: str, most: int = 5000) -> list:
-    """Distinct values of a dimension column on the driver; refuses a column that is not one."""
-    rows = df.select(column).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{column} has more than {most} values; it is no dimension")
-    return [row[0] for row in rows]
+def grid(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of ``left`` beside every row of ``right``, for two short lists of dimension keys, as an equality join."""
+    one = lambda df: df.withColumn("_all", F.pmod(F.hash(*df.columns), F.lit(1)))
+    return one(left).join(one(right), "_all").drop("_all")
 
 
 def career_jobs(valid_roles: DataFrame) -> DataFrame:
@@ -157,15 +155,13 @@ def career_kpis(
         .groupBy(F.col("period_id").alias("previous_id"), "career_id").agg(F.count(F.lit(1)).alias("_previous"))
     )
     plan = goals.filter(F.col("metric") == "SCIENTIFIC_OUTPUT").select("career_id", "yr", F.col("planned_value").alias("_planned"))
-    wanted = F.explode(F.array(*[F.lit(v).cast("long") for v in sorted(bounded_values(periods, "period_id"))]))
-    grid = (
-        careers.select("career_id", F.col("name").alias("career_name"), wanted.alias("period_id"))
-        .join(F.broadcast(periods.select("period_id", "yr")), "period_id")
-        .join(F.broadcast(previous_periods(periods)), "period_id", "left")
+    cells = (
+        grid(careers.select("career_id", F.col("name").alias("career_name")), periods.select("period_id", "yr"))
+        .join(previous_periods(periods), "period_id", "left")
     )
     keys = ["period_id", "career_id"]
     joined = (
-        grid.join(people, keys, "left").join(output, keys, "left").join(projects, keys, "left")
+        cells.join(people, keys, "left").join(output, keys, "left").join(projects, keys, "left")
         .join(own_output, ["previous_id", "career_id"], "left").join(plan, ["career_id", "yr"], "left")
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))

@@ -34,7 +34,7 @@ def _candidates(t):
     return t.mention_names.select(
         F.col("mention_id").alias("candidate_id"), F.col("raw_name").alias("name"),
         F.when(F.col("mention_id") % 10 == 0, F.concat(F.lit("09"), F.col("mention_id").cast("string"))).alias("identity_number"),
-        F.array(F.concat(F.lit("fci-"), (F.col("mention_id") % 300).cast("string"))).alias("project_codes"), F.array(F.lit("DIRECTOR")).alias("role_words"))
+        F.array(F.concat(F.lit("fci-"), (F.col("mention_id") % 300).cast("string"))).alias("project_codes"), F.array(F.lit("director_proyecto")).alias("role_words"))
 
 
 @query("id01_name_aliases", NAMES + f"""

@@ -157,6 +157,10 @@ WITH n AS (SELECT canonical_identity_key AS key, trim(regexp_replace(strip_accen
 g AS (SELECT name_key FROM n GROUP BY 1 HAVING count(DISTINCT key) >= 2)"""
 
 
+# Fixed value: options shown for a case.
+MOST_OPTIONS = 100
+
+
 @query("jn17_counterpart_options", X_PENDING + """,
 act AS (SELECT item_id, target_table, target_pk FROM v_review_items WHERE case_type = 'possible_duplicate' AND case_status <> 'superseded'),
 named AS (SELECT n.name_key, n.key, r.source_table AS target_table, CAST(r.source_id AS BIGINT) AS target_pk FROM n JOIN g ON g.name_key = n.name_key JOIN x_resolved r ON r.key = n.key WHERE r.source_table = 'person_roles'),
@@ -164,7 +168,7 @@ one AS (SELECT target_table, target_pk FROM act GROUP BY 1, 2 HAVING count(*) =
 opt AS (SELECT a.item_id, o.target_table AS option_table, o.target_pk AS option_pk, row_number() OVER (PARTITION BY a.item_id ORDER BY o.target_table, o.target_pk) AS position
   FROM act a JOIN named me ON me.target_table = a.target_table AND me.target_pk = a.target_pk JOIN named o ON o.name_key = me.name_key AND o.key <> me.key
   JOIN one ON one.target_table = o.target_table AND one.target_pk = o.target_pk)
-SELECT item_id, CAST(position AS INT) AS position, option_table, option_pk FROM opt WHERE position <= 20""")
+SELECT item_id, CAST(position AS INT) AS position, option_table, option_pk FROM opt WHERE position <= 100""")
 def _(t):
     f = Facts(t)
     people = f.participants.filter(F.col("canonical_identity_key").startswith("pending:")).select(
@@ -172,7 +176,7 @@ def _(t):
     shared = people.groupBy("name_key").agg(F.count_distinct("canonical_identity_key").alias("_n")).filter("_n >= 2").select("name_key")
     people = people.join(shared, "name_key", "left_semi")
     sources = f.resolved.filter("source_table = 'person_roles'").select("source_table", F.col("source_id").cast("long").alias("source_id"), "key")
-    return joins.counterpart_options(t.review_items, sources, people, 20)
+    return joins.counterpart_options(t.review_items, sources, people, MOST_OPTIONS)
 
 
 @query("jn18_related_cases", """

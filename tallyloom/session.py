@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +27,7 @@ def build_session(master: str = "local[8]", app: str = "tallyloom", **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which every executor sees.
-
-    Only a session on one machine without that setting (tests) gets a folder of its own.
-    """
+    """The folder of ``spark.checkpoint.dir``, which every executor sees; where it is unset, one in the warehouse, which is shared too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
@@ -39,9 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if not known.isEmpty():
         return known.get()
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="tallyloom-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
