@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
@@ -34,6 +35,8 @@ from tallyloom.llm.common import Recent, without
 
 CHUNKS = 200_000
 TOKENS = 300_000
+#: Bytes of text worked on and handed back at a time; a longer text goes alone.
+SLICE = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -171,6 +174,17 @@ def _encoded(encoder: Encoder, texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(ends.astype(np.int32), np.frombuffer(b"".join(parts), dtype=np.int32))
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The array in pieces of about SLICE bytes of text."""
+    start, size = 0, 0
+    for at, length in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if at > start and size + length > SLICE:
+            yield texts.slice(start, at - start)
+            start, size = at, 0
+        size += length
+    yield texts.slice(start)
+
+
 def _table(vocabulary: Vocabulary) -> np.ndarray:
     """Strings by id; the last place, none, is for unknown ids."""
     return np.array([vocabulary.strings.get(i) for i in range(max(vocabulary.strings) + 1)] + [None], dtype=object)
@@ -213,15 +227,17 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Adds ``ids`` and ``decoded``, their text: both steps for a batch of texts in one worker."""
+    """Adds ``ids`` and ``decoded``, their text: both steps in one worker, a slice of a batch at a time."""
     vocabulary = load(path)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, _table(vocabulary)))
 
     @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
-    def both(texts: pa.Array) -> pa.Array:
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary, table = shared.value
-        ids = _encoded(encoder_of(path, vocabulary), texts)
-        return pa.StructArray.from_arrays([ids, _decoded(table, ids)], ["ids", "decoded"])
+        for batch in batches:
+            for texts in _slices(batch):
+                ids = _encoded(encoder_of(path, vocabulary), texts)
+                yield pa.StructArray.from_arrays([ids, _decoded(table, ids)], ["ids", "decoded"])
 
     found = docs.select(*without(docs, ["ids", "decoded", "_both"]), both("text").alias("_both"))
     return found.select(*without(found, ["_both"]), "_both.*")

@@ -62,3 +62,11 @@ def test_digests(spark, library):
 def test_decoding_skips_what_it_does_not_know(spark):
     rows = spark.createDataFrame([([320, None, 999_999],), (None,), ([],)], "ids array<int>")
     assert [r["decoded"] for r in bpe.decode(rows, PATH).collect()] == [bpe.load(PATH).strings[320], "", ""]
+
+
+def test_slices_lose_no_row(monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE", 8)
+    texts = bpe.pa.array(["", None, "abc", "defgh", "i", "x" * 40, "", None, "yz"])
+    pieces = list(bpe._slices(texts))
+    assert len(pieces) > 2 and [t for piece in pieces for t in piece.to_pylist()] == texts.to_pylist()
+    assert [p.to_pylist() for p in bpe._slices(texts.slice(0, 0))] == [[]]
