@@ -55,7 +55,7 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
             (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
         )))
         reach *= 2
-    parents = links.filter("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+    parents = levels[0].filter("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     same = F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
     leaves = levels[-1].filter("up IS NULL").join(parents, same, "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.col("score").desc(), "node")
@@ -64,7 +64,8 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     for k in range(len(levels) - 1, -1, -1):
         up = levels[k].filter("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         further = members.join(up, same).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
-        members = members.unionByName(further)
+        # read twice by the next round: without the cut the plan would double each time
+        members = cut_lineage(members.unionByName(further))
     texts = rows.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     return members.join(texts, same).select("tree", "leaf", "depth", "role", "text")
 
