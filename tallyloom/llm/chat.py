@@ -45,24 +45,29 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     known = rows.select(F.col("tree").alias("t"), F.col("node").alias("n")).distinct()
     on = F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n"))
     links = rows.join(known, on, "left").select("tree", "node", F.col("n").alias("up"), F.when(F.col("n").isNull(), 0).otherwise(1).cast("long").alias("steps"), "score")
-    levels, limit, reach = [cut_lineage(links)], rows.count(), 1
-    while levels[-1].filter("up IS NOT NULL").limit(1).count() and reach <= limit:
+    start = cut_lineage(links)
+    limit, reach = rows.count(), 1
+    ended = start.filter("up IS NULL").select("tree", "node", "steps", "score")
+    levels = [start.filter("up IS NOT NULL")]
+    # only nodes that have not met their root go on, and of the others only those of their trees can be met
+    while reach <= limit and levels[-1].limit(1).count():
         here = levels[-1]
-        there = here.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"))
-        joined = here.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-        levels.append(cut_lineage(joined.select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
-            (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
-        )))
+        alive = here.select(F.col("tree").alias("t")).distinct()
+        met = ended.join(alive, F.col("tree").eqNullSafe(F.col("t")), "left_semi").select("tree", "node", F.lit(None).cast(messages.schema["node"].dataType).alias("up"), "steps", "score")
+        there = here.unionByName(met).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"))
+        joined = here.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
+        further = cut_lineage(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("score") + F.col("score2")).alias("score")))
+        ended = ended.unionByName(further.filter("up IS NULL").select("tree", "node", "steps", "score"))
+        levels.append(further.filter("up IS NOT NULL"))
         reach *= 2
-    parents = levels[0].filter("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+    parents = levels[0].select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     same = F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
-    leaves = levels[-1].filter("up IS NULL").join(parents, same, "left_anti")
+    leaves = ended.join(parents, same, "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.col("score").desc(), "node")
     chosen = leaves.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= best)
     members = chosen.select("tree", F.col("node").alias("leaf"), "node", F.col("steps").alias("depth"))
-    for k in range(len(levels) - 1, -1, -1):
-        up = levels[k].filter("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+    for k in range(len(levels) - 2, -1, -1):  # the last level is empty or holds cycles alone
+        up = levels[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         further = members.join(up, same).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
         # read twice by the next round: without the cut the plan would double each time
         members = cut_lineage(members.unionByName(further))
