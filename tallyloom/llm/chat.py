@@ -16,6 +16,8 @@ of parents have no root and give no path; equal scores rank by node; empty table
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,22 +49,26 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     links = rows.join(known, on, "left").select("tree", "node", F.col("n").alias("up"), F.when(F.col("n").isNull(), 0).otherwise(1).cast("long").alias("steps"), "score")
     start = cut_lineage(links)
     limit, reach = rows.count(), 1
-    ended = start.filter("up IS NULL").select("tree", "node", "steps", "score")
-    levels = [start.filter("up IS NOT NULL")]
+    of_root = lambda df: df.filter("up IS NULL").select("tree", "node", "steps", "score")
+    ended, levels = [of_root(start)], [start.filter("up IS NOT NULL")]
+    met = ended[0]
     # only nodes that have not met their root go on, and of the others only those of their trees can be met
     while reach <= limit and levels[-1].limit(1).count():
         here = levels[-1]
         alive = here.select(F.col("tree").alias("t")).distinct()
-        met = ended.join(alive, F.col("tree").eqNullSafe(F.col("t")), "left_semi").select("tree", "node", F.lit(None).cast(messages.schema["node"].dataType).alias("up"), "steps", "score")
-        there = here.unionByName(met).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"))
+        met = cut_lineage(met.join(alive, F.col("tree").eqNullSafe(F.col("t")), "left_semi"))
+        there = here.unionByName(met.withColumn("up", F.lit(None).cast(messages.schema["node"].dataType))).select(
+            F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2")
+        )
         joined = here.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
         further = cut_lineage(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("score") + F.col("score2")).alias("score")))
-        ended = ended.unionByName(further.filter("up IS NULL").select("tree", "node", "steps", "score"))
+        ended.append(of_root(further))
+        met = met.unionByName(ended[-1])
         levels.append(further.filter("up IS NOT NULL"))
         reach *= 2
     parents = levels[0].select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     same = F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
-    leaves = ended.join(parents, same, "left_anti")
+    leaves = reduce(DataFrame.unionByName, ended).join(parents, same, "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.col("score").desc(), "node")
     chosen = leaves.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= best)
     members = chosen.select("tree", F.col("node").alias("leaf"), "node", F.col("steps").alias("depth"))
