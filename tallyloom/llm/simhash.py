@@ -116,14 +116,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, with its own columns: the one with the smallest id (nulls last), then fingerprint."""
     columns = docs.columns
     named = cut_lineage(_named(docs))
+    # joined by row, not by root: a large component is no hot key
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint")).alias("first"))
-    joined = named.join(first, "root")
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fingerprint") == F.col("first.fingerprint"))
-    gone = joined.filter(~stays).select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_f")).distinct()
-    gone = cut_lineage(gone)
-    repeated = joined.filter(stays).groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").count()
-    packed = with_fingerprint(docs.select("doc_id", "text", F.struct("*").alias("_doc")))
+    stays = cut_lineage(first.select(F.col("first.doc_id").alias("_id"), F.col("first.fingerprint").alias("_f")))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fingerprint") == F.col("_f"))
+    gone = cut_lineage(named.join(stays, on, "left_anti").select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_f")).distinct())
+    repeated = named.join(stays, on, "left_semi").groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    packed = with_fingerprint(docs.select("doc_id", "text", F.struct("*").alias("_doc")))
     rows = packed.join(small_or_plain(gone, gone.count()), on, "left_anti")
     if repeated:  # otherwise there is nothing to drop, and the texts need not move
         rows = rows.dropDuplicates(["doc_id", "fingerprint"])
