@@ -7,6 +7,7 @@ to the earlier token, so a score does not depend on set order.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,7 +20,8 @@ PREFIX_SCORE = 0.96
 SUFFIX_SCORE = 0.9
 
 
-def _token_similarity(left: str, right: str, affixes: bool) -> float:
+@lru_cache(maxsize=1 << 16)
+def token_similarity(left: str, right: str, affixes: bool) -> float:
     if left == right:
         return 1.0
     if affixes:
@@ -45,7 +47,7 @@ def matched_share(left, right, affixes: bool = True, by_left: bool = True) -> fl
     free = list(two)
     found = 0
     for token in one:
-        scores = [_token_similarity(token, other, affixes) for other in free]
+        scores = [token_similarity(token, other, affixes) for other in free]
         best = max(scores, default=0.0)
         if best >= SAME_TOKEN:
             free.pop(scores.index(best))

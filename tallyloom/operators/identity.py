@@ -15,10 +15,11 @@ from tallyloom.functions.hashing import uuid5
 from tallyloom.functions.people import title_case
 from tallyloom.functions.stage import put
 from tallyloom.functions.text import alnum_key, name_key, upper_key
-from tallyloom.operators import names, skew
+from tallyloom.operators import names, near, skew
 from tallyloom.session import cut_lineage, spread
 
 EXACT, PARTIAL = 0.98, 0.96  # least confidence of exact and of corroborated partial matches
+WEAK, HALF = 0.72, 0.5  # least similarity of a suggestion by name alone, least token share beside a project code
 SUGGESTED = 0.86  # from here a suggestion about an eligible person is taken
 MERGE, MERGE_REVIEW = 96.0, 86.0  # scores from which names merge, and go to review
 EXACT_TYPES = ("identity_number", "exact_normalized_name", "inverted_name")
@@ -79,51 +80,53 @@ def _set_key(tokens: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(tokens)), " ")
 
 
-def _heads(tokens: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(F.filter(tokens, lambda t: F.length(t) > 1), lambda t: F.substring(t, 1, 3))))
-
-
-def _near_keys(tokens: Column) -> Column:
-    """Sets of token beginnings as large as the number of tokens a similar name has to share."""
-    n = F.size(F.filter(tokens, lambda t: F.length(t) > 1))
-    need = F.least(F.ceil(n * 0.72).cast("int"), F.size(_heads(tokens)))
-    return F.filter(_subsets(_heads(tokens)), lambda k: F.size(F.split(k, " ")) == need)
-
-
 @pandas_udf(T.DoubleType())
 def _sequence(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)], dtype="float64")
 
 
-def _project_keys(codes: Column, tokens: Column) -> Column:
-    plain = F.filter(F.transform(codes, lambda c: F.replace(alnum_key(c), F.lit(" "), F.lit(""))), lambda c: c != "")
-    return F.flatten(F.transform(plain, lambda c: F.transform(_heads(tokens), lambda h: F.concat(F.lit("c:"), c, F.lit(" "), h))))
-
-
 def role_word(role: Column) -> Column:
     """The word of the seed list that a role key stands for; any other text stands for itself."""
     known = F.coalesce(*[F.when(F.lower(role) == k, F.lit(w)) for k, w in ROLE_WORDS.items()])
     return F.coalesce(known, alnum_key(role))
 
 
+def _code(value: Column) -> Column:
+    return F.replace(alnum_key(value), F.lit(" "), F.lit(""))
+
+
+def _near_pairs(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(candidate_id, record_id) with alike names, or with one project code and an alike token where half of them have to be."""
+    keys, known = cut_lineage(candidates.select(F.col("_key").alias("name")).distinct()), cut_lineage(seeds.select("normalized_name").distinct())
+    places = known.select("normalized_name", F.explode(F.array_distinct(near.long_tokens(F.col("normalized_name")))).alias("other"))
+    links = cut_lineage(near.token_links(
+        keys.select(F.explode(near.long_tokens(F.col("name"))).alias("token")).distinct(), places.select(F.col("other").alias("token")).distinct()))
+    by_name = cut_lineage(near.alike_names(keys, known, links, places, WEAK))
+    by_name = by_name.join(candidates.select("candidate_id", F.col("_key").alias("name")), "name").join(seeds.select("record_id", "normalized_name"), "normalized_name")
+    codes = lambda v: F.explode(F.array_distinct(F.filter(F.transform(v, _code), lambda c: c != ""))).alias("code")
+    left = candidates.select("candidate_id", F.col("_key").alias("name"), codes("project_codes")).join(near.rare_tokens(keys, links, places, HALF), "name")
+    right = seeds.select("record_id", "normalized_name", codes(F.array("project_code"))).join(places, "normalized_name")
+    by_code = left.join(right, ["code", "other"])
+    return by_name.select("candidate_id", "record_id").union(by_code.select("candidate_id", "record_id"))
+
+
 def seed_matches(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
     """Compatible (candidate, record) pairs with match type, confidence and decision.
 
     ``candidates`` holds (candidate_id, name, identity_number, project_codes, role_words: role keys). A pair is built
-    only where an identity number, a spelling, a beginning of a spelling, a token subset or enough
-    token beginnings are equal, so the join keys carry the rules. Every rule but the looser similarity
-    ones is complete: those need their tokens to begin alike, or a project code and one such token.
+    where an identity number, a spelling, a beginning of a spelling or a token subset is equal, where the names
+    are alike by tokens or by sequence (``near``), or where a project code is equal and one of the rarest tokens
+    alike. Each rule is complete: its keys are equal wherever it holds.
     """
-    seeds = spread(seeds)
+    seeds = cut_lineage(spread(seeds))
     c = spread(candidates).transform(put, "_key", name_key(F.col("name")))
-    c = c.transform(put, "_tokens", F.filter(F.split("_key", " "), lambda t: t != "")).withColumn(
-        "_digits", F.nullif(F.regexp_replace(F.coalesce("identity_number", F.lit("")), r"\D+", ""), F.lit("")))
+    c = cut_lineage(c.transform(put, "_tokens", F.filter(F.split("_key", " "), lambda t: t != "")).withColumn(
+        "_digits", F.nullif(F.regexp_replace(F.coalesce("identity_number", F.lit("")), r"\D+", ""), F.lit(""))))
     tagged = lambda tag, values: F.transform(values, lambda v: F.concat(F.lit(tag), v))
     one = lambda v: F.array_compact(F.array(v))
     c_keys = F.concat(
         tagged("i:", one(F.col("_digits"))), tagged("a:", one(F.nullif("_key", F.lit("")))),
-        F.when(F.size("_tokens") >= 2, F.concat(tagged("p:", F.array("_key")), tagged("s:", F.array(_set_key(F.col("_tokens")))))).otherwise(F.array().cast("array<string>")),
-        tagged("f:", _near_keys(F.col("_tokens"))), _project_keys(F.col("project_codes"), F.col("_tokens")), F.when(F.size("_tokens") == 1, tagged("t:", F.col("_tokens"))).otherwise(F.array().cast("array<string>")))
+        F.when(F.size("_tokens") >= 2, F.concat(tagged("p:", F.array("_key")), tagged("s:", F.array(_set_key(F.col("_tokens")))))).otherwise(F.array().cast("array<string>")))
     left = c.select("candidate_id", F.explode(F.array_distinct(c_keys)).alias("block"))
 
     spellings = F.transform("alias_keys", lambda a: F.split(a, " "))
@@ -131,21 +134,19 @@ def seed_matches(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
         F.filter(F.sequence(F.lit(1), F.length(a)), lambda n: (n > F.length(F.substring_index(a, " ", 1)) + 1) & (n < F.length(a))), lambda n: F.substring(a, F.lit(1), n)))))
     s_keys = F.concat(
         tagged("i:", one(F.col("identity_digits"))), tagged("a:", F.col("alias_keys")), tagged("p:", beginnings),
-        tagged("s:", F.flatten(F.transform(spellings, _proper_subsets))), tagged("f:", _subsets(_heads(F.split("normalized_name", " ")))),
-        _project_keys(F.array("project_code"), F.split("normalized_name", " ")),
-        tagged("t:", F.split("normalized_name", " ")))
+        tagged("s:", F.flatten(F.transform(spellings, _proper_subsets))))
     right = seeds.select("record_id", F.explode(F.array_distinct(s_keys)).alias("block"))
     tag = F.substring("block", 1, 1)
     # the kind of key two rows met on is the rule that holds for them
-    pairs = left.join(right, "block").groupBy("candidate_id", "record_id").agg(
-        F.bool_or(tag == "i").alias("_number"), F.bool_or(tag == "a").alias("_exact"), F.bool_or(tag == "p").alias("_prefix"), F.bool_or(tag == "s").alias("_subset"))
+    met = left.join(right, "block").unionByName(_near_pairs(c, seeds).withColumn("block", F.lit("n")))
+    pairs = cut_lineage(met.groupBy("candidate_id", "record_id").agg(
+        F.bool_or(tag == "i").alias("_number"), F.bool_or(tag == "a").alias("_exact"), F.bool_or(tag == "p").alias("_prefix"), F.bool_or(tag == "s").alias("_subset")))
 
     columns = ["candidate_id", "name", "_key", "_tokens", "project_codes", "role_words"]
     df = pairs.join(c.select(*columns), "candidate_id").join(
         seeds.select("record_id", "official_name", "normalized_name", "inverted_key", "identity_digits", "project_code", "role"), "record_id")
-    code = lambda v: F.replace(alnum_key(v), F.lit(" "), F.lit(""))
     df = df.withColumn(
-        "_project", F.coalesce(F.array_contains(F.transform("project_codes", code), code(F.col("project_code"))) & (code(F.col("project_code")) != ""), F.lit(False))
+        "_project", F.coalesce(F.array_contains(F.transform("project_codes", _code), _code(F.col("project_code"))) & (_code(F.col("project_code")) != ""), F.lit(False))
     ).withColumn("_role", F.coalesce(F.exists("role_words", lambda w: (w != "") & alnum_key(F.col("role")).contains(role_word(w))), F.lit(False)))
     # similarity depends on the two names alone: score each distinct pair once
     scores = df.filter("NOT (_number OR _exact OR _prefix OR _subset)").select("_key", "normalized_name").distinct().select(
@@ -163,9 +164,9 @@ def seed_matches(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
         .when(F.col("_prefix"), row("strict_name_prefix", F.lit(0.97), valid))
         .when(F.col("_subset"), row("name_token_subset", F.lit(0.96), valid))
         .when(two & (F.col("_share") >= 0.98), row("strong_name_similarity", F.lit(0.93), valid))
-        .when(F.col("_project") & F.col("_role") & (F.col("_share") >= 0.5), row("project_role_name_context", F.greatest(F.lit(0.86), best), suggested))
-        .when(F.col("_project") & (F.col("_share") >= 0.5), row("project_name_context", F.greatest(F.lit(0.82), best), suggested))
-        .when(two & (best >= 0.72), row("weak_name_similarity", best, suggested))
+        .when(F.col("_project") & F.col("_role") & (F.col("_share") >= HALF), row("project_role_name_context", F.greatest(F.lit(0.86), best), suggested))
+        .when(F.col("_project") & (F.col("_share") >= HALF), row("project_name_context", F.greatest(F.lit(0.82), best), suggested))
+        .when(two & (best >= WEAK), row("weak_name_similarity", best, suggested))
         .when((F.size("_tokens") == 1) & (F.col("_share") >= 0.99), row("single_token_name", F.lit(0.66), suggested))
     )
     return df.withColumn("_v", verdict).filter("_v IS NOT NULL").select(

@@ -5,10 +5,10 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from tallyloom.functions.fuzzy import matched_share, set_ratio
+from tallyloom.functions.fuzzy import matched_share, set_ratio, token_similarity
 from tallyloom.functions.people import institution_display, is_incomplete_name, looks_like_person, remove_short_prefix
 from tallyloom.functions.text import name_tokens
-from tallyloom.operators import identity, names
+from tallyloom.operators import identity, names, near
 
 random.seed(7)
 SURNAMES = ["PAREDES", "RUIZ", "MENA", "VERA", "CEDEÑO"]
@@ -111,6 +111,52 @@ def test_seed_rules(spark):
     assert got == {c[0]: (c[5], c[6]) for c in CANDIDATES}
 
 
+LOOSE_SEEDS = [
+    (1, "JIMENEZ VERA ROSA", None, None, None), (2, "CEDENO ARIAS ELENA", None, None, None), (3, "RIVADENEIRA CAMPOVERDE JORGE XAVIER", None, "FCI 7", "Director"),
+    (4, "MONTESDEOCA PERALTA MARLENE", None, "FCI 7", "Tutor"), (5, "VILLAVICENCIOSANTOS PAZ LUZ", None, None, None), (6, "PAZ RUIZ ANA", None, None, None)]
+LOOSE = ["Rosa Gimenez", "Elena Sedeno Arias", "Ira Campove Rde Jorge", "Montesdeoka", "Villabicenciosantos Luz", "Ana Ruis", "Tono Xavier", "Luz", "Rosa Paz", "Anarosa", "Deoca Peralta Mar", "A Paz"]
+
+
+def test_seed_matches_equal_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    random.seed(5)
+    parts = ["JIMENEZ", "GIMENEZ", "VERA", "BERA", "ROSA", "ROZA", "ARIAS", "MORA", "ZAMORA", "MARIANA", "MARIA", "CAMPOVERDEZAMBRANO", "CAMPOBERDEZANBRANO", "LU", "PEREZ", "PERES"]
+    seeds = LOOSE_SEEDS + [(i, " ".join(random.sample(parts, 4)), None, f"FCI {i % 5}", "Director") for i in range(10, 50)]
+    rows = [(i, n, None, ["fci7"] if i == 3 else [], []) for i, n in enumerate(LOOSE)] + [(i, " ".join(random.sample(parts, random.choice([1, 2, 3, 4, 5]))), None, [f"fci-{i % 5}"], ["tutor"]) for i in range(20, 100)]
+    table = identity.seed_table(spark.createDataFrame(seeds, "record_id long, raw_name string, identity_number string, project_code string, role string"))
+    people = spark.createDataFrame(rows, "candidate_id long, name string, identity_number string, project_codes array<string>, role_words array<string>")
+    got = {(r["candidate_id"], r["record_id"]): r["match_type"] for r in identity.seed_matches(people, table).collect()}
+    want = {}
+    for i, name, _n, codes, _w in rows:
+        key = plain(name)
+        for r in table.collect():
+            share = matched_share(key.split(), r["normalized_name"].split())
+            ratio = SequenceMatcher(None, key, r["normalized_name"]).ratio()
+            project = (r["project_code"] or "-").replace(" ", "").upper() in [c.replace("-", "").upper() for c in codes]
+            several = len(key.split()) >= 2
+            spelled = key in r["alias_keys"] or several and any(a.startswith(key) or set(key.split()) < set(a.split()) for a in r["alias_keys"])
+            if spelled or project and share >= 0.5 or several and max(share, ratio) >= 0.72 or not several and share >= 0.99:
+                want[i, r["record_id"]] = True
+    assert set(got) == set(want)
+    assert [got.get(k) for k in ((0, 1), (1, 2), (2, 3))] == ["strong_name_similarity", "weak_name_similarity", "weak_name_similarity"]
+    assert got[3, 4] == "project_name_context" and got[4, 5] == "strong_name_similarity"
+
+
+def test_ratio_keys_miss_no_pair():
+    random.seed(9)
+    for size in ((3, 12), (9, 16), (13, 30)):
+        for _ in range(3000):
+            a = "".join(random.choice("ABCDE") for _ in range(random.randint(*size)))
+            b = list(a)
+            for _ in range(random.randint(0, 5)):
+                at = random.randrange(len(b) + 1)
+                b[at:at + random.choice([0, 1])] = random.choice(["", "A", "B", "X"])
+            b = "".join(b)
+            if len(b) > 1 and token_similarity(a, b, True) >= 0.84:
+                assert set(near._keys(a, True)) & set(near._keys(b, False)), (a, b)
+
+
 def test_person_and_institution_text(spark):
     df = spark.createDataFrame([("Ana María Paredes",), ("CIENCIAS ADMINISTRATIVAS",), ("Ana",), ("GI123 Ana Ruiz",), ("Gestion de la empresa en el pais",), ("A. Ruiz Mena",)], "x string")
     assert [r[0] for r in df.select(looks_like_person(F.col("x"))).collect()] == [True, False, False, False, False, False]
