@@ -1,18 +1,19 @@
-"""Language-model scores: a log-bilinear model over word classes, trained with noise-contrastive estimation in numpy.
+"""Language-model scores: a log-bilinear model, class then group then word, trained with noise-contrastive estimation in numpy.
 
 Every training token counts: token counts are added up in tasks, combined by token, and stay a distributed table. The
 WORDS most frequent tokens and the end are classes of their own; any other token belongs to one of TAILS classes by its
-last two bytes. The model predicts the class of a token from the classes of the two before it (embeddings weighted by
-position, an output vector and a bias per class), and
+last two bytes. In a tail class the tokens of the head stand in groups of GROUP by frequency, and all others in one last
+group, the rest. With w the two tokens before,
 
-    P(token | two before) = P(class | two before) * (c + 0.5) / (N_class + 0.5 * (V_class + 1))
+    P(token | w) = P(class | w) * P(group | class, w) * P(token | group, w)
 
-with the second factor 1 for classes of one token; c is the token's training count, N_class and V_class are the tokens
-and distinct tokens of its class, and one place is left for unseen ones. P(class | ...) is normalised over all classes
-by matrix products over the distinct contexts of a batch.
+where the class and each group and head token has an output vector and a bias. The last two factors are 1 for classes of one
+token; in the rest the last is (c + 0.5) / (N + 0.5 * (V + 1)), c the token's training count, N and V the tokens and
+distinct tokens of the rest, and one place is left for unseen ones. A token before counts with the vector of its class and,
+in the head, one of its own, weighted by position. Each factor is normalised over its choices.
 
 Training runs in every task over all its training texts, from the same start; the tasks' weights are averaged by their
-tokens. Counts of the HEAD most frequent tokens travel with the model, whose size is fixed; for the others the texts'
+tokens, rows of words and groups by the steps that reached them. Counts of the HEAD most frequent tokens travel with the model, whose size is fixed; for the others the texts'
 tokens are joined with the count table, so no table that grows with the corpus is sent to a task or to the driver.
 
 Defined cases: null text counts as empty and consists of the end alone; without training rows all counts are zero; a
@@ -37,9 +38,13 @@ from tallyloom.session import cut_lineage
 
 WORDS = 384
 TAILS = 128
+GROUP = 64
 HEAD = 65_536
 SIZE = 16
 NOISE = 48
+#: Noise words for a token inside its class and its group; batches of classes that make one of words.
+INSIDE_NOISE = 4
+INSIDE_BATCHES = 8
 BATCH = 1024
 LEAST_BATCH = 64
 STEPS = 256
@@ -86,9 +91,48 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return cut_lineage(docs.select("text").mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
 
 
+@dataclass
+class Level:
+    """Choices first[p] to first[p + 1] belong to parent p; ``mass`` is by choice."""
+
+    first: np.ndarray
+    mass: np.ndarray
+
+    def __post_init__(self):
+        self.edges = np.concatenate([[0.0], np.cumsum(self.mass)])
+        parent = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        self.prior = np.log(self.mass / np.bincount(parent, weights=self.mass, minlength=len(self.first) - 1)[parent])
+
+    def start(self) -> np.ndarray:
+        """Weights of each choice, its bias last: no vector, the log of its share."""
+        return np.concatenate([np.zeros((len(self.mass), SIZE)), self.prior[:, None]], axis=1).astype(np.float32)
+
+    def noise(self, parent: np.ndarray, u: np.ndarray) -> np.ndarray:
+        low, high = self.first[parent][:, None], self.first[parent + 1][:, None]
+        drawn = np.searchsorted(self.edges, self.edges[low] + u * (self.edges[high] - self.edges[low]), side="right") - 1
+        return np.clip(drawn, low, high - 1)
+
+    def log(self, weights: np.ndarray, vector: np.ndarray, parent: np.ndarray, choice: np.ndarray) -> np.ndarray:
+        """Normalised log probability of each choice among those of its parent."""
+        order = np.argsort(parent, kind="stable")
+        cuts = np.append(np.nonzero(np.diff(parent[order], prepend=-1))[0], len(order))
+        result = np.empty(len(parent))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            rows = order[a:b]
+            low, high = self.first[parent[rows[0]]], self.first[parent[rows[0]] + 1]
+            scores = vector[rows] @ weights[low:high, :SIZE].T + weights[low:high, SIZE]
+            top = scores.max(axis=1)
+            result[rows] = scores[np.arange(len(rows)), choice[rows] - low] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+        return result
+
+
 @dataclass
 class Model:
-    """Class c < own is the c-th head token; the others are tail classes. ``bias``, ``out`` and ``into`` are by class."""
+    """Class c < own is the c-th head token; the others are tail classes. ``bias``, ``out`` and ``into`` are by class.
+
+    Head tokens from ``own`` on are words: ``item`` is their place in the order by group, in which ``words`` is kept;
+    ``word_into`` is by word. A place is a class, nothing (``classes``), or a word behind these.
+    """
 
     head: dict[bytes, int]
     head_count: np.ndarray
@@ -102,6 +146,17 @@ class Model:
     out: np.ndarray
     bias: np.ndarray
     place: np.ndarray
+    item: np.ndarray
+    group_of: np.ndarray
+    by_class: Level
+    by_group: Level
+    groups: np.ndarray
+    words: np.ndarray
+    word_into: np.ndarray
+
+    @property
+    def place_class(self) -> np.ndarray:
+        return np.concatenate([np.arange(self.classes + 1), self.head_class[self.own :]])
 
     @property
     def classes(self) -> int:
@@ -115,24 +170,37 @@ class Model:
     def class_of(self, codes: np.ndarray) -> np.ndarray:
         return np.where(codes >= 0, self.head_class[np.maximum(codes, 0)], self.own - 1 - codes)
 
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        return np.where(codes >= self.own, codes - self.own + self.classes + 1, self.class_of(codes))
+
+    def inside(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tail class and group of codes in tail classes, and the place of words among the words, -1 for others."""
+        parent = self.class_of(codes) - self.own
+        item = np.full(len(codes), -1)
+        item[codes >= 0] = self.item[codes[codes >= 0] - self.own]
+        group = self.by_class.first[parent + 1] - 1
+        group[item >= 0] = self.group_of[item[item >= 0]]
+        return parent, group, item
+
     def contexts(self, classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The classes one and two before; ``classes`` stands for nothing before a start."""
+        """The classes (or places) one and two before; ``classes`` stands for nothing before a start."""
         one = np.concatenate([[self.classes], classes[:-1]])
         one[starts] = self.classes
         two = np.concatenate([[self.classes], one[:-1]])
         two[starts] = self.classes
         return one, two
 
-    def log10(self, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of each class given the two before it."""
-        one, two = self.contexts(classes, starts)
-        pairs, at = np.unique(one * (self.classes + 1) + two, return_inverse=True)
+    def log10(self, classes: np.ndarray, starts: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+        """Normalised log10 probability of each class given the two places (classes, if there are none) before it."""
+        one, two = self.contexts(classes if places is None else places, starts)
+        known = self.place_class
+        pairs, at = np.unique(one * len(known) + two, return_inverse=True)
         order = np.argsort(at, kind="stable")
         cuts = np.searchsorted(at[order], np.arange(0, len(pairs) + CONTEXTS, CONTEXTS))
         result = np.empty(len(classes))
         for k, first in enumerate(range(0, len(pairs), CONTEXTS)):
             some = pairs[first : first + CONTEXTS]
-            vector = self.into[some // (self.classes + 1)] * self.place[0] + self.into[some % (self.classes + 1)] * self.place[1]
+            vector = embed(vars(self), known, some // len(known)) * self.place[0] + embed(vars(self), known, some % len(known)) * self.place[1]
             scores = vector @ self.out.T + self.bias
             top = scores.max(axis=1)
             norm = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
@@ -141,6 +209,29 @@ class Model:
             result[rows] = scores[local, classes[rows]] - norm[local]
         return result / math.log(10)
 
+    def log10_inside(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Normalised log10 probability of each token in its class; of the rest's tokens without log10(c + 0.5)."""
+        one, two = self.contexts(self.places(codes), starts)
+        result = np.zeros(len(codes))
+        known = self.place_class
+        at = np.nonzero((codes < 0) | (codes >= self.own))[0]
+        vector = embed(vars(self), known, one[at]) * self.place[0] + embed(vars(self), known, two[at]) * self.place[1]
+        parent, group, item = self.inside(codes[at])
+        result[at] = self.by_class.log(self.groups, vector, parent, group)
+        word = item >= 0
+        result[at[word]] += self.by_group.log(self.words, vector[word], group[word], item[word])
+        result[at[~word]] -= np.log(self.by_class.mass[group[~word]])
+        return result / math.log(10)
+
+
+def embed(weights: dict[str, np.ndarray], place_class: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Vectors of places before a token: of the class, and the word's own."""
+    vector = weights["into"][place_class[places]]
+    words = places - len(weights["into"])
+    own = np.nonzero(words >= 0)[0]
+    vector[own] += weights["word_into"][words[own]]
+    return vector
+
 
 def head_of(counts: DataFrame) -> list[tuple[bytes, int]]:
     """The end, a class in any case, and up to HEAD of the most frequent tokens, most frequent first.
@@ -181,19 +272,43 @@ def untrained(counts: DataFrame) -> Model:
     share /= share.sum()
     rng = np.random.default_rng(SEED)
     k = own + TAILS
+    member, count = head_class[own:] - own, head_count[own:]
+    sizes = np.bincount(member, minlength=TAILS)
+    first_group = np.concatenate([[0], np.cumsum(-(-sizes // GROUP) + 1)])
+    order = np.argsort(member, kind="stable")
+    within = np.arange(len(member)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    group_of = first_group[member[order]] + within // GROUP
+    item = np.empty(len(member), dtype=np.int64)
+    item[order] = np.arange(len(member))
+    mass = count[order] + 0.5
+    group_mass = np.bincount(group_of, weights=mass, minlength=first_group[-1]).astype(float)  # of nothing it counts in integers
+    rest = n - np.bincount(member, weights=count, minlength=TAILS) + 0.5 * (v - sizes + 1)
+    group_mass[first_group[1:] - 1] = rest
+    by_class, by_group = Level(first_group, group_mass), Level(np.searchsorted(group_of, np.arange(first_group[-1] + 1)), mass)
     return Model(
         head, head_count, head_class, own, np.concatenate([np.zeros(own), np.log10(n + 0.5 * (v + 1))]), share, int(sums["n"] or 0), int(sums["v"]),
         rng.normal(0, 0.1, (k + 1, SIZE)).astype(np.float32), rng.normal(0, 0.1, (k, SIZE)).astype(np.float32),
         np.log(share).astype(np.float32), np.array([[1.0] * SIZE, [0.5] * SIZE], dtype=np.float32),
+        item, group_of, by_class, by_group, by_class.start(), by_group.start(), np.zeros((len(member), SIZE), dtype=np.float32),
     )
 
 
+DENSE = ("into", "out", "bias", "place")
+ROWS = ("groups", "words", "word_into")
+
+
 class Trainer:
-    """Adagrad steps of noise-contrastive estimation; the noise is the class frequency, drawn once for each batch."""
+    """Adagrad steps of noise-contrastive estimation; the noise is the class frequency, drawn once for each batch.
+
+    Rows of single words and groups take the sums of their gradients, as few tokens of a batch reach them, all else the means.
+    """
 
     def __init__(self, model: Model):
         self.m = model
         self.weights = {"into": model.into.copy(), "out": model.out.copy(), "bias": model.bias.copy(), "place": model.place.copy()}
+        self.weights |= {k: getattr(model, k).copy() for k in ROWS}
+        self.touched = {k: np.zeros(len(self.weights[k])) for k in ROWS}
+        self.place_class = model.place_class
         self.squares = {k: np.full_like(w, 1e-2) for k, w in self.weights.items()}
         self.rng = np.random.default_rng(SEED)
         self.log_noise = np.log(NOISE * model.share).astype(np.float32)
@@ -204,6 +319,21 @@ class Trainer:
         self.squares[name] += grad * grad
         self.weights[name] -= RATE * grad / np.sqrt(self.squares[name])
 
+    def _rows(self, name: str, at: np.ndarray, grads: np.ndarray) -> None:
+        rows, inverse, times = np.unique(at, return_inverse=True, return_counts=True)
+        grad = self._scatter(inverse, grads, len(rows))
+        self.touched[name][rows] += times
+        self.squares[name][rows] += grad * grad
+        self.weights[name][rows] -= RATE * grad / np.sqrt(self.squares[name][rows])
+
+    def _before(self, one: np.ndarray, two: np.ndarray, d_one: np.ndarray, d_two: np.ndarray, size: int) -> None:
+        """Gradients of the means over ``size`` tokens reach the vectors of what stood before."""
+        at, grads = np.concatenate([one, two]), np.concatenate([d_one, d_two])
+        self._apply("into", self._scatter(self.place_class[at], grads, len(self.weights["into"])))
+        words = at - len(self.weights["into"])
+        own = words >= 0
+        self._rows("word_into", words[own], grads[own] * size)
+
     @staticmethod
     def _scatter(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
         width = rows.shape[1]
@@ -211,10 +341,10 @@ class Trainer:
         return np.bincount(flat, weights=rows.ravel(), minlength=size * width).reshape(size, width)
 
     def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> None:
-        into, out, bias, place = (self.weights[k] for k in ("into", "out", "bias", "place"))
+        out, bias, place = (self.weights[k] for k in ("out", "bias", "place"))
         k, b = len(bias), len(target)
         noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), k - 1)
-        e1, e2 = into[one], into[two]
+        e1, e2 = embed(self.weights, self.place_class, one), embed(self.weights, self.place_class, two)
         context = e1 * place[0] + e2 * place[1]
         true = out[target]
         s_true = np.einsum("ij,ij->i", context, true) + bias[target] - self.log_noise[target]
@@ -226,30 +356,66 @@ class Trainer:
         np.add.at(d_out, noise, g_noise.T @ context)
         d_bias = np.bincount(target, weights=g_true, minlength=k)
         np.add.at(d_bias, noise, g_noise.sum(axis=0))
-        d_into = self._scatter(np.concatenate([one, two]), np.concatenate([d_context * place[0], d_context * place[1]]), k + 1)
+        d_one, d_two = d_context * place[0], d_context * place[1]
         d_place = np.stack([(d_context * e1).sum(axis=0), (d_context * e2).sum(axis=0)])
-        for name, grad in (("into", d_into), ("out", d_out), ("bias", d_bias), ("place", d_place)):
+        for name, grad in (("out", d_out), ("bias", d_bias), ("place", d_place)):
             self._apply(name, grad)
+        self._before(one, two, d_one, d_two, b)
         self.seen += b
 
+    def _choose(self, name: str, level: Level, context: np.ndarray, parent: np.ndarray, choice: np.ndarray) -> np.ndarray:
+        """One step for the choices inside their parents; the gradient of each context."""
+        weights, width = self.weights[name], INSIDE_NOISE + 1
+        at = np.concatenate([choice[:, None], level.noise(parent, self.rng.random((len(choice), INSIDE_NOISE)))], axis=1)
+        rows = weights[at]
+        s = np.einsum("nd,nkd->nk", context, rows[:, :, :SIZE]) + rows[:, :, SIZE] - (level.prior[at] + math.log(INSIDE_NOISE))
+        g = (1 / (1 + np.exp(-np.clip(s, -30, 30)))).astype(np.float32)
+        g[:, 0] -= 1
+        d_context = np.einsum("nk,nkd->nd", g, rows[:, :, :SIZE])
+        wide = np.concatenate([context, np.ones((len(context), 1), dtype=context.dtype)], axis=1)
+        self._rows(name, at.ravel(), (g[:, :, None] * wide[:, None, :]).reshape(len(choice) * width, SIZE + 1))
+        return d_context
+
+    def step_inside(self, one: np.ndarray, two: np.ndarray, codes: np.ndarray) -> None:
+        size = len(codes)
+        some = np.nonzero((codes < 0) | (codes >= self.m.own))[0]
+        if not len(some):
+            return
+        one, two, place = one[some], two[some], self.weights["place"]
+        e1, e2 = embed(self.weights, self.place_class, one), embed(self.weights, self.place_class, two)
+        context = e1 * place[0] + e2 * place[1]
+        parent, group, item = self.m.inside(codes[some])
+        d_context = self._choose("groups", self.m.by_class, context, parent, group)
+        word = np.nonzero(item >= 0)[0]
+        if len(word):
+            d_context[word] += self._choose("words", self.m.by_group, context[word], group[word], item[word])
+        d_context /= size
+        d_one, d_two = d_context * place[0], d_context * place[1]
+        self._apply("place", np.stack([(d_context * e1).sum(axis=0), (d_context * e2).sum(axis=0)]))
+        self._before(one, two, d_one, d_two, size)
+
     def learn(self, texts: Iterator[bytes | None]) -> None:
         held: list[np.ndarray] = []
         starts, length = [], 0
 
         def drain() -> None:
-            classes = np.concatenate(held)
-            one, two = self.m.contexts(classes, np.array(starts))
+            codes = np.concatenate(held)
+            classes = self.m.class_of(codes)
+            one, two = self.m.contexts(self.m.places(codes), np.array(starts))
             order = self.rng.permutation(len(classes))
             size = min(BATCH, max(LEAST_BATCH, len(order) // STEPS))  # little text still takes many steps
             for at in range(0, len(order), size):
                 some = order[at : at + size]
                 self.step(one[some], two[some], classes[some])
+                if at % (size * INSIDE_BATCHES) == 0:
+                    some = order[at : at + size * INSIDE_BATCHES]
+                    self.step_inside(one[some], two[some], codes[some])
 
         for data in texts:
-            classes = self.m.class_of(self.m.codes(tokens(data)))
+            codes = self.m.codes(tokens(data))
             starts.append(length)
-            held.append(classes)
-            length += len(classes)
+            held.append(codes)
+            length += len(codes)
             if length >= PIECE:
                 drain()
                 held, starts, length = [], [], 0
@@ -266,19 +432,40 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(shared.value)
         trainer.learn(_texts(batches))
-        flat = np.concatenate([w.ravel() for w in trainer.weights.values()]).astype(np.float64)
         if trainer.seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * trainer.seen), pa.array(np.full(len(flat), trainer.seen))], ["at", "value", "n"])
-
-    sums = docs.select("text").mapInArrow(train, "at long, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toPandas()
+            flat = np.concatenate([trainer.weights[k].ravel() for k in DENSE])
+            rows = [(np.arange(dense), np.full(dense, float(trainer.seen)), np.resize(np.append(flat, np.zeros(-len(flat) % width, np.float32)), (dense, width)))]
+            first = dense
+            for name in ROWS:
+                at = np.nonzero(trainer.touched[name])[0]
+                values = trainer.weights[name][at]
+                rows.append((at + first, trainer.touched[name][at], np.pad(values, ((0, 0), (0, width - values.shape[1])))))
+                first += len(trainer.touched[name])
+            at, n, values = (np.concatenate(x) for x in zip(*rows))
+            for a in range(0, len(at), 10_000):
+                part = slice(a, a + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(at[part]), pa.array(n[part]), *(pa.array(values[part, i].copy()) for i in range(width))], ["at", "n", *names])
+
+    width = SIZE + 1
+    names = [f"v{i}" for i in range(width)]
+    dense = -(-sum(getattr(model, k).size for k in DENSE) // width)
+    rows = docs.select("text").mapInArrow(train, ", ".join(["at long", "n double", *(f"{x} float" for x in names)]))
+    sums = rows.groupBy("at").agg(*[(F.sum(F.col(x) * F.col("n")) / F.sum("n")).alias(x) for x in names]).toPandas()
     if len(sums):
-        flat = np.empty(len(sums), dtype=np.float32)
-        flat[sums["at"].to_numpy()] = sums["value"].to_numpy()
-        cut = 0
-        for name in ("into", "out", "bias", "place"):
+        at, values = sums["at"].to_numpy(), sums[names].to_numpy(dtype=np.float32)
+        flat = np.empty((dense, width), dtype=np.float32)
+        flat[at[at < dense]] = values[at < dense]
+        flat, cut = flat.ravel(), 0
+        for name in DENSE:
             old = getattr(model, name)
             setattr(model, name, flat[cut : cut + old.size].reshape(old.shape))
             cut += old.size
+        first = dense
+        for name in ROWS:
+            old = getattr(model, name)
+            own = (at >= first) & (at < first + len(old))
+            old[at[own] - first] = values[own, : old.shape[1]]
+            first += len(old)
     return model, counts
 
 
@@ -308,10 +495,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 codes = m.codes(words)
                 classes = m.class_of(codes)
                 starts = np.array(bounds[:-1])
-                inside = np.where(classes >= m.own, m.class_total[classes], 0.0)
                 place = np.maximum(codes, 0)
                 known = np.where(codes >= 0, logs[place], 0.0)
-                by_class = m.log10(classes, starts) - inside + np.where(classes >= m.own, known, 0.0)
+                by_class = m.log10(classes, starts, m.places(codes)) + m.log10_inside(codes, starts)
                 heads = (codes >= 0) & (m.head_count[place] > 0)
                 sums = {
                     "n_tokens": np.diff(bounds),

@@ -95,3 +95,34 @@ def test_awkward_and_empty(spark):
     assert lm.score_documents(empty_docs(spark)).count() == 0
     nothing_to_learn = docs.filter("doc_id IS NULL")
     assert all(r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in compare(nothing_to_learn))
+
+
+def test_words_outside_the_classes_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WORDS", 8)
+    monkeypatch.setattr(lm, "GROUP", 16)
+    rng = random.Random(8)
+    pairs = [(f"a{i}xx", f"b{rng.randint(0, 9)}{i}yy") for i in range(60)]  # two endings: the class says nothing of the word
+    rows = [(i, " ".join(" ".join(rng.choice(pairs)) for _ in range(30))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r for r in lm.score_documents(docs).collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in got)
+    # a token in 60 costs 1.78, a second word that its first one decides next to nothing
+    assert sum(r["score"] for r in got) / tokens > -1.45
+
+
+def test_words_inside_a_class_are_normalised(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WORDS", 8)
+    monkeypatch.setattr(lm, "GROUP", 4)
+    monkeypatch.setattr(lm, "HEAD", 50)
+    model, counts = lm.fit(corpus(spark, 200))
+    held = {bytes(r["token"]): r["n"] for r in counts.collect()}
+    before = model.codes([b"k1", b"zu2"])
+    for tail in {lm.tail(t) for t in list(model.head)[model.own :]}:
+        total = 0.0
+        for t, n in held.items():
+            code = model.codes([t])[0]
+            if lm.tail(t) == tail and not 0 <= code < model.own:
+                inside = model.log10_inside(np.append(before, code), np.array([0]))[2]
+                total += 10 ** inside * (n + 0.5 if code < 0 else 1)
+        total += 10 ** model.log10_inside(np.append(before, -1 - tail), np.array([0]))[2] * 0.5
+        assert total == pytest.approx(1, rel=1e-4)
