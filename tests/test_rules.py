@@ -135,3 +135,11 @@ def test_payload_is_walked(spark):
     assert [r[0] for r in rows[1:]] == [None, None, None]
     assert rows[0][0] == {"a": '{"password":null,"n":1.50,"list":[{"accessToken":null,"note":"%s"},2]}' % redact.TECHNICAL, "File-Name": "a.pdf",
                           "error": "No se pudo completar la importación.", "ok": "true", "none": None}
+
+
+def test_text_counts_read_the_text(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(10, "con 2 ponencias y 3 capitulos", "es", "s", 29), (9, "nada", "es", "s", 4)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["presentations"], r["book_chapters"]) for r in entry.queries()["t18_text_counts"](spark, str(tmp_path)).collect()}
+    assert got == {10: (2, 3), 9: (0, 1)}
