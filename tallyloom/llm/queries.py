@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, chat, decontaminate, language_id, lm, quality_classifier, quality_rules, sharding, simhash, token_counts
+from tallyloom.llm import bpe, chat, decontaminate, language_id, lm, mixing, quality_classifier, quality_rules, resampling, sharding, simhash, token_counts, whitening
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -154,3 +154,62 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     sha = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")))
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS BIGINT) AS size,
+  md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) || md5(coalesce(text, '')) AS o FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ({list(mixing.WEIGHTS)})[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight FROM d GROUP BY source),
+-- sources in the order in which they fill: the level that holds if all before one are full
+l AS (SELECT *, {mixing.SHARE.numerator} * sum(source_size) OVER () - {mixing.SHARE.denominator * mixing.EPOCHS} * coalesce(sum(source_size) OVER b, 0) AS wanted,
+  {mixing.SHARE.denominator} * (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS by_weight FROM s
+  WINDOW b AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min(wanted, source_size / weight) AS wanted, arg_min(by_weight, source_size / weight) AS by_weight FROM l
+  WHERE {mixing.EPOCHS} * CAST(source_size AS DOUBLE) >= weight * CAST(wanted AS DOUBLE) / CAST(by_weight AS DOUBLE)),
+t AS (SELECT source, source_size, least({mixing.EPOCHS} * CAST(source_size AS DOUBLE), coalesce(CAST(level.wanted AS DOUBLE) * weight / CAST(level.by_weight AS DOUBLE), 1e300)) AS target FROM s, level),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+p AS (SELECT row_number() OVER () AS r, d.doc_id, d.size, d.o, e.*, target - whole * source_size AS rest,
+  sum(size) OVER (PARTITION BY d.source ORDER BY o, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+i AS (SELECT *, size > 0 AND upto <= rest AS inside, rest - coalesce(sum(size) FILTER (size > 0 AND upto <= rest) OVER (PARTITION BY source), 0) AS gap FROM p),
+c AS (SELECT *, row_number() OVER (PARTITION BY source, length(bin(size)) ORDER BY o, size, r) AS place FROM i WHERE NOT inside AND size > 0 AND size <= gap),
+q AS (SELECT *, row_number() OVER w AS n, list(CAST(size AS DOUBLE)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM c WHERE place <= {mixing.SPARES}
+  WINDOW w AS (PARTITION BY source ORDER BY length(bin(size)) DESC, place)),
+x AS (SELECT r FROM q WHERE size <= list_reduce(coalesce(earlier, []::DOUBLE[]), lambda g, z: CASE WHEN z <= g THEN g - z ELSE g END, CAST(gap AS DOUBLE)))
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN inside OR x.r IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM i LEFT JOIN x USING (r)
+"""
+
+
+@query("op12_mixing", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP13_SQL = f"""
+WITH steps AS (SELECT list(t ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda s, k: CASE WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END, i) AS t FROM range(256) r(i))),
+own AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+texts AS (SELECT r, text, true AS mine FROM own UNION ALL SELECT -row_number() OVER (), text, false FROM benchmark),
+w AS (SELECT r, mine, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{resampling.WORD}') AS w FROM texts),
+g AS (SELECT r, mine, array_to_string(w[s : s + k - 1], ' ') AS f FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM w, range(1, {resampling.WIDEST} + 1) widths(k) WHERE len(w) >= k)),
+crc AS (SELECT f, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, d: xor(c >> 8, t[xor(c, d) % 256 + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % {resampling.BUCKETS} AS b
+  FROM (SELECT DISTINCT f FROM g), steps),
+n AS (SELECT r, mine, b, count(*) AS n FROM g JOIN crc USING (f) GROUP BY ALL),
+h AS (SELECT b, coalesce(sum(n) FILTER (mine), 0) AS s, coalesce(sum(n) FILTER (NOT mine), 0) AS t FROM n GROUP BY b),
+gain AS (SELECT b, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * ((SELECT sum(s) FROM h) + {resampling.BUCKETS}) / ((CAST(s AS DOUBLE) + 1) * ((SELECT sum(t) FROM h) + {resampling.BUCKETS})))) AS BIGINT) AS gain FROM h),
+weighed AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM n JOIN gain USING (b) WHERE mine GROUP BY r),
+scored AS (SELECT own.r, doc_id, len(w.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM own JOIN w USING (r) LEFT JOIN weighed ON own.r = weighed.r),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS k, count(*) OVER () AS n FROM scored WHERE n_words >= {resampling.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= {resampling.PERCENT} * n // 100 THEN k END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
+@query("op13_resampling", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")

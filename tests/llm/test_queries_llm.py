@@ -32,6 +32,9 @@ COLUMNS = {
     "op7": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
     "op8": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op9": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op11": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
+    "op12": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op13": {"doc_id": "bigint", "n_features": "bigint", "weight": "bigint", "score": "bigint", "rank": "bigint"},
     "op10": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
 }
 
@@ -40,7 +43,9 @@ COLUMNS = {
 def test_columns_and_rows(spark, name):
     result = queries.queries()[name](spark, FOLDER)
     assert dict(result.dtypes) == COLUMNS[name.split("_")[0]]
-    if name not in queries.oracles():
+    if name.startswith("op11_"):
+        assert result.count() == 32 * spark.read.parquet(f"{FOLDER}/embeddings.parquet").count()
+    elif name not in queries.oracles():
         assert result.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
 
 
