@@ -7,7 +7,8 @@ its neighbours and pushes the two new pairs. Decoding joins the vocabulary strin
 without a decoder asks for.
 
 Pre-tokens never span ASCII white space, so the chunks between such spaces are encoded on their own and the ids of
-recent chunks and pre-tokens are kept, at most CHUNKS and TOKENS of them. The vocabulary and merges are read once and sent out; their size is fixed. Workers keep an encoder by path between tasks.
+recent chunks and pre-tokens are kept, at most CHUNKS and TOKENS of them. The vocabulary and merges are read once and sent out; their size is fixed. Workers keep an encoder by path between tasks, without the
+ids it has gathered.
 
 Defined cases: null text counts as empty and has no ids; decoding null or unknown ids skips them; symbols that the
 vocabulary lacks are dropped; extra columns pass through, one named like a new column is replaced; equal rows give equal
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import Recent, without
+from tallyloom.llm.common import Recent, hand_back_memory, without
 
-CHUNKS = 200_000
-TOKENS = 300_000
+CHUNKS = 120_000
+TOKENS = 160_000
 #: Bytes of text worked on and handed back at a time; a longer text goes alone.
 SLICE = 1 << 20
 
@@ -127,6 +128,10 @@ class Encoder:
         self.inner = [known.get(s, -1) for s in byte_symbols()]
         self.last = [known.get(s + vocabulary.suffix, -1) for s in byte_symbols()]
 
+    def forget(self) -> None:
+        self.chunks.forget()
+        self.tokens.forget()
+
     def _chunk(self, chunk: bytes) -> bytes:
         if chunk.isalpha():  # ASCII letters are one pre-token
             return self.tokens[chunk.lower()]
@@ -234,10 +239,13 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary, table = shared.value
+        encoder = encoder_of(path, vocabulary)
         for batch in batches:
             for texts in _slices(batch):
-                ids = _encoded(encoder_of(path, vocabulary), texts)
+                ids = _encoded(encoder, texts)
                 yield pa.StructArray.from_arrays([ids, _decoded(table, ids)], ["ids", "decoded"])
+        encoder.forget()
+        hand_back_memory()
 
     found = docs.select(*without(docs, ["ids", "decoded", "_both"]), both("text").alias("_both"))
     return found.select(*without(found, ["_both"]), "_both.*")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,16 @@ def without(df: DataFrame, names: Iterable[str]) -> list[Column]:
     return [df[f"`{c}`"] for c in df.columns if c.lower() not in gone]
 
 
+def hand_back_memory() -> None:
+    """At the end of a task: what the worker has freed goes back to the system, so that idle workers stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another allocator has nothing to trim
+        pass
+
+
 class Recent(dict):
     """Results of ``make`` for the keys met lately, at most ``limit`` of them, in two generations."""
 
@@ -50,6 +63,10 @@ class Recent(dict):
         super().__init__()
         self.make, self.half, self.older = make, max(1, limit // 2), {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def __missing__(self, key):
         if len(self) >= self.half:
             self.older = dict(self)

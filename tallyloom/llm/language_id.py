@@ -17,6 +17,7 @@ language that sorts first. Documents without lang or id are not learned from. Re
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import held_out, learnable, without
+from tallyloom.llm.common import hand_back_memory, held_out, learnable, without
 
 MIN_SHARE = 0.002
 RIVALRY = 3.0
@@ -36,7 +37,9 @@ HASHES = 3
 PIECE = 1 << 20
 FLUSH = 1 << 19
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters are what Unicode calls so; numerals that are no letters (fractions, Roman numerals, circled digits) are word characters to re.
+_NUMERALS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not (c.isalpha() or c.isdecimal()))
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -114,10 +117,11 @@ def _held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 own = np.unique(np.concatenate(own))
                 held.setdefault(lang, []).append(own)
                 size += len(own)
-            if size >= 16 * FLUSH:
+            if size >= FLUSH:
                 yield from drain()
                 size = 0
     yield from drain()
+    hand_back_memory()
 
 
 def fit(docs: DataFrame, number: int = SLOTS) -> Filter:
@@ -162,6 +166,7 @@ def identify(docs: DataFrame, model: Filter) -> DataFrame:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        hand_back_memory()
 
     found = docs.withColumn("_found", predict("text"))
     return found.select(*without(found, ["lang_pred", "score", "_found"]), "_found.*")

@@ -27,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +37,14 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import held_out, learnable
 from tallyloom.session import cut_lineage
 
-WORDS = 384
-TAILS = 128
+WORDS = 63
+TAILS = 64
 GROUP = 64
 HEAD = 65_536
 SIZE = 16
-NOISE = 48
+NOISE = 32
 #: Noise words for a token inside its class and its group; batches of classes that make one of words.
-INSIDE_NOISE = 4
+INSIDE_NOISE = 2
 INSIDE_BATCHES = 8
 BATCH = 1024
 LEAST_BATCH = 64
@@ -164,8 +165,10 @@ class Model:
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         """Number in the head, or -1 - tail class for other tokens."""
-        get = self.head.get
-        return np.array([c if (c := get(w)) is not None else -1 - tail(w) for w in words], dtype=np.int64)
+        codes = np.fromiter(map(self.head.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        other = np.nonzero(codes < 0)[0]
+        codes[other] = [-1 - tail(words[i]) for i in other.tolist()]
+        return codes
 
     def class_of(self, codes: np.ndarray) -> np.ndarray:
         return np.where(codes >= 0, self.head_class[np.maximum(codes, 0)], self.own - 1 - codes)
@@ -236,17 +239,21 @@ def embed(weights: dict[str, np.ndarray], place_class: np.ndarray, places: np.nd
 def head_of(counts: DataFrame) -> list[tuple[bytes, int]]:
     """The end, a class in any case, and up to HEAD of the most frequent tokens, most frequent first.
 
-    Counts are binned by their logarithm and only bins that fit as a whole are fetched, so no task offers more than that.
+    Counts are binned by their logarithm; bins that fit as a whole are fetched, and of the one that does not, as many as
+    there is room for by count and token, so no task offers more than HEAD and ties at the edge go to the token that sorts first.
     """
     level = F.floor(F.log2("n") * 64)
     sizes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size")).collect()
-    held, least = 0, None
+    room, least, crossing = HEAD, None, None
     for r in sorted(sizes, key=lambda r: -r["level"]):
-        held += r["size"]
-        if held > HEAD:
+        if r["size"] > room:
+            crossing = r["level"]
             break
+        room -= r["size"]
         least = r["level"]
     rows = [] if least is None else counts.filter(level >= least).collect()
+    if crossing is not None and room:
+        rows += counts.filter(level == crossing).orderBy(F.desc("n"), "token").limit(room).collect()
     ranked = sorted(((bytes(r["token"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
     end = counts.filter(F.col("token") == END).first()
     return [(END, end["n"] if end else 0), *(x for x in ranked if x[0] != END)]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import small_or_plain, without
+from tallyloom.llm.common import hand_back_memory, small_or_plain, without
 from tallyloom.llm.stats import text_counts
 from tallyloom.session import cut_lineage
 
@@ -56,6 +56,7 @@ def _counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         rows = [text_counts(t) for t in texts]
         yield pd.DataFrame({c: [r[c] for r in rows] for c in COUNTS}, dtype="int64")
+    hand_back_memory()
 
 
 def measure(docs: DataFrame) -> DataFrame:

@@ -66,3 +66,9 @@ def test_awkward_and_empty(spark):
     unknown = lid.classify(docs.selectExpr("doc_id", "text", "cast(null AS string) AS lang")).collect()
     assert {r["lang_pred"] for r in unknown} == {"und"}
     assert lid.keep(docs, 0.0).columns == docs.columns
+
+
+def test_numerals_are_no_letters():
+    for text in ("½ ² ① Ⅷ", "12 ٣", "_ ."):
+        assert list(lid.trigrams(text)) == []
+    assert lid._WORD.findall("x² é漢一 Ⅷa") == ["x", "é漢一", "a"]

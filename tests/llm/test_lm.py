@@ -126,3 +126,11 @@ def test_words_inside_a_class_are_normalised(spark, monkeypatch):
                 total += 10 ** inside * (n + 0.5 if code < 0 else 1)
         total += 10 ** model.log10_inside(np.append(before, -1 - tail), np.array([0]))[2] * 0.5
         assert total == pytest.approx(1, rel=1e-4)
+
+
+def test_head_is_filled_where_all_counts_are_equal(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 50)
+    docs = spark.createDataFrame([(i, " ".join(f"t{i}x{j:02d}" for j in range(30))) for i in range(10)], "doc_id long, text string")
+    head = lm.head_of(lm.count_tokens(docs))
+    words = sorted(f"t{i}x{j:02d}".encode() for i in range(10) for j in range(30))
+    assert head[0] == (lm.END, 10) and [t for t, _ in head[1:]] == words[:49]
