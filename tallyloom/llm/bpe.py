@@ -34,10 +34,10 @@ from pyspark.sql import types as T
 
 from tallyloom.llm.common import Recent, hand_back_memory, without
 
-CHUNKS = 120_000
-TOKENS = 160_000
+CHUNKS = 60_000
+TOKENS = 90_000
 #: Bytes of text worked on and handed back at a time; a longer text goes alone.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def byte_symbols() -> list[str]:

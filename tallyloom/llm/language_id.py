@@ -37,15 +37,21 @@ HASHES = 3
 PIECE = 1 << 20
 FLUSH = 1 << 19
 
+_WORD = re.compile(r"[^\W\d_]+")
 #: Letters are what Unicode calls so; numerals that are no letters (fractions, Roman numerals, circled digits) are word characters to re.
-_NUMERALS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not (c.isalpha() or c.isdecimal()))
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_NUMERALS = {ord(c): " " for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not (c.isalpha() or c.isdecimal())}
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
+def letter_runs(text: str) -> list[str]:
+    if not text.isascii() and not _NUMERALS.keys().isdisjoint(map(ord, set(text))):
+        text = text.translate(_NUMERALS)
+    return _WORD.findall(text)
+
+
 def trigrams(text: str | None) -> Iterator[np.ndarray]:
     """Keys of all trigrams of a text in order, a bounded piece at a time."""
-    words = _WORD.findall((text or "").lower())
+    words = letter_runs((text or "").lower())
     if not words:
         return
     codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), dtype="<u4")

@@ -71,4 +71,4 @@ def test_awkward_and_empty(spark):
 def test_numerals_are_no_letters():
     for text in ("½ ² ① Ⅷ", "12 ٣", "_ ."):
         assert list(lid.trigrams(text)) == []
-    assert lid._WORD.findall("x² é漢一 Ⅷa") == ["x", "é漢一", "a"]
+    assert lid.letter_runs("x² é漢一 Ⅷa") == ["x", "é漢一", "a"]
