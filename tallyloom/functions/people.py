@@ -135,7 +135,11 @@ def production_status_of(value: Column) -> Column:
 
 def product_status(key: Column) -> Column:
     """Status a short table cell stands for; null when it is none."""
-    compact = F.replace(parser_key(key), F.lit(" "), F.lit(""))
+    return status_of(F.replace(parser_key(key), F.lit(" "), F.lit("")))
+
+
+def status_of(compact: Column) -> Column:
+    """Status of a key without spaces; null when it is none."""
     short = F.length(compact) <= 10
     return (
         F.when(compact.startswith("PUBLIC") & short, "PUBLICADO").when(compact.startswith("ACEPT") & short, "ACEPTADO")

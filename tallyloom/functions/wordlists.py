@@ -25,6 +25,7 @@ MEMBER_BLOCKED = (
     "FINANZAS", "FUNDACION", "GESTION", "INGENIERIA", "INGRES", "INFORMACION", "INSTITUTO", "LICENCIATURA",
     "MERCADOTECNIA", "QUIM", "QUIMICA", "UNIVERSIDAD", "UNIVERSITARIA",
 )
+# Months.
 MONTHS = (
     "ENERO", "FEBRERO", "MARZO", "ABRIL", "MAYO", "JUNIO", "JULIO", "AGOSTO", "SEPTIEMBRE", "OCTUBRE", "NOVIEMBRE", "DICIEMBRE",
 )
@@ -180,6 +181,24 @@ IDENTIFIER_WORDS = ("HTTP", "WWW", " DOI ", "ISSN", "ISBN", "INDEX PHP", "DRIVE
 CUT_LAST_WORDS = ("A", "AL", "COMO", "CON", "DE", "DEL", "EL", "EN", "LA", "LAS", "LOS", "PARA", "POR", "Y")
 CUT_PIECES = ("CORP", "CORPORAT", "ECONOMIC", "EMPR", "FINANCIE", "TEORIC", "SUMINISTR")
 WRAPPED_SUFFIXES = ("l", "n", "o", "ad", "al", "ento", "nal", "nas", "os", "vas", "vo")
+# Words of titles that no author holds, and given names that open a name.
+PRODUCT_TITLE_WORDS = (
+    "ANALISIS", "BANCARIO", "CADENA", "CAPITAL", "CONOCIMI", "CONOCIMIENTO", "COOPERATI", "CREDITO", "ECONOMIC", "ECONOMICO",
+    "ECUADOR", "ECUATORIA", "EFICIENCIA", "EMPRESAS", "ESTRUCTURA", "FINANCIERO", "GESTION", "IMPACT", "IMPACTO", "INCIDENCIA",
+    "INNOVACIO", "MODELO", "NUBE", "PANDEMIA", "PORTUARIAS", "PYMES", "RENTABILID", "SUMINISTR", "TECNICA", "TRABAJO", "TURISMO",
+)
+GIVEN_NAMES = (
+    "ANIBAL", "CARLA", "CARLOS", "DANIEL", "DENNISE", "EMILIO", "FERNANDO", "HENRY", "JENIFFER", "JOSE", "JOSUE", "KAREN", "MARIA",
+    "ROBIN", "WENDY", "YAIMARA",
+)
+NO_AUTHOR_WORDS = ("IMPACTO", "PUBLICADO", "ENVIADO", "REVISION", "REGIONAL", "MUNDIAL")
+# Lines that state an impact.
+IMPACT_LINES = ("IMPACTO", "MUNDIAL", "REGIONAL", "IMPACTO MUNDIAL", "IMPACTO REGIONAL")
+# Labels of the report's vertical tables.
+FIELD_LABELS = (
+    "NOMBRE COMPLETO", "NOMBRE COMPLE TO", "FACULTAD", "CARRERA", "FECHA DE INGRESO", "INSTITUCION EXTERNA", "TITULO", "EDITORIAL",
+    "AUTOR", "AUTOR 1", "AUTOR 2", "AUTOR 3", "AUTOR 4", "AUTOR 5", "ESTADO", "IMPACTO", "IMPACT", "LINK", "TO", "O",
+)
 # What is said about a title, by the rule that decides.
 TITLE_REASONS = {
     "no_title": "Producto sin titulo legible.",

@@ -245,14 +245,19 @@ def project_rows(sections: DataFrame, key: str) -> DataFrame:
     return df.select(key, "section_no", F.col("_n").alias("project_no"), "code", "name", "director", "progress", F.coalesce("status", F.lit("")).alias("status"), "status_review")
 
 
-def _walk(starts: Column, sizes: Column, stops: Column, total: Column) -> Column:
-    """Positions taken as record starts when each record swallows the lines up to the next stop."""
+def row_walk(starts: Column, sizes: Column, stops: Column, total: Column, whole: Column | None = None) -> Column:
+    """Positions taken as record starts when each record swallows the lines up to the next stop.
+
+    Where ``whole`` is set, a record is its own lines alone.
+    """
     step = F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0)))
 
     def merge(state: Column, i: Column) -> Column:
         take = (i >= state["free"]) & F.coalesce(F.get(starts, i), F.lit(False))
         after = i + F.get(sizes, i)
         following = F.coalesce(F.array_min(F.filter(stops, lambda s: s >= after)), total)
+        if whole is not None:
+            following = F.when(F.get(whole, i), after).otherwise(following)
         return F.struct(
             F.when(take, following).otherwise(state["free"]).alias("free"),
             F.when(take, F.concat(state["taken"], F.array(F.struct(i.alias("at"), F.get(sizes, i).alias("size"), following.alias("end"))))).otherwise(state["taken"]).alias("taken"))
@@ -275,15 +280,17 @@ def internal_members(sections: DataFrame, key: str) -> DataFrame:
         F.when(F.get("_two", i), F.concat_ws(" ", r["line"], _line(F.col("rows"), i + 1))).otherwise(r["line"])))
     stops = F.filter(F.transform("rows", lambda r, i: F.when(has_piece(r["key"], W.MONTHS) | F.get("_one", i) | r["key"].rlike(DATE), i)), lambda i: i.isNotNull())
     df = df.transform(put, "_starts", starts).transform(put, "_sizes", sizes).transform(put, "_stops", stops)
-    df = df.filter("_n > 0").transform(put, "_taken", _walk(F.col("_starts"), F.col("_sizes"), F.col("_stops"), F.col("_n")))
+    df = df.filter("_n > 0").transform(put, "_taken", row_walk(F.col("_starts"), F.col("_sizes"), F.col("_stops"), F.col("_n")))
     df = df.select(key, "section_no", "rows", F.posexplode("_taken").alias("member_no", "_t"))
     df = df.transform(put, "name", P.person_display(_join(F.slice("rows", F.col("_t.at") + 1, F.col("_t.size"))))).transform(put, 
         "_parts", F.slice("rows", F.col("_t.at") + F.col("_t.size") + 1, F.col("_t.end") - F.col("_t.at") - F.col("_t.size")))
-    first = F.array_position(F.transform("_parts", lambda r, i: r["key"].contains("LICENCIATURA") | r["key"].startswith("CARRERA") | (
-        (i > 0) & parser_key(_join(F.slice("_parts", F.lit(1), i))).contains("ADMINISTRATIVA"))), F.lit(True)).cast("int")
+    from tallyloom.operators.layouts import career_start, catalog_scores, clean_career
+
+    careers, before, first = career_start("_parts")
+    df = df.transform(put, "_career_scores", careers).transform(put, "_before", before).transform(put, "_faculty_scores", catalog_scores(F.col("_before"), W.FACULTY_CATALOG))
     df = df.transform(put, "_c", F.when(first > 0, first - 1).otherwise(F.size("_parts")))
     df = df.transform(put, "_faculty", _join(F.slice("_parts", F.lit(1), F.col("_c")))).transform(put, 
-        "_career", _join(F.slice("_parts", F.col("_c") + 1, F.size("_parts") - F.col("_c"))))
+        "_career", clean_career(_join(F.slice("_parts", F.col("_c") + 1, F.size("_parts") - F.col("_c")))))
     df = catalog_columns(catalog_columns(df, "_faculty", W.FACULTY_CATALOG, "faculty"), "_career", W.CAREER_CATALOG, "career")
     return df.select(key, "section_no", "member_no", "name", "faculty", "career", F.col("career").isNull().alias("requires_review"))
 
@@ -297,9 +304,9 @@ def external_members(sections: DataFrame, key: str) -> DataFrame:
     df = df.transform(put, "_before", before)
     starts = F.transform("rows", lambda r, i: F.get("_before", i) | F.get("_one", i))
     sizes = F.transform("_before", lambda b: F.when(b, 2).otherwise(1))
-    stops = F.filter(F.transform("rows", lambda r, i: F.when(F.get("_one", i) | F.get("_before", i) | r["key"].rlike("^1[78]"), i)), lambda i: i.isNotNull())
+    stops = F.filter(F.transform("rows", lambda r, i: F.when(F.get("_one", i) | r["key"].rlike("^1[78]"), i)), lambda i: i.isNotNull())
     df = df.transform(put, "_starts", starts).transform(put, "_sizes", sizes).transform(put, "_stops", stops)
-    df = df.transform(put, "_taken", _walk(F.col("_starts"), F.col("_sizes"), F.col("_stops"), F.col("_n")))
+    df = df.transform(put, "_taken", row_walk(F.col("_starts"), F.col("_sizes"), F.col("_stops"), F.col("_n"), F.col("_before")))
     df = df.select(key, "section_no", "rows", "_inst", F.posexplode("_taken").alias("member_no", "_t"))
     pair = F.col("_t.size") == 2
     df = df.transform(put, "_name", _line(F.col("rows"), F.col("_t.at") + F.col("_t.size") - 1)).transform(put, 
@@ -347,6 +354,12 @@ def product_blocks(sections: DataFrame, key: str) -> DataFrame:
     return df.select(key, "section_no", "block_no", F.slice("rows", F.col("_b.at") + 1, F.col("_b.end") - F.col("_b.at")).alias("block"))
 
 
+def rebuilt_link(parts: Column) -> Column:
+    """The pieces of a wrapped link as one, its scheme mended."""
+    joined = F.array_join(F.transform(parts, lambda x: F.replace(x, F.lit(" "), F.lit(""))), "")
+    return F.replace(F.replace(joined, F.lit("https//"), F.lit("https://")), F.lit("http//"), F.lit("http://"))
+
+
 def product_records(blocks: DataFrame) -> DataFrame:
     """Title, authors, status, impact and link of each block, with its validation status."""
     df = blocks.transform(put, "_person", F.transform("block", lambda r, i: (i > 0) & P.looks_like_person(r["line"])))
@@ -355,8 +368,7 @@ def product_records(blocks: DataFrame) -> DataFrame:
     exact = ("PUBLICADO", "ENVIADO A REVISION", "ACEPTADO", "EN REVISION")
     df = df.transform(put, "status", F.get(F.filter("block", lambda r: r["key"].isin(*exact)), F.lit(0))["line"]).transform(put, 
         "impact", F.get(F.filter("block", lambda r: r["key"].contains("IMPACTO")), F.lit(0))["line"])
-    links = F.transform(F.filter("block", lambda r: P.is_url(r["line"])), lambda r: F.replace(r["line"], F.lit(" "), F.lit("")))
-    link = F.replace(F.replace(F.array_join(links, ""), F.lit("https//"), F.lit("https://")), F.lit("http//"), F.lit("http://"))
+    link = rebuilt_link(F.transform(F.filter("block", lambda r: P.is_url(r["line"])), lambda r: r["line"]))
     df = df.transform(put, "link", F.nullif(link, F.lit("")))
     loose = F.filter("block", lambda r: ~F.coalesce(r["line"] == F.col("status"), F.lit(False)) & ~F.coalesce(r["line"] == F.col("impact"), F.lit(False)) & ~P.is_url(r["line"]))
     parts = F.when(F.col("_first") > 0, F.slice("block", F.lit(1), F.col("_first") - 1)).otherwise(loose)
@@ -372,31 +384,55 @@ def product_records(blocks: DataFrame) -> DataFrame:
                      (status == "validado").alias("kpi_eligible"), "quality", "quality_reason", missing.alias("fields_missing"))
 
 
-PRODUCT_LABELS = {"title": ("TITULO",), "authors": ("AUTOR", "AUTOR 1", "AUTOR 2", "AUTOR 3", "AUTOR 4", "AUTOR 5"), "status": ("ESTADO",), "impact": ("IMPACTO",), "link": ("LINK",)}
+PRODUCT_LABELS = {"title": ("TITULO",), "authors": ("AUTOR", "AUTOR 1", "AUTOR 2", "AUTOR 3", "AUTOR 4", "AUTOR 5"), "status": ("ESTADO",), "impact": ("IMPACTO", "IMPACT"), "editorial": ("EDITORIAL",), "link": ("LINK",)}
 
 
 def label_products(sections: DataFrame, key: str) -> DataFrame:
-    """Products laid out as label and value lines, one block per title label; page marks inside a block are skipped."""
+    """Products laid out as label and value lines, one block per title label.
+
+    A title label that a new page repeats, before the row has had any other label, continues the title.
+    """
     labels = tuple(x for group in PRODUCT_LABELS.values() for x in group)
     pairs = F.zip_with("lines", "keys", lambda a, b: F.struct(a.alias("line"), b.alias("key")))
-    useful = F.filter(pairs, lambda r: r["key"].isin(*labels) | ~is_skipped(r["line"], r["key"]))
-    df = sections.filter("kind = 'produccion_cientifica'").transform(put, "rows", useful)
-    df = df.transform(put, "_at", F.filter(F.transform("rows", lambda r, i: F.when(r["key"].isin(*PRODUCT_LABELS["title"]), i)), lambda i: i.isNotNull()))
+    is_title = lambda k: k.isin(*PRODUCT_LABELS["title"]) | k.startswith("TITULO ")
+    is_label = lambda k: is_title(k) | k.isin(*labels) | k.startswith("AUTOR")
+    df = sections.filter("kind = 'produccion_cientifica'").transform(put, "rows", pairs)
+    spots = lambda test: F.filter(F.transform("rows", lambda r, i: F.when(test(r), i)), lambda i: i.isNotNull())
+    page = lambda r: r["line"].rlike(r"(?i)^\[\[PAGE_BREAK(?::\d+)?\]\]$") | r["key"].rlike(r"^\d+(?:\s+DE\s+|/)\d+$")
+    df = df.transform(put, "_titles", spots(lambda r: is_title(r["key"]))).transform(put, "_pages", spots(page)).transform(put, "_others", spots(lambda r: is_label(r["key"]) & ~is_title(r["key"])))
+    between = lambda found, at, n: F.exists(found, lambda p: (p > F.get("_titles", n - 1)) & (p < at))
+    df = df.transform(put, "_again", F.filter("_titles", lambda at, n: (n > 0) & between("_pages", at, n) & ~between("_others", at, n)))
+    df = df.transform(put, "_useful", F.filter("rows", lambda r, i: ~F.array_contains("_again", i) & (is_label(r["key"]) | ~is_skipped(r["line"], r["key"]))))
+    df = df.drop("rows", "_titles", "_pages", "_others", "_again").withColumnRenamed("_useful", "rows")
+    df = df.transform(put, "_at", F.filter(F.transform("rows", lambda r, i: F.when(is_title(r["key"]), i)), lambda i: i.isNotNull()))
     df = df.select(key, "section_no", "rows", "_at", F.posexplode("_at").alias("product_no", "_from"))
     end = F.coalesce(F.get("_at", F.col("product_no") + 1), F.size("rows"))
     df = df.transform(put, "_block", F.slice("rows", F.col("_from") + 1, end - F.col("_from")))
-    df = df.transform(put, "_labels", F.filter(F.transform("_block", lambda r, i: F.when(r["key"].isin(*labels), F.struct(i.alias("at"), r["key"].alias("key")))), lambda x: x.isNotNull()))
+    name = lambda k: F.when(is_title(k), "TITULO").when(k.startswith("AUTOR"), "AUTOR").when(k == "IMPACT", "IMPACTO").otherwise(k)
+    df = df.transform(put, "_labels", F.filter(F.transform("_block", lambda r, i: F.when(is_label(r["key"]), F.struct(i.alias("at"), name(r["key"]).alias("key")))), lambda x: x.isNotNull()))
 
-    def values(names: tuple[str, ...]) -> Column:
+    def values(label: str) -> Column:
         stop = lambda n: F.coalesce(F.get("_labels", n + 1)["at"], F.size("_block"))
-        texts = F.transform("_labels", lambda x, n: F.when(
-            x["key"].isin(*names), titles.join_wrapped(F.transform(F.slice("_block", x["at"] + 2, stop(n) - x["at"] - 1), lambda r: r["line"]))))
-        return F.filter(texts, lambda v: v.isNotNull() & (v != ""))
-
-    first = lambda name: F.get(values(PRODUCT_LABELS[name]), F.lit(0))
-    df = df.transform(put, "title", F.coalesce(first("title"), F.lit(""))).filter("title <> ''")
-    return df.select(key, "section_no", "product_no", "title", F.transform(values(PRODUCT_LABELS["authors"]), P.person_display).alias("authors"),
-                     P.product_status(first("status")).alias("status"), P.impact_of(first("impact")).alias("impact"), first("link").alias("link"))
+        ends = lambda r: r["key"].rlike(r"^\d{1,2}\.?$") | r["key"].startswith("SECCION") | r["key"].rlike(DATE)
+
+        def text(x: Column, n: Column) -> Column:
+            own = F.slice("_block", x["at"] + 2, stop(n) - x["at"] - 1)
+            cut = F.array_position(F.transform(own, ends), F.lit(True)).cast("int")
+            kept = F.when(cut > 0, F.slice(own, F.lit(1), cut - 1)).otherwise(own)
+            return titles.join_wrapped(F.transform(kept, lambda r: r["line"]))
+
+        return F.filter(F.transform("_labels", lambda x, n: F.when(x["key"] == label, text(x, n))), lambda v: v.isNotNull() & (v != ""))
+
+    first = lambda label: F.get(values(label), F.lit(0))
+    df = df.transform(put, "title", F.coalesce(first("TITULO"), F.lit(""))).filter("title <> ''")
+    df = df.transform(put, "_authors", F.filter(values("AUTOR"), P.looks_like_person)).transform(put, "_state", first("ESTADO"))
+    df = df.transform(put, "status", F.coalesce(P.product_status(F.col("_state")), F.col("_state"))).transform(put, "impact", P.impact_of(first("IMPACTO"))).transform(put, "link", rebuilt_link(F.split(first("LINK"), " ")))
+    df = titles.with_title_quality(df, "title")
+    invalid, valid, has_authors, has_status = F.col("quality") == "invalid", F.col("quality") == "valid", F.size("_authors") > 0, F.col("status").isNotNull()
+    df = df.filter(F.when(invalid, has_authors | has_status).otherwise(has_authors | has_status | valid))
+    state = F.when(invalid, "discarded_invalid").when(valid & has_authors & has_status, "validado").otherwise("pending_review")
+    authors = F.when(invalid, F.array().cast("array<string>")).otherwise(F.transform("_authors", P.person_display))
+    return df.select(key, "section_no", "product_no", "title", authors.alias("authors"), "status", "impact", "link", state.alias("validation_status"), (state == "validado").alias("kpi_eligible"), "quality", "quality_reason")
 
 
 def interchange_rows(sections: DataFrame, key: str) -> DataFrame:

@@ -9,12 +9,12 @@ from tallyloom.functions.fuzzy import token_share
 from tallyloom.functions.people import has_piece
 from tallyloom.functions.text import alnum_key, name_tokens, upper_key
 from tallyloom.operators import audit as A
-from tallyloom.operators import extract, kpis, lines, views
+from tallyloom.operators import extract, kpis, layouts, lines, views
 from tallyloom.plans.common import Facts
 from tallyloom.plans.participants import X_STATES, _states
 from tallyloom.plans.registry import query
-from tallyloom.plans.text import _general_docs, _sections
-from tallyloom.session import cut_lineage
+from tallyloom.plans.text import PEOPLE, _general_docs, _sections, member_docs, pick_one
+from tallyloom.session import cut_lineage, work_folder
 
 
 
@@ -240,13 +240,26 @@ def _(t):
     return t.mention_names.select("mention_id", (share >= 0.999).alias("one_to_one"), (F.size(left) < F.size(right)).alias("partial"))
 
 
-@query("t14_label_products", """
-SELECT doc_id, concat('Modelo de gestion para ', source, ' y su entorno') AS title, 'Rosa Elena Mena Vera|Luis Jose Rojas Leon' AS authors, 'PUBLICADO' AS status, 'IMPACTO REGIONAL' AS impact FROM documents""")
+def _product_docs(t):
+    """A labelled table, a stacked one whose title goes on over a page, or a plain one, by document."""
+    title, who = F.concat(F.lit("Modelo comparado de mercados para "), "source"), pick_one(PEOPLE, "doc_id")
+    state = F.when(F.col("doc_id") % 2 == 0, "Publicado").otherwise("En\nrevision")
+    labelled = F.concat_ws("\n", F.lit("Titulo"), title, F.lit("[[PAGE_BREAK:2]]"), F.lit("Titulo"), F.lit("y su entorno"), F.lit("Autor 1"), who, F.lit("Autor 2"), F.lit("Rentabilidad 2"), F.lit("Estado"), state, F.lit("Impacto"), F.lit("Regional"),
+                           F.lit("Link"), F.lit("https://uni.edu/"), F.col("lang"))
+    stacked = F.concat_ws("\n", title, F.upper(who), state, F.lit("Mundial"), F.lit("https://uni.edu/"), F.col("lang"), F.lit("[[PAGE_BREAK:2]]"), F.lit("y su entorno"), F.lit("Otra mirada larga de los puertos del sur"), who, state)
+    plain = F.concat_ws("\n", title, F.lit("y su entorno"), F.lit("Impacto regional"))
+    body = F.when(F.col("doc_id") % 3 == 0, labelled).when(F.col("doc_id") % 3 == 1, stacked).otherwise(plain)
+    return t.documents.select("doc_id", F.concat_ws("\n", F.lit("Produccion cientifica"), body, F.lit("Evidencias"), "text").alias("text"))
+
+
+@query("t14_label_products", f"""
+WITH d AS (SELECT doc_id, lang, concat('Modelo comparado de mercados para ', source, ' y su entorno') AS title, {list(PEOPLE)}[doc_id % 5 + 1] AS who, CASE WHEN doc_id % 2 = 0 THEN 'PUBLICADO' ELSE 'EN REVISION' END AS status FROM documents)
+SELECT doc_id, title, CASE WHEN doc_id % 3 < 2 THEN who ELSE '' END AS authors, CASE WHEN doc_id % 3 < 2 THEN status END AS status, CASE doc_id % 3 WHEN 0 THEN 'IMPACTO REGIONAL' WHEN 1 THEN 'Mundial' ELSE 'Impacto regional' END AS impact,
+  CASE WHEN doc_id % 3 < 2 THEN concat('https://uni.edu/', lang) END AS link, CASE WHEN doc_id % 3 < 2 THEN 'validado' ELSE 'pending_review' END AS validation_status FROM d
+UNION ALL SELECT doc_id, 'Otra mirada larga de los puertos del sur', who, status, NULL, NULL, 'validado' FROM d WHERE doc_id % 3 = 1""")
 def _(t):
-    docs = t.documents.select("doc_id", F.concat_ws("\n", F.lit("Produccion cientifica"), F.lit("Titulo"), F.concat(F.lit("Modelo de gestion para "), "source"), F.lit("[[PAGE_BREAK:2]]"), F.lit("y su entorno"), F.lit("Autor 1"), F.lit("Rosa Elena Mena Vera"),
-                                                   F.lit("Autor 2"), F.lit("LUIS JOSE ROJAS LEON"), F.lit("Estado"), F.lit("Publicado"), F.lit("Impacto"), F.lit("Regional"), F.lit("Evidencias"), "text").alias("text"))
-    rows = extract.label_products(lines.section_rows(docs, "doc_id"), "doc_id")
-    return rows.select("doc_id", "title", F.array_join("authors", "|").alias("authors"), "status", "impact")
+    rows = layouts.scientific_products(lines.section_rows(_product_docs(t), "doc_id"), "doc_id")
+    return rows.select("doc_id", "title", F.array_join("authors", "|").alias("authors"), "status", "impact", "link", "validation_status")
 
 
 @query("t29_loss_causes", """
@@ -259,13 +272,21 @@ def _(t):
     return rows.select("doc_id", F.array_join(A.loss_causes(found, current, stored, F.col("n_chars"), F.col("lang") == "de", F.lit("SUCCESS")), ",").alias("causes"))
 
 
-@query("t30_reparse_comparison", "SELECT 'members' AS kind, count(*) AS current, count(*) FILTER (doc_id % 4 <> 0) AS stored, count(*) FILTER (doc_id % 4 = 0) AS gained FROM documents UNION ALL SELECT 'projects', count(*), count(*), 0 FROM documents UNION ALL SELECT 'products', count(*), count(*), 0 FROM documents")
+@query("t30_reparse_comparison", """
+SELECT 'members' AS kind, count(*) AS current, count(*) AS stored, count(*) FILTER (doc_id % 3 = 0) AS gained, count(*) FILTER (doc_id % 3 = 0) AS lost FROM documents
+UNION ALL SELECT 'projects', count(*), count(*), 0, 0 FROM documents UNION ALL SELECT 'products', count(*), 0, count(*), 0 FROM documents""")
 def _(t):
-    now = _extraction(t)
-    stored = F.when(F.col("doc_id") % 4 == 0, 0).otherwise(F.col("members")).cast("long")
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("current"), (stored if k == "members" else F.col(k)).alias("stored")) for k in ("members", "projects", "products")])
-    rows = now.select(F.explode(kinds).alias("r")).select("r.*")
-    return rows.groupBy("kind").agg(F.sum("current").alias("current"), F.sum("stored").alias("stored"), F.sum(F.greatest(F.lit(0).cast("long"), F.col("current") - F.col("stored"))).alias("gained"))
+    members = cut_lineage(lines.section_rows(member_docs(t), "doc_id"))
+    reports = cut_lineage(_sections(t))
+    tagged = lambda rows, kind, *c: rows.select("doc_id", F.lit(kind).alias("kind"), F.concat_ws("|", *c).alias("row"))
+    projects = tagged(extract.project_rows(reports, "doc_id"), "projects", "code", "name", "director", "progress")
+    # what an earlier run stored: labelled members alone, and no products
+    folder = work_folder(t.documents.sparkSession, "stored-extraction")
+    tagged(layouts.labelled_internal(members, "doc_id"), "members", "name", "career").unionByName(projects).write.parquet(folder)
+    stored = t.documents.sparkSession.read.parquet(folder)
+    now = tagged(layouts.internal_members(members, "doc_id"), "members", "name", "career").unionByName(projects)
+    now = now.unionByName(tagged(extract.product_records(extract.product_blocks(reports, "doc_id")), "products", "title"))
+    return layouts.compare_extractions(now, stored, "kind", ["doc_id", "row"])
 
 
 @query("t31_review_state", """
@@ -316,13 +337,19 @@ def _(t):
 
 
 @query("t37_payload_assembly", """
-SELECT doc_id, 'progress_report' AS document_type, 3 AS log_entries FROM documents""")
+SELECT doc_id, 'progress_report' AS document_type, 'Ana Maria Paredes Ruiz' AS members, concat('FCI', 100 + doc_id % 900, '-2025') AS projects, concat('Analisis de la gestion financiera en empresas ', lang, ' ', source) AS products, 3 AS sections,
+  'sections:3,members:1,projects:1,products:1' AS log FROM documents""")
 def _(t):
     head = F.concat_ws("\n", F.lit("INFORME PARCIAL"), F.lit("DATOS GENERALES"), F.lit("CICLO ACADEMICO QUE REPORTA"), "text")
-    docs = extract.classify_documents(t.reports.select("doc_id", head.alias("text"), F.lit("informe.pdf").alias("filename")))
-    parsed = F.col("document_status") == "accepted"
-    logs = F.concat(F.array(F.lit("extraction")), F.when(parsed, F.array(F.lit("sections"), F.lit("tables"))).otherwise(F.array().cast("array<string>")))
-    return docs.filter("document_type <> 'email_capture'").select("doc_id", "document_type", F.size(logs).alias("log_entries"))
+    docs = extract.classify_documents(t.reports.select("doc_id", head.alias("text"), F.lit("informe.pdf").alias("filename"))).filter("document_status = 'accepted'")
+    found = cut_lineage(_sections(t).join(docs.select("doc_id"), "doc_id", "left_semi"))
+    products = extract.product_records(extract.product_blocks(found, "doc_id")).select("doc_id", "section_no", "block_no", "title", "authors", "status")
+    payload = layouts.assemble(docs.select("doc_id", "document_type"), "doc_id", {
+        "sections": (found.select("doc_id", "section_no", "kind", "title", "page"), ["section_no"]), "members": (extract.internal_members(found, "doc_id"), ["section_no", "member_no"]),
+        "projects": (extract.project_rows(found, "doc_id"), ["section_no", "project_no"]), "products": (products, ["section_no", "block_no"])})
+    listed = lambda part, name: F.array_join(F.transform(part, lambda r: r[name]), "|").alias(part)
+    log = F.array_join(F.transform("log", lambda x: F.concat_ws(":", x["part"], x["rows"].cast("string"))), ",")
+    return payload.select("doc_id", "document_type", listed("members", "name"), listed("projects", "code"), listed("products", "title"), F.size("sections").alias("sections"), log.alias("log"))
 
 
 @query("t38_progress_record", """
@@ -344,12 +371,12 @@ def _(t):
     return df.filter(start > 0).select("doc_id", (F.coalesce(F.array_min(F.filter(stops, lambda i: i >= start)), F.size("lines")) - start).cast("long").alias("lines_between"))
 
 
-@query("t41_extraction_merge", """
-SELECT teacher_id, coalesce(a.c, b.c) AS career, a.c IS NULL AS filled FROM (SELECT teacher_id, CASE WHEN is_active THEN segment END AS c FROM v_teachers) a JOIN (SELECT teacher_id AS id, lower(segment) AS c FROM v_teachers) b ON b.id = a.teacher_id""")
+@query("t41_extraction_merge", f"""
+SELECT doc_id, {list(PEOPLE)}[doc_id % 5 + 1] AS name, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS layout, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 3 END::BIGINT AS candidates FROM documents""")
 def _(t):
-    one = t.teachers.select("teacher_id", F.when(F.col("is_active"), F.col("segment")).alias("a"))
-    two = t.teachers.select("teacher_id", F.lower("segment").alias("b"))
-    return one.join(two, "teacher_id", "full").select("teacher_id", F.coalesce("a", "b").alias("career"), F.col("a").isNull().alias("filled"))
+    sections = cut_lineage(lines.section_rows(member_docs(t), "doc_id"))
+    found = [layouts.labelled_internal(sections, "doc_id"), extract.internal_members(sections, "doc_id").filter(F.col("career").isNotNull())]
+    return layouts.merge_by_name(found, ["doc_id", "section_no"], "career").select("doc_id", "name", "layout", "candidates")
 
 
 @query("t44_text_sufficiency", """

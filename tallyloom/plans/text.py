@@ -8,7 +8,7 @@ from tallyloom.functions import people as P
 from tallyloom.functions import text as K
 from tallyloom.functions import titles
 from tallyloom.functions import wordlists as W
-from tallyloom.operators import extract, lines
+from tallyloom.operators import extract, layouts, lines
 from tallyloom.plans.registry import query
 
 PK = "trim(regexp_replace(regexp_replace(strip_accents(upper(replace({0}, 'ß', 'ss'))), '[^A-Z0-9%./:\\- ]+', ' ', 'g'), ' +', ' ', 'g'))"
@@ -101,26 +101,47 @@ def _(t):
     return extract.project_rows(_sections(t), "doc_id").select("doc_id", "code", "name", "director", "progress", "status")
 
 
-@query("t10_internal_members", """
-SELECT doc_id, 'Ana Maria Paredes Ruiz' AS name, 'CIENCIAS ADMINISTRATIVAS' AS faculty FROM documents""")
+PEOPLE = ("Rosa Elena Mena Vera", "Luis Jose Rojas Leon", "Ana Maria Paredes Ruiz", "Pedro Andres Solis Paz", "Nora Lucia Mora Rios")
+CAREERS = W.CAREER_CATALOG[:8]
+
+
+def pick_one(values: tuple[str, ...], at: str):
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(at) % len(values) + 1).cast("int"))
+
+
+def member_docs(t):
+    """Reports with a labelled table, in which one career in three is missing, and after it the same people without labels."""
+    wrapped = F.split(pick_one(PEOPLE, "doc_id"), " ")
+    name = lambda a, n: F.array_join(F.slice(wrapped, a, n), " ")
+    career = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("CARRERA\n"), pick_one(CAREERS, "doc_id")))
+    head = F.concat_ws("\n", F.lit("14. Investigadores que participan en el proyecto"), F.lit("NOMBRE COMPLETO"), name(1, 3), F.lit("3 DE 9"), name(4, 1), F.lit("FACULTAD"), F.lit("Ciencias Administrativas"), career,
+                       F.lit("FECHA DE INGRESO"), F.lit("2023-04-01"), F.upper(pick_one(PEOPLE, "doc_id")), F.lit("FACULTAD DE CIENCIAS ADMINISTRATIVAS"), pick_one(CAREERS, "doc_id"), F.lit("Septiembre 2023"),
+                       F.lit("15. Investigadores que se desvinculan del proyecto"), F.col("text"))
+    return t.documents.select("doc_id", head.alias("text"))
+
+
+@query("t10_internal_members", f"""
+SELECT doc_id, {list(PEOPLE)}[doc_id % 5 + 1] AS name, 'CIENCIAS ADMINISTRATIVAS' AS faculty, {list(CAREERS)}[doc_id % 8 + 1] AS career, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS layout FROM documents""")
 def _(t):
-    return extract.internal_members(_sections(t), "doc_id").select("doc_id", "name", "faculty")
+    return layouts.internal_members(lines.section_rows(member_docs(t), "doc_id"), "doc_id").select("doc_id", "name", "faculty", "career", "layout")
 
 
 def _external_docs(t):
     mod = F.col("doc_id") % 3
-    body = F.concat_ws("\n", F.lit("Investigadores externos que participan del proyecto"), F.lit("Nombre completo"),
-                       F.when(mod == 0, F.concat(F.lit("Universidad de "), "source", F.lit("\nPEDRO MARIA CRUZ SOLIS")))
-                       .when(mod == 1, F.concat(F.lit("PEDRO MARIA CRUZ SOLIS\nInstituto Tecnico de "), "source")).otherwise(F.lit("PEDRO MARIA CRUZ SOLIS\nestudiante")),
-                       F.lit("Resumen del proyecto"), F.col("text"))
+    labelled = F.concat_ws("\n", F.lit("Nora Lucia"), F.lit("3 DE 9"), F.lit("Paz Mora"), F.when(F.col("doc_id") % 4 == 0, "Institución externa\nUniversidad de\nMurcia").otherwise("Facultad\nCiencias Administrativas"))
+    plain = (
+        F.when(mod == 0, F.concat(F.lit("Universidad de "), "source", F.lit("\nPEDRO MARIA CRUZ SOLIS"))).when(mod == 1, F.concat(F.lit("PEDRO MARIA CRUZ SOLIS\nInstituto Tecnico de "), "source"))
+        .otherwise(F.lit("PEDRO MARIA CRUZ SOLIS\nestudiante")))
+    body = F.concat_ws("\n", F.lit("Investigadores externos que participan del proyecto"), F.lit("Nombre completo"), F.when(F.col("doc_id") % 2 == 0, labelled).otherwise(plain), F.lit("Resumen del proyecto"), F.col("text"))
     return t.documents.select("doc_id", body.alias("text"))
 
 
 @query("t11_external_members", """
 SELECT doc_id, 'Pedro Maria Cruz Solis' AS name, CASE doc_id % 3 WHEN 0 THEN concat('Universidad de ', upper(source[1]), source[2:]) WHEN 1 THEN concat('Instituto Tecnico de ', upper(source[1]), source[2:]) ELSE 'Universidad de Guayaquil' END AS institution,
-  CASE doc_id % 3 WHEN 2 THEN 'estudiante' ELSE 'investigador_externo' END AS participant_type FROM documents""")
+  CASE doc_id % 3 WHEN 2 THEN 'estudiante' ELSE 'investigador_externo' END AS participant_type, 2 AS layout FROM documents WHERE doc_id % 2 = 1
+UNION ALL SELECT doc_id, 'Nora Lucia Paz Mora', CASE WHEN doc_id % 4 = 0 THEN 'Universidad de Murcia' ELSE 'Universidad de Guayaquil' END, CASE WHEN doc_id % 4 = 0 THEN 'investigador_externo' ELSE 'estudiante' END, 1 FROM documents WHERE doc_id % 2 = 0""")
 def _(t):
-    return extract.external_members(lines.section_rows(_external_docs(t), "doc_id"), "doc_id").select("doc_id", "name", "institution", "participant_type")
+    return layouts.external_members(lines.section_rows(_external_docs(t), "doc_id"), "doc_id").select("doc_id", "name", "institution", "participant_type", "layout")
 
 
 @query("t12_directors", """
@@ -146,20 +167,29 @@ def _(t):
     return _products(t).select("doc_id", "title", F.array_join("authors", "|").alias("authors"), "status", "impact", "validation_status", F.array_join("fields_missing", "|").alias("fields_missing"))
 
 
-def _spread_products(t):
-    """Products of one source with titles that begin or end alike."""
-    mod = F.col("doc_id") % 3
+def _variant_products(t):
+    """Three products a document, two of them variants of each other, in an order and with links that differ by document."""
     base = F.concat(F.lit("Analisis de la gestion financiera en "), "source")
-    title = F.when(mod == 0, base).when(mod == 1, F.concat(base, F.lit(" y su impacto"))).otherwise(F.concat(F.lit("Nuevo "), base, F.lit(" con una mirada larga al futuro")))
-    df = t.documents.select("source", "lang", "doc_id", title.alias("title"), F.array("lang").alias("authors"), F.lit("PUBLICADO").alias("status"),
-                            F.lit(None).cast("string").alias("impact"), F.lit(None).cast("string").alias("link"), F.lit("validado").alias("validation_status"))
+    row = lambda at, title, link: F.struct(F.lit(at).alias("n"), title.alias("title"), link.alias("link"))
+    link = F.when(F.col("doc_id") % 2 == 0, "https://uni.edu/x")
+    none = F.lit(None).cast("string")
+    three = [row(0, base, none), row(1, F.concat(base, F.lit(" y sus mercados")), link), row(2, F.concat(F.lit("Nuevo "), base, F.lit(" con una mirada larga al futuro")), none)]
+    orders = ((0, 1, 2), (1, 0, 2), (2, 0, 1))
+    pick = lambda k: F.array(*[three[i] for i in orders[k]])
+    rows = F.when(F.col("doc_id") % 3 == 0, pick(0)).when(F.col("doc_id") % 3 == 1, pick(1)).otherwise(pick(2))
+    df = t.documents.select("doc_id", "lang", F.posexplode(rows).alias("at", "p")).select(
+        "doc_id", "at", "p.title", F.array("lang").alias("authors"), F.lit("PUBLICADO").alias("status"), F.lit(None).cast("string").alias("impact"), "p.link", F.lit("validado").alias("validation_status"))
     return titles.with_title_quality(df, "title")
 
 
 @query("t16_variant_collapse", """
-SELECT doc_id FROM documents d WHERE doc_id % 3 = 2 OR NOT EXISTS (SELECT 1 FROM documents o WHERE o.source = d.source AND o.lang = d.lang AND o.doc_id % 3 < 2 AND o.doc_id % 3 <> d.doc_id % 3 AND o.doc_id < d.doc_id)""")
+WITH d AS (SELECT doc_id, concat('Analisis de la gestion financiera en ', source) AS a, concat('Analisis de la gestion financiera en ', source, ' y sus mercados') AS b, concat('Nuevo Analisis de la gestion financiera en ', source, ' con una mirada larga al futuro') AS c FROM documents),
+k AS (SELECT doc_id, c, CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 1 THEN b ELSE a END AS k FROM d)
+SELECT doc_id, 0 AS position, CASE WHEN doc_id % 3 = 2 THEN c ELSE k END AS title FROM k UNION ALL SELECT doc_id, 1, CASE WHEN doc_id % 3 = 2 THEN k ELSE c END FROM k""")
 def _(t):
-    return extract.collapse_variants(_spread_products(t), ["source"], "doc_id").select("doc_id")
+    rows = layouts.with_variant_keys(_variant_products(t), ["at"], ["title"])
+    lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("_variant")).alias("v"))
+    return lists.select("doc_id", F.posexplode(layouts.collapse_in_order(F.col("v"))).alias("position", "x")).select("doc_id", "position", F.col("x.row.title").alias("title"))
 
 
 @query("t17_interchanges", """
