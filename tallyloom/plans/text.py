@@ -128,11 +128,11 @@ def _(t):
 
 def _external_docs(t):
     mod = F.col("doc_id") % 3
-    labelled = F.concat_ws("\n", F.lit("Nora Lucia"), F.lit("3 DE 9"), F.lit("Paz Mora"), F.when(F.col("doc_id") % 4 == 0, "Institución externa\nUniversidad de\nMurcia").otherwise("Facultad\nCiencias Administrativas"))
+    labelled = F.concat_ws("\n", F.lit("Nombre completo"), F.lit("3 DE 9"), F.lit("Nora Lucia Paz Mora"), F.when(F.col("doc_id") % 4 == 0, "Institución externa\nUniversidad de\nMurcia").otherwise("Facultad\nCiencias Administrativas"))
     plain = (
         F.when(mod == 0, F.concat(F.lit("Universidad de "), "source", F.lit("\nPEDRO MARIA CRUZ SOLIS"))).when(mod == 1, F.concat(F.lit("PEDRO MARIA CRUZ SOLIS\nInstituto Tecnico de "), "source"))
         .otherwise(F.lit("PEDRO MARIA CRUZ SOLIS\nestudiante")))
-    body = F.concat_ws("\n", F.lit("Investigadores externos que participan del proyecto"), F.lit("Nombre completo"), F.when(F.col("doc_id") % 2 == 0, labelled).otherwise(plain), F.lit("Resumen del proyecto"), F.col("text"))
+    body = F.concat_ws("\n", F.lit("Investigadores externos que participan del proyecto"), F.when(F.col("doc_id") % 2 == 0, labelled).otherwise(F.concat(F.lit("Institución externa\nInvestigador\n"), plain)), F.lit("Resumen del proyecto"), F.col("text"))
     return t.documents.select("doc_id", body.alias("text"))
 
 
