@@ -108,10 +108,18 @@ def dedupe_progress(progress: DataFrame, traces: DataFrame) -> DataFrame:
     return rows.groupBy("yr", "cycle", "dedupe_key").agg(F.max_by(row, "report_id").alias("_row")).select("_row.*")
 
 
+GRID_TASKS = 64
+
+
 def grid(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every row of ``left`` beside every row of ``right``, for two short lists of dimension keys, as an equality join."""
-    one = lambda df: df.withColumn("_all", F.pmod(F.hash(*df.columns), F.lit(1)))
-    return one(left).join(one(right), "_all").drop("_all")
+    """The product of two lists of dimension keys: every row of ``left`` beside every row of ``right``.
+
+    ``left`` is dealt over GRID_TASKS parts by its hash and ``right`` repeated for each, so that the rows of the product
+    are made in many tasks.
+    """
+    dealt = left.withColumn("_part", F.pmod(F.hash(*left.columns), F.lit(GRID_TASKS)))
+    repeated = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(GRID_TASKS - 1))))
+    return dealt.join(repeated, "_part").drop("_part")
 
 
 def career_jobs(valid_roles: DataFrame) -> DataFrame:
