@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tallyloom.functions.text import career_key, folded_key, upper_key
 from tallyloom.operators import filters, matching, skew
 
-SMALL_CATALOG = 500
-
 
 def nonblank(column: Column) -> Column:
     return F.when(F.trim(column) != "", column)
@@ -49,27 +47,18 @@ def changed_rows(before: DataFrame, after: DataFrame, key: str, columns: list[st
 
 
 def longest_match(texts: DataFrame, key: str, text: str, catalog: DataFrame, id_column: str, name: str) -> DataFrame:
-    """(key, id): the catalog entry with the longest name among those whose full or short name is in the text.
+    """(key, id): the catalog entry with the longest name among those whose full or short name is in the text, lowest id on ties.
 
-    A catalog of at most SMALL_CATALOG entries is tested inside the row; a larger one goes through a
-    join on character grams.
+    A blank name is in no text; a row without a match keeps a null id.
     """
     entries = catalog.select(F.col(id_column).alias("id"), upper_key(F.col(name)).alias("full")).withColumn(
         "short", F.replace(F.col("full"), F.lit("LICENCIATURA EN "), F.lit(""))
-    ).filter("full <> '' AND short <> ''")  # a blank name is in no text
-    rows = texts.select(F.col(key).alias("_k"), upper_key(F.col(text)).alias("_t"))
-    small = entries.limit(SMALL_CATALOG + 1).collect()
-    if len(small) <= SMALL_CATALOG:
-        literal = F.array(*[
-            F.struct(F.lit(-len(r["full"])).alias("rank"), F.lit(r["id"]).cast("long").alias("id"), F.lit(r["full"]).alias("full"), F.lit(r["short"]).alias("short"))
-            for r in small
-        ])
-        hits = F.filter(literal, lambda e: F.col("_t").contains(e["full"]) | F.col("_t").contains(e["short"]))
-        return rows.select(F.col("_k").alias(key), F.array_min(hits)["id"].alias(id_column))
-    parts = entries.select("id", F.length("full").alias("len"), F.explode(F.array_distinct(F.array("full", "short"))).alias("part"))
-    pairs = matching.contained_pairs(rows.select("_t"), parts.select("part"))
-    best = pairs.join(parts, "part").groupBy("whole").agg(F.max_by("id", F.struct("len", -F.col("id"))).alias(id_column))
-    return rows.join(best, rows["_t"] == best["whole"], "left").select(F.col("_k").alias(key), id_column)
+    ).filter("full <> '' AND short <> ''")
+    owner = F.struct(F.length("full").alias("len"), (-F.col("id")).alias("low"))
+    parts = entries.select(owner.alias("rank"), F.explode(F.array("full", "short")).alias("part")).groupBy("part").agg(F.max("rank").alias("rank"))
+    rows = texts.select(F.col(key).alias(key), upper_key(F.col(text)).alias("_t"))
+    held = matching.parts_in_texts(rows, key, "_t", parts)
+    return held.select(key, (-F.get(F.reverse("parts"), F.lit(0))["rank"]["low"]).alias(id_column))
 
 
 def first_match(values: DataFrame, column: str, careers: DataFrame) -> DataFrame:
