@@ -22,6 +22,7 @@ SUFFIX_SCORE = 0.9
 
 @lru_cache(maxsize=1 << 16)
 def token_similarity(left: str, right: str, affixes: bool) -> float:
+    """Of seed names (affixes) by matching blocks, of names in reports by the longest common subsequence."""
     if left == right:
         return 1.0
     if affixes:
@@ -30,11 +31,12 @@ def token_similarity(left: str, right: str, affixes: bool) -> float:
             return PREFIX_SCORE
         if len(short) >= 3 and long.endswith(short):
             return SUFFIX_SCORE
-    return SequenceMatcher(None, left, right).ratio()
+        return SequenceMatcher(None, left, right).ratio()
+    return _indel(left, right) / 100
 
 
 def matched_share(left, right, affixes: bool = True, by_left: bool = True) -> float:
-    """Share of tokens that find a partner, each partner used once; of ``left`` or of the shorter list."""
+    """Share of tokens that find a partner, each partner used once, an equal one first; of ``left`` or of the shorter list."""
     one = [t for t in left if len(t) > 1]
     two = [t for t in right if len(t) > 1]
     if not by_left:

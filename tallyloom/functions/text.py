@@ -47,6 +47,11 @@ def alnum_key(value: Column) -> Column:
     return collapse(F.regexp_replace(strip_accents(F.upper(F.coalesce(value, F.lit("")))), r"[^\p{L}\p{N}]+", " "))
 
 
+def seed_key(value: Column) -> Column:
+    """As ``alnum_key`` but only A to Z and 0 to 9 survive: a letter without an ASCII form is a blank."""
+    return collapse(F.regexp_replace(strip_accents(F.upper(F.coalesce(value, F.lit("")))), "[^A-Z0-9]+", " "))
+
+
 def institution_key(value: Column) -> Column:
     return collapse(F.regexp_replace(strip_accents(F.upper(F.coalesce(value, F.lit("")))), r":", " "))
 
@@ -99,6 +104,11 @@ def name_key(value: Column) -> Column:
     return F.array_join(name_tokens(value), " ")
 
 
+def seed_name_key(value: Column) -> Column:
+    """``seed_key`` without particles."""
+    return F.array_join(F.filter(F.split(seed_key(value), " "), lambda t: (t != "") & ~t.isin(*NAME_PARTICLES)), " ")
+
+
 def like_literal(text: str) -> str:
     """A LIKE pattern that matches the text anywhere, wildcards taken literally."""
     escaped = text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")

@@ -39,7 +39,7 @@ def with_own_faculty(roles: DataFrame, careers: DataFrame, faculties: DataFrame)
     home = careers.join(faculties.select("faculty_id", F.col("name").alias("_faculty")), "faculty_id").select(
         "career_id", upper_key(F.col("_faculty")).contains("CIENCIAS ADMINISTRATIVAS").alias("own_faculty")
     )
-    return roles.join(F.broadcast(home), "career_id", "left")
+    return roles.join(home, "career_id", "left")
 
 
 def with_production_career(roles: DataFrame, productions: DataFrame, teachers: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def progress_counts(progress: DataFrame, traces: DataFrame, current: DataFrame,
     return rows.groupBy("yr", "cycle").agg(
         F.count(F.lit(1)).alias("reports_received"),
         F.count_if(F.col("trace_status").isin(*kpis.REVIEW_STATUSES)).alias("reports_requires_review"),
-    ).join(F.broadcast(periods), ["yr", "cycle"]).select("period_id", *REPORT_MEASURES)
+    ).join(periods, ["yr", "cycle"]).select("period_id", *REPORT_MEASURES)
 
 
 def mention_scopes(mentions: DataFrame, productions: DataFrame, teachers: DataFrame, careers: DataFrame, entities: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def mention_scopes(mentions: DataFrame, productions: DataFrame, teachers: DataFr
     product = production_career_scopes(productions, teachers, careers, entities).groupBy("production_id").agg(
         F.collect_set("career_id").alias("_product_careers")
     )
-    joined = mentions.join(F.broadcast(places), "affiliation", "left").join(product, "production_id", "left")
+    joined = mentions.join(places, "affiliation", "left").join(product, "production_id", "left")
     none = F.array().cast("array<bigint>")
     role_ids = F.when(F.col("teacher_career").isNotNull(), F.array("teacher_career")).otherwise(F.coalesce("_place_careers", none))
     ids = F.when(F.col("source_table") == "person_roles", role_ids).otherwise(F.coalesce("_product_careers", none))
@@ -155,7 +155,7 @@ def matrix(facts, period_ids: list[int] | None = None) -> DataFrame:
     scopes = t.careers.select(F.explode(F.array(F.lit(kpis.TOTAL).cast("long"), F.col("career_id").cast("long"))).alias("scope_id")).distinct()
     grid = kpis.grid(periods.select("period_id"), scopes)
     reports = progress_counts(t.progress, t.traces, facts.current, periods)
-    joined = grid.join(cells, KEYS, "left").join(F.broadcast(reports), "period_id", "left")
+    joined = grid.join(cells, KEYS, "left").join(reports, "period_id", "left")
     return joined.select(
         *KEYS, *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in MEASURES],
         percent(F.coalesce("total_teachers", F.lit(0)), F.coalesce("total_teachers", F.lit(0))).alias("teachers_in_research_percent"),

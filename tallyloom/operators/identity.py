@@ -14,7 +14,7 @@ from tallyloom.functions.fuzzy import token_set_ratio, token_share
 from tallyloom.functions.hashing import uuid5
 from tallyloom.functions.people import title_case
 from tallyloom.functions.stage import put
-from tallyloom.functions.text import alnum_key, name_key, upper_key
+from tallyloom.functions.text import alnum_key, name_key, seed_key, seed_name_key, upper_key
 from tallyloom.operators import names, near, skew
 from tallyloom.session import cut_lineage, spread
 
@@ -35,9 +35,16 @@ EVIDENCE_SECTIONS = ("integrantes_internos", "integrantes_externos", "proyectos_
 EVIDENCE_ROLES = ("integrante_interno", "investigador_externo", "director_proyecto", "coordinador_grupo", "tutor_semillero", "responsable_informe")
 
 
+def _first_by_key(texts: Column) -> Column:
+    """The first text of each name key, in order."""
+    none = F.array().cast("array<struct<k:string,t:string>>")
+    keyed = F.transform(F.filter(texts, lambda x: x != ""), lambda x: F.struct(seed_name_key(x).alias("k"), x.alias("t")))
+    return F.transform(F.aggregate(keyed, none, lambda kept, x: F.when(F.exists(kept, lambda y: y["k"] == x["k"]), kept).otherwise(F.array_append(kept, x))), lambda x: x["t"])
+
+
 def aliases(inverted: Column) -> Column:
-    """Spellings of a name given as two surnames and given names, most complete first, distinct."""
-    t = F.split(alnum_key(inverted), " ")
+    """Spellings of a name given as two surnames and given names, most complete first; equal name keys count as one."""
+    t = F.split(seed_key(inverted), " ")
     s1, s2, given = F.get(t, F.lit(0)), F.get(t, F.lit(1)), F.slice(t, F.lit(3), F.size(t))
     g1, two = F.get(given, F.lit(0)), F.slice(given, F.lit(1), F.lit(2))
     forms = [
@@ -46,11 +53,11 @@ def aliases(inverted: Column) -> Column:
     ]
     more = F.when(F.size(given) >= 2, F.array(F.concat(two, F.array(s1)), F.concat(two, F.array(s1, s2)))).otherwise(F.array().cast("array<array<string>>"))
     texts = F.transform(F.concat(F.array(*forms), more), lambda p: title_case(F.array_join(p, " ")))
-    return F.when(F.size(t) <= 2, F.array(title_case(alnum_key(inverted)))).otherwise(F.array_distinct(texts))
+    return F.when(F.size(t) <= 2, F.array(title_case(seed_key(inverted)))).otherwise(_first_by_key(texts))
 
 
 def official_name(inverted: Column) -> Column:
-    t = F.split(alnum_key(inverted), " ")
+    t = F.split(seed_key(inverted), " ")
     turned = F.concat(F.slice(t, F.lit(3), F.size(t)), F.slice(t, F.lit(1), F.lit(2)))
     return title_case(F.array_join(F.when(F.size(t) <= 2, t).otherwise(turned), " "))
 
@@ -58,10 +65,10 @@ def official_name(inverted: Column) -> Column:
 def seed_table(rows: DataFrame) -> DataFrame:
     """Seed records (record_id, raw_name, identity_number, project_code, role) with their spellings and keys."""
     df = rows.filter(F.trim("raw_name") != "").transform(put, "aliases", F.array_distinct(F.concat(
-        F.array(official_name(F.col("raw_name")), title_case(alnum_key(F.col("raw_name")))), aliases(F.col("raw_name")))))
+        F.array(official_name(F.col("raw_name")), title_case(seed_key(F.col("raw_name")))), aliases(F.col("raw_name")))))
     return df.select(
-        "*", official_name(F.col("raw_name")).alias("official_name"), name_key(official_name(F.col("raw_name"))).alias("normalized_name"),
-        name_key(F.col("raw_name")).alias("inverted_key"), F.transform("aliases", name_key).alias("alias_keys"),
+        "*", official_name(F.col("raw_name")).alias("official_name"), seed_name_key(official_name(F.col("raw_name"))).alias("normalized_name"),
+        seed_name_key(F.col("raw_name")).alias("inverted_key"), F.transform("aliases", seed_name_key).alias("alias_keys"),
         F.nullif(F.regexp_replace(F.coalesce("identity_number", F.lit("")), r"\D+", ""), F.lit("")).alias("identity_digits"))
 
 
@@ -88,11 +95,11 @@ def _sequence(left: pd.Series, right: pd.Series) -> pd.Series:
 def role_word(role: Column) -> Column:
     """The word of the seed list that a role key stands for; any other text stands for itself."""
     known = F.coalesce(*[F.when(F.lower(role) == k, F.lit(w)) for k, w in ROLE_WORDS.items()])
-    return F.coalesce(known, alnum_key(role))
+    return F.coalesce(known, seed_key(role))
 
 
 def _code(value: Column) -> Column:
-    return F.replace(alnum_key(value), F.lit(" "), F.lit(""))
+    return F.replace(seed_key(value), F.lit(" "), F.lit(""))
 
 
 def _near_pairs(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -119,7 +126,7 @@ def seed_matches(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
     alike. Each rule is complete: its keys are equal wherever it holds.
     """
     seeds = cut_lineage(spread(seeds))
-    c = spread(candidates).transform(put, "_key", name_key(F.col("name")))
+    c = spread(candidates).transform(put, "_key", seed_name_key(F.col("name")))
     c = cut_lineage(c.transform(put, "_tokens", F.filter(F.split("_key", " "), lambda t: t != "")).withColumn(
         "_digits", F.nullif(F.regexp_replace(F.coalesce("identity_number", F.lit("")), r"\D+", ""), F.lit(""))))
     tagged = lambda tag, values: F.transform(values, lambda v: F.concat(F.lit(tag), v))
@@ -147,7 +154,7 @@ def seed_matches(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
         seeds.select("record_id", "official_name", "normalized_name", "inverted_key", "identity_digits", "project_code", "role"), "record_id")
     df = df.withColumn(
         "_project", F.coalesce(F.array_contains(F.transform("project_codes", _code), _code(F.col("project_code"))) & (_code(F.col("project_code")) != ""), F.lit(False))
-    ).withColumn("_role", F.coalesce(F.exists("role_words", lambda w: (w != "") & alnum_key(F.col("role")).contains(role_word(w))), F.lit(False)))
+    ).withColumn("_role", F.coalesce(F.exists("role_words", lambda w: (w != "") & seed_key(F.col("role")).contains(role_word(w))), F.lit(False)))
     # similarity depends on the two names alone: score each distinct pair once
     scores = df.filter("NOT (_number OR _exact OR _prefix OR _subset)").select("_key", "normalized_name").distinct().select(
         "_key", "normalized_name", token_share(F.split("_key", " "), F.split("normalized_name", " ")).alias("_share"),

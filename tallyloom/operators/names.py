@@ -72,7 +72,8 @@ def partial_matches(
     """The best ``most`` right rows per left row by share of common tokens of the shorter name.
 
     Equal token sets are scored once and expanded after the cut. Half of three or more tokens are two,
-    so longer names meet on token pairs; only names of two tokens meet on a single one.
+    so longer names meet on token pairs; a single token is a key only where one side is a name of two tokens,
+    each side's short names having keys of their own.
     """
     from pyspark.sql import Window
 
@@ -82,16 +83,19 @@ def partial_matches(
 
     def meet(df: DataFrame, side: str) -> DataFrame:
         tokens = F.col(f"{side}_set")
-        singles = F.transform(tokens, lambda t: F.concat(F.lit("1:"), t))
+        short = F.size(tokens) == 2
+        single = lambda owner: F.transform(tokens, lambda t: F.concat(F.lit(f"{owner}:"), t))
         pairs = F.flatten(F.transform(tokens, lambda a: F.transform(
             F.filter(tokens, lambda b: b > a), lambda b: F.concat(F.lit("2:"), a, F.lit(" "), b))))
-        return df.select(f"{side}_set").distinct().select(f"{side}_set", F.explode(F.concat(singles, pairs)).alias("block"))
+        # "l:" holds the two-token names of the left and every name of the right, "r:" the longer ones of the left and the two-token ones of the right
+        if side == "l":
+            keys = F.when(short, single("l")).otherwise(F.concat(single("r"), pairs))
+        else:
+            keys = F.when(short, F.concat(single("l"), single("r"))).otherwise(F.concat(single("l"), pairs))
+        return df.select(f"{side}_set").distinct().select(f"{side}_set", F.explode(keys).alias("block"))
 
     ls, rs = token_sets(spread(left), left_name, "l"), token_sets(spread(right), right_name, "r")
-    two = F.least(F.size("l_set"), F.size("r_set")) == 2
-    on_pairs = F.col("l.block").startswith("2:") & (F.size("l_set") > 2) & (F.size("r_set") > 2)
-    on_single = F.col("l.block").startswith("1:") & two
-    met = meet(ls, "l").alias("l").join(meet(rs, "r").alias("r"), (F.col("l.block") == F.col("r.block")) & (on_pairs | on_single))
+    met = meet(ls, "l").join(meet(rs, "r"), "block")
     scored = met.select("l_set", "r_set").distinct().withColumn(
         "score", F.size(F.array_intersect("l_set", "r_set")) / F.least(F.size("l_set"), F.size("r_set"))
     ).filter(F.col("score") >= least)

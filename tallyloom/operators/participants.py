@@ -58,7 +58,7 @@ def role_mentions(
     roles: DataFrame, teachers: DataFrame, careers: DataFrame, externals: DataFrame, decisions: DataFrame
 ) -> DataFrame:
     """Operational role rows as mentions; discarded ones are still in, see ``status``."""
-    people = teachers.join(F.broadcast(careers.select("career_id", F.col("name").alias("_career"))), "career_id").select(
+    people = teachers.join(careers.select("career_id", F.col("name").alias("_career")), "career_id").select(
         "teacher_id", F.col("career_id").alias("teacher_career"), "_career", F.col("institutional_email").alias("email")
     )
     homes = externals.select("external_id", F.col("institution").alias("_institution"))
@@ -92,7 +92,7 @@ def author_mentions(
     externals: DataFrame,
 ) -> DataFrame:
     """Authors of operational productions as mentions."""
-    people = teachers.join(F.broadcast(careers.select("career_id", F.col("name").alias("_career"))), "career_id").select(
+    people = teachers.join(careers.select("career_id", F.col("name").alias("_career")), "career_id").select(
         "teacher_id", "_career"
     )
     homes = externals.select("external_id", F.col("institution").alias("_institution"))

@@ -77,7 +77,7 @@ def _(t):
 SELECT u.user_id, count(*) AS visible FROM v_users u JOIN (SELECT t.teacher_id, c.career_id, c.faculty_id FROM v_teachers t JOIN v_careers c ON c.career_id = t.career_id) i
   ON (u.role = 'faculty_admin' AND u.faculty_id = i.faculty_id) OR (u.role = 'career_manager' AND u.career_id = i.career_id) GROUP BY 1""")
 def _(t):
-    items = t.teachers.join(F.broadcast(t.careers.select("career_id", "faculty_id")), "career_id").select(
+    items = t.teachers.join(t.careers.select("career_id", "faculty_id"), "career_id").select(
         "teacher_id", F.col("career_id").alias("scope_career_id"), F.col("faculty_id").alias("scope_faculty_id"))
     return filters.visible_to(items, t.users).groupBy("user_id").agg(F.count(F.lit(1)).alias("visible"))
 
@@ -131,7 +131,7 @@ WHERE p.job_id IN (SELECT job_id FROM x_current)""")
 def _(t):
     names = t.careers.select("career_id", career_key(F.col("name")).alias("k"))
     rows = t.progress.join(Facts(t).current, "job_id", "left_semi").withColumn("k", career_key(upper_key(F.col("career_name"))))
-    return rows.join(F.broadcast(names), "k").select("report_id", "career_id")
+    return rows.join(names, "k").select("report_id", "career_id")
 
 
 @query("flt16_participant_filters", """

@@ -333,7 +333,7 @@ SELECT t.teacher_id, CASE WHEN t.validation_status = 'discarded_invalid' THEN 'd
 def _(t):
     home = t.careers.select("career_id", "faculty_id").join(t.faculties.select("faculty_id", F.col("name").alias("faculty")), "faculty_id")
     status = F.when(F.col("validation_status") == "discarded_invalid", "descartado").when(F.col("validation_status") == "pending_review", "pendiente_validacion").otherwise("validado")
-    rows = t.teachers.join(F.broadcast(home), "career_id").select(
+    rows = t.teachers.join(home, "career_id").select(
         "teacher_id", status.alias("validation_status"), F.lit("valid_person").alias("review_bucket"),
         F.when(F.col("segment") == "MACHINERY", "investigador_externo").otherwise("docente_interno").alias("person_type"), F.array("faculty").alias("faculties"))
     return I.participant_scope(rows).select("teacher_id", "participant_scope", "detected_faculty")

@@ -14,7 +14,7 @@ from tallyloom.plans.registry import query
 SELECT t.teacher_id, t.full_name, c.name AS career, f.name AS faculty FROM v_teachers t JOIN v_careers c ON c.career_id = t.career_id JOIN v_faculties f ON f.faculty_id = c.faculty_id""")
 def _(t):
     home = t.careers.withColumnRenamed("name", "career").join(t.faculties.withColumnRenamed("name", "faculty"), "faculty_id")
-    return t.teachers.join(F.broadcast(home), "career_id").select("teacher_id", "full_name", "career", "faculty")
+    return t.teachers.join(home, "career_id").select("teacher_id", "full_name", "career", "faculty")
 
 
 @query("jn02_optional_lookups", """
@@ -27,7 +27,7 @@ def _(t):
         .join(t.jobs.select("job_id", F.col("status").alias("job_status")), "job_id", "left")
         .join(t.teachers.select("teacher_id", F.col("full_name").alias("teacher")), "teacher_id", "left")
         .join(t.entities.select("entity_id", F.col("name").alias("entity")), "entity_id", "left")
-        .join(F.broadcast(t.periods.select("period_id", "yr")), "period_id", "left")
+        .join(t.periods.select("period_id", "yr"), "period_id", "left")
         .join(t.externals.select("external_id", "institution"), "external_id", "left")
         .select("role_id", "job_status", "teacher", "entity", "yr", "institution")
     )

@@ -338,7 +338,7 @@ SELECT batch_id, {BUCKETS.replace('AS ignored', '+ greatest(0, 105 - count(*)) A
 FROM v_jobs WHERE batch_id = (SELECT max(batch_id) FROM v_jobs) GROUP BY 1""")
 def _(t):
     newest = t.jobs.agg(F.max("batch_id").alias("batch_id"))
-    jobs = t.jobs.join(F.broadcast(newest), "batch_id", "left_semi")
+    jobs = t.jobs.join(newest, "batch_id", "left_semi")
     files = F.lit(105).cast("long")  # files listed for the batch, of which some were never queued
     counts = kpis.batch_buckets(jobs, _review_jobs(t), ["batch_id"])
     return counts.withColumn("ignored", F.col("ignored") + F.greatest(F.lit(0), files - F.col("total"))).withColumn(
@@ -378,7 +378,7 @@ def _(t):
     stored = kpis.stack_frames([
         t.productions.groupBy("period_id").agg(n.alias("scientific_output_total")),
         t.entities.filter(F.col("entity_type").isin(*types)).groupBy("period_id").agg(n.alias("projects_total")),
-        t.progress.groupBy("yr", "cycle").agg(n.alias("imports_total")).join(F.broadcast(t.periods), ["yr", "cycle"]).select("period_id", "imports_total"),
+        t.progress.groupBy("yr", "cycle").agg(n.alias("imports_total")).join(t.periods, ["yr", "cycle"]).select("period_id", "imports_total"),
     ], ["period_id"], ["scientific_output_total", "projects_total", "imports_total"])
     active = int(headcount.first()["_active"])
     everyone = int(headcount.first()["_all"])
@@ -546,7 +546,7 @@ SELECT c.career_id, p.period_id, coalesce(g.planned_value, 0) AS planned_value F
 LEFT JOIN v_goals g ON g.career_id = c.career_id AND g.yr = p.yr AND g.metric = 'ARTICLES'""")
 def _(t):
     plan = t.goals.filter("metric = 'ARTICLES'").select("career_id", "yr", "planned_value")
-    return t.career_years.join(F.broadcast(t.periods.select("yr", "period_id")), "yr").join(plan, ["career_id", "yr"], "left").select(
+    return t.career_years.join(t.periods.select("yr", "period_id"), "yr").join(plan, ["career_id", "yr"], "left").select(
         "career_id", "period_id", F.coalesce("planned_value", F.lit(0).cast("long")).alias("planned_value"))
 
 

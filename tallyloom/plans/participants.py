@@ -75,7 +75,7 @@ def _(t):
 def _(t):
     careers = t.careers.select("career_id", F.col("name").alias("_career"))
     homes = t.externals.select("external_id", "institution")
-    rows = Facts(t).roles.join(F.broadcast(careers), "career_id", "left").join(homes, "external_id", "left")
+    rows = Facts(t).roles.join(careers, "career_id", "left").join(homes, "external_id", "left")
     return rows.select("role_id", views.affiliation(F.col("_career"), F.col("institution")).alias("affiliation"))
 
 
@@ -162,7 +162,7 @@ def _(t):
     live = t.roles.filter("teacher_id IS NOT NULL").join(f.current, "job_id", "left_semi").select("teacher_id", F.lit(True).alias("_live")).distinct()
     people = flag_current(t.teachers.filter("validation_status = 'validated'"), f.current).join(live, "teacher_id", "left").filter("in_current OR _live")
     counts = f.productions.filter("is_validated").groupBy("teacher_id").agg(F.count(F.lit(1)).alias("_n"))
-    names = F.broadcast(t.careers.select("career_id", F.col("name").alias("career_name")))
+    names = t.careers.select("career_id", F.col("name").alias("career_name"))
     return people.join(names, "career_id").join(counts, "teacher_id", "left").select("teacher_id", "career_name", F.coalesce("_n", F.lit(0).cast("long")).alias("productions"))
 
 

@@ -40,7 +40,7 @@ s AS (SELECT i.item_id, count(DISTINCT c.career_id) AS n, count(DISTINCT k.facul
 SELECT item_id, CASE WHEN f = 1 THEN fid END AS scope_faculty_id, CASE WHEN f = 1 AND n = 1 THEN cid END AS scope_career_id,
   CASE WHEN f = 0 THEN 'unresolved_no_persisted_scope' WHEN f > 1 THEN 'unresolved_cross_faculty' END AS resolution_reason FROM s""")
 def _(t):
-    homes = _paths(t).join(F.broadcast(t.careers.select("career_id", "faculty_id")), "career_id")
+    homes = _paths(t).join(t.careers.select("career_id", "faculty_id"), "career_id")
     rolled = homes.groupBy("item_id").agg(
         F.min("career_id").alias("c1"), F.max("career_id").alias("c2"), F.min("faculty_id").alias("f1"), F.max("faculty_id").alias("f2"))
     one = F.col("f1") == F.col("f2")

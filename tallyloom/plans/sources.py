@@ -74,7 +74,7 @@ acc AS (SELECT position, CAST(n_nationkey AS BIGINT) AS career_id, yr, upper(tri
 
 
 def _goal_rows(t):
-    rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
     metric = F.when(F.col("o_orderpriority") == "1-URGENT", "Articles").when(F.col("o_orderpriority") == "2-HIGH", " books").when(
         F.col("o_orderpriority") == "3-MEDIUM", "scientific_output").otherwise("desconocida")
     rows = rows.select(

@@ -92,7 +92,7 @@ def progress_from_json(df: DataFrame, column: str, schema: T.StructType, keep: l
 def import_goals(rows: DataFrame, careers: DataFrame, metrics: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) goal rows: career and metric are looked up by normalized name."""
     names = careers.select("career_id", upper_key(F.col("name")).alias("_career"))
-    keyed = rows.withColumn("_career", upper_key(F.col("career_name"))).join(F.broadcast(names), "_career", "left").withColumn(
+    keyed = rows.withColumn("_career", upper_key(F.col("career_name"))).join(names, "_career", "left").withColumn(
         "_metric", upper_key(F.col("metric_name")))
     known = F.col("_metric").isin(*metrics)
     reason = F.when(F.col("career_id").isNull(), "unknown career").when(~known, "unknown metric")
@@ -231,7 +231,7 @@ def purge_ids(
         return df.join(batch_jobs.select("job_id"), "job_id", "left_semi").select(key)
 
     def untraced(df: DataFrame, key: str) -> DataFrame:
-        return df.filter("job_id IS NULL").join(F.broadcast(periods.select("period_id")), "period_id", "left_semi").select(key)
+        return df.filter("job_id IS NULL").join(periods.select("period_id"), "period_id", "left_semi").select(key)
 
     legacy = F.coalesce(F.lower("institutional_email").rlike("^imported-.*@local\\.import$"), F.lit(False))
     teacher_ids = of_batch(teachers, "teacher_id").union(teachers.filter(legacy).select("teacher_id")).distinct()

@@ -187,3 +187,37 @@ def test_components_against_union_find(spark):
     schema = "entry string, name string, relations array<string>"
     got = identity.evidence_components(spark.createDataFrame(roles, schema), spark.createDataFrame(authors, schema)).collect()
     assert {r["entry"]: r["component"] for r in got} == {e: find(e) for e in parent}
+
+
+def test_partial_matches_equal_every_pair(spark):
+    pick = random.Random(11)
+    tokens = [f"{a}{b}na" for a in "BCDF" for b in "aeo"]
+    people = lambda n: [(i, " ".join(pick.sample(tokens, pick.randint(1, 5)))) for i in range(n)]
+    left, right = people(60), people(60)
+    frames = [spark.createDataFrame(rows, f"{s}_id int, {s}_name string") for rows, s in ((left, "l"), (right, "r"))]
+    got = names.partial_matches(frames[0], "l_id", "l_name", frames[1], "r_id", "r_name", most=5).select("l_id", "r_id", "match_confidence").collect()
+    want = set()
+    for i, a in left:
+        sets = [(set(a.split()), set(b.split()), j) for j, b in right]
+        scores = [(-round(len(x & y) / min(len(x), len(y)), 2), j) for x, y, j in sets if min(len(x), len(y)) >= 2 and len(x & y) / min(len(x), len(y)) >= 0.5]
+        want |= {(i, j, -s) for s, j in sorted(scores)[:5]}
+    assert {tuple(r) for r in got} == want
+
+
+def test_tokens_of_reports_by_common_subsequence():
+    assert token_similarity("GONZALEZ", "GONSALES", False) == 0.75
+    assert matched_share(["ABCD", "ABCDE"], ["ABCDE", "ABCD"], False, False) == 1.0
+    assert matched_share(["ABXCDEFG", "LUIS"], ["AXBCDEFG", "LUIS"], False, False) == 1.0
+
+
+def test_seed_names_keep_ascii_and_one_spelling_a_key(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.functions.text import seed_key
+    from tallyloom.operators.identity import aliases
+
+    row = spark.createDataFrame([("Łukasz Peña Ω 3", "PEREZ DE ANA LUISA")], "a string, b string").select(seed_key(F.col("a")).alias("k"), aliases(F.col("b")).alias("n")).first()
+    assert row["k"] == "UKASZ PENA 3"
+    keys = [" ".join(t for t in x.upper().split() if t != "DE") for x in row["n"]]
+    assert len(keys) == len(set(keys))
+    assert row["n"][0] == "Ana Luisa Perez De"
