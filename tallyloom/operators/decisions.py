@@ -238,3 +238,39 @@ def first_owner(plan: DataFrame, keys: list[str], position: str) -> DataFrame:
     return skew.pick(plan, keys, F.col(position), last=False)
 
 
+# The payload each decision on a possible duplicate carries, and the cases whose decisions carry an identity.
+DUPLICATE_PAYLOADS = {"merged": "identity_merge", "maintained_separate": "maintain_separate", "separated": "identity_separation", "discarded": "field_override"}
+IDENTITY_CASES = ("person_identity", "author_identity", "external_identity")
+
+
+def payload_fits_case(case_type: Column, decision_type: Column, kind: Column) -> Column:
+    """Whether the kind of a payload is the one its case and decision call for."""
+    of_duplicate = F.coalesce(*[F.when(decision_type == d, F.lit(k)) for d, k in DUPLICATE_PAYLOADS.items()])
+    of_identity = F.when(decision_type == "discarded", "field_override").otherwise("identity")
+    wanted = F.when(decision_type == "reverted", "decision_reversal").when(case_type == "possible_duplicate", of_duplicate)
+    wanted = wanted.when(case_type.isin(*IDENTITY_CASES), of_identity).otherwise("field_override")
+    return F.coalesce(kind == wanted, F.lit(False))
+
+
+def payload_fits_snapshot(target: Column, payload: Column, snapshot: Column) -> Column:
+    """Whether what a payload decides is what the snapshot after it shows, by kind.
+
+    ``payload``: kind, identity_key, identity_name, identity_type, members (targets), assignments (target_key, identity_key,
+    name), and of an override target_key, field, scope, value, context. ``snapshot``: identity (key, name, type; or null) and
+    overrides (target_key, field, scope, value, context), which a null list has none of.
+    """
+    kind, identity = payload["kind"], snapshot["identity"]
+    same = lambda a, b: a.eqNullSafe(b)
+    whole = same(payload["identity_key"], identity["key"]) & same(payload["identity_name"], identity["name"]) & same(payload["identity_type"], identity["type"])
+    merged = F.array_contains(payload["members"], target) & same(payload["identity_key"], identity["key"])
+    own = F.filter(payload["assignments"], lambda a: a["target_key"] == target)
+    first, last = F.get(own, F.lit(0)), F.element_at(F.when(F.size(own) > 0, own), -1)
+    split = first.isNotNull() & same(first["identity_key"], identity["key"]) & same(first["name"], identity["name"])
+    apart = last.isNotNull() & same(last["identity_key"], identity["key"])
+    shown = F.exists(snapshot["overrides"], lambda o: same(o["field"], payload["field"]) & same(o["scope"], payload["scope"]) & same(o["value"], payload["value"])
+                     & same(o["target_key"], F.coalesce(payload["target_key"], target)) & same(o["context"], payload["context"]))
+    rules = {"identity": whole, "identity_merge": merged, "identity_separation": split, "maintain_separate": apart}
+    verdict = F.when(kind == "decision_reversal", F.lit(True)).when(kind == "field_override", F.coalesce(shown, F.lit(False)))
+    for name, rule in rules.items():
+        verdict = verdict.when(kind == name, identity.isNotNull() & F.coalesce(rule, F.lit(False)))
+    return F.coalesce(verdict, F.lit(False))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions.hashing import IDENTITY_NAMESPACE
 from tallyloom.functions.text import target_key
 from tallyloom.operators import decisions as D
+from tallyloom.operators import materialize as M
+from tallyloom.plans.identity import uuid_sql
 from tallyloom.plans.registry import query
+from tallyloom.session import work_folder
 
 
 
@@ -292,6 +296,37 @@ def _(t):
     return t.decisions.select("case_id", (~bad & ~half).alias("consistent"))
 
 
+@query("ov25_payload_consistency", """
+WITH o AS (SELECT canonical_key, min(author_id) AS owner FROM v_authors WHERE canonical_key IS NOT NULL GROUP BY 1),
+r AS (SELECT a.*, o.owner, CASE WHEN author_order IN (1, 6) THEN 'person_identity' WHEN author_order = 7 THEN 'product' ELSE 'possible_duplicate' END AS case_type,
+  CASE WHEN a.validation_status = 'discarded_invalid' THEN 'discarded' WHEN author_order = 2 THEN 'merged' WHEN author_order = 3 THEN 'separated' WHEN author_order IN (4, 5) THEN 'maintained_separate' WHEN author_order = 6 THEN 'reverted' ELSE 'validated' END AS decision_type,
+  CASE WHEN author_order = 1 THEN 'identity' WHEN author_order = 2 THEN 'identity_merge' WHEN author_order = 3 THEN 'identity_separation' WHEN author_order = 4 THEN 'maintain_separate' WHEN author_order = 6 THEN 'decision_reversal' ELSE 'field_override' END AS kind
+  FROM v_authors a LEFT JOIN o ON o.canonical_key = a.canonical_key)
+SELECT author_id, CASE WHEN decision_type = 'reverted' THEN kind = 'decision_reversal'
+    WHEN case_type = 'possible_duplicate' THEN kind = CASE decision_type WHEN 'merged' THEN 'identity_merge' WHEN 'separated' THEN 'identity_separation' WHEN 'maintained_separate' THEN 'maintain_separate' ELSE 'field_override' END
+    WHEN case_type = 'person_identity' THEN kind = CASE WHEN decision_type = 'discarded' THEN 'field_override' ELSE 'identity' END ELSE kind = 'field_override' END AS fits_case,
+  CASE kind WHEN 'decision_reversal' THEN true WHEN 'field_override' THEN NOT coalesce(reason IS NOT NULL, false)
+    WHEN 'identity_merge' THEN canonical_key IS NOT NULL AND author_id = owner ELSE canonical_key IS NOT NULL AND reason IS NULL END AS fits_snapshot FROM r""")
+def _(t):
+    rows = t.authors.filter("canonical_key IS NOT NULL")
+    owner = D.first_owner(rows, ["canonical_key"], "author_id").select("author_id", F.lit(True).alias("_first"))
+    rows = t.authors.join(owner, "author_id", "left")
+    n, key, name = F.col("author_order"), F.col("canonical_key"), F.col("canonical_name")
+    case = F.when(n.isin(1, 6), "person_identity").when(n == 7, "product").otherwise("possible_duplicate")
+    decided = F.when(F.col("validation_status") == "discarded_invalid", "discarded").when(n == 2, "merged").when(n == 3, "separated").when(n.isin(4, 5), "maintained_separate").when(n == 6, "reverted").otherwise("validated")
+    kind = F.when(n == 1, "identity").when(n == 2, "identity_merge").when(n == 3, "identity_separation").when(n == 4, "maintain_separate").when(n == 6, "decision_reversal").otherwise("field_override")
+    shown = F.when(F.col("reason").isNull() | (n == 2), key).otherwise(F.lit("otra"))  # a reason stands for a case that was changed since
+    none = F.lit(None).cast("string")
+    payload = F.struct(
+        kind.alias("kind"), key.alias("identity_key"), name.alias("identity_name"), F.col("person_type").alias("identity_type"), F.array(F.when(F.col("_first"), F.col("author_id"))).alias("members"),
+        F.array(F.struct(F.lit("x").alias("target_key"), F.lit("y").alias("identity_key"), F.lit("z").alias("name")), F.struct(F.col("author_id").alias("target_key"), key.alias("identity_key"), name.alias("name"))).alias("assignments"),
+        none.alias("target_key"), F.lit("canonical_name").alias("field"), F.lit("record").alias("scope"), name.alias("value"), none.alias("context"))
+    identity = F.when(key.isNotNull(), F.struct(shown.alias("key"), name.alias("name"), F.col("person_type").alias("type")))
+    override = F.struct(F.col("author_id").alias("target_key"), F.lit("canonical_name").alias("field"), F.lit("record").alias("scope"), F.when(F.col("reason").isNull(), name).alias("value"), none.alias("context"))
+    snapshot = F.struct(identity.alias("identity"), F.array(override).alias("overrides"))
+    return rows.select("author_id", D.payload_fits_case(case, decided, kind).alias("fits_case"), D.payload_fits_snapshot(F.col("author_id"), payload, snapshot).alias("fits_snapshot"))
+
+
 @query("ov26_reversal_eligibility", """
 SELECT r.case_id, r.seq, r.reverts_seq, CASE WHEN r.reverts_seq IS NULL THEN 'no target' WHEN o.seq IS NULL THEN 'unknown target' WHEN r.reverts_seq >= r.seq THEN 'target is later' WHEN o.action = 'revert' THEN 'target is a reversal' END AS reason
 FROM v_decision_log r LEFT JOIN v_decision_log o ON o.case_id = r.case_id AND o.seq = r.reverts_seq WHERE r.action = 'revert'""")
@@ -344,6 +379,29 @@ def _(t):
     return rows.join(owner, "author_id", "left").select(F.explode(outputs).alias("table_name")).groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _row_sql(*parts):
+    own = "concat_ws(':', " + ", ".join([f"'{M.ROW_PREFIX}'", *parts]) + ")"
+    return uuid_sql(own).replace(IDENTITY_NAMESPACE.replace("-", ""), M.ROW_NAMESPACE.replace("-", ""))
+
+
+@query("ov31_locked_rows", f"""
+WITH c AS (SELECT author_id AS k, canonical_key AS i, canonical_name AS n, trim(regexp_replace(lower(concat(canonical_key, ' ', canonical_name)), '[^a-z0-9]+', ' ', 'g')) AS a FROM v_authors WHERE identity_locked AND canonical_key IS NOT NULL),
+o AS (SELECT i, min(k) AS k FROM c GROUP BY 1),
+p AS (SELECT c.*, o.k IS NOT NULL AS makes, {_row_sql("'decision'", 'c.k')} AS d, {_row_sql("'canonical-identity'", 'c.i')} AS ii, {_row_sql("'person-alias'", 'c.a')} AS ai, {_row_sql("'field-override'", 'c.k', "'canonical_identity_key'")} AS o1, {_row_sql("'field-override'", 'c.k', "'canonical_name'")} AS o2 FROM c LEFT JOIN o ON o.i = c.i AND o.k = c.k),
+r AS (SELECT 'decision' AS table_name, d AS row_id, d AS decision_id, k AS target_key, 'validated' AS field, i AS value FROM p
+  UNION ALL SELECT 'override', o1, d, k, 'canonical_identity_key', i FROM p UNION ALL SELECT 'override', o2, d, k, 'canonical_name', n FROM p
+  UNION ALL SELECT 'identity', ii, d, k, i, n FROM p WHERE makes UNION ALL SELECT 'alias', ai, d, k, a, ii FROM p WHERE makes),
+e AS (SELECT d, k, 'locked_decision_imported' AS event, d AS subject FROM p UNION ALL SELECT d, k, 'override_created', o1 FROM p UNION ALL SELECT d, k, 'override_created', o2 FROM p
+  UNION ALL SELECT d, k, 'identity_created', ii FROM p WHERE makes UNION ALL SELECT d, k, 'alias_created', ai FROM p WHERE makes)
+SELECT * FROM r UNION ALL SELECT 'audit', {_row_sql("'audit'", 'event', 'subject')}, d, k, event, subject FROM e""")
+def _(t):
+    plan = t.authors.filter("identity_locked AND canonical_key IS NOT NULL").select(
+        F.col("author_id").alias("target_key"), F.col("canonical_key").alias("canonical_identity_key"), "canonical_name", F.concat_ws(" ", "canonical_key", "canonical_name").alias("alias"))
+    folder = work_folder(t.spark, "locked")
+    M.materialize(plan, folder)
+    return M.stored(t.spark, folder)
+
+
 @query("ov32_discard", "SELECT role_id, 'discarded' AS scientific_status, canonical_key FROM v_roles WHERE validation_status = 'discarded'")
 def _(t):
     return t.roles.filter("validation_status = 'discarded'").select("role_id", F.lit("discarded").alias("scientific_status"), "canonical_key")
