@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tallyloom.operators import audit
 from tallyloom.plans.registry import query
 from tallyloom.plans.views import VIEWS
-from tallyloom.session import work_folder
 from tallyloom.streaming import jobs as S
+from tallyloom.streaming import ordered
 
 
 def _stream(t, view: str, table: str):
@@ -32,8 +32,8 @@ WITH RECURSIVE c AS (SELECT case_id, min(seq) AS seq, 1 AS v FROM v_decision_log
   UNION ALL SELECT c.case_id, (SELECT min(l.seq) FROM v_decision_log l WHERE l.case_id = c.case_id AND l.expected_version = c.v + 1 AND l.seq > c.seq) AS seq, c.v + 1 FROM c WHERE c.seq IS NOT NULL)
 SELECT l.case_id, CAST(l.seq AS INT) AS seq, CASE WHEN c.seq IS NOT NULL THEN 'applied' ELSE 'conflict' END AS outcome FROM v_decision_log l LEFT JOIN c ON c.case_id = l.case_id AND c.seq = l.seq""")
 def _(t):
-    log = _stream(t, "v_decision_log", "conversations").select("case_id", F.col("seq").cast("int").alias("seq"), F.col("expected_version").cast("int").alias("expected_version"))
-    return S.drain(S.fold_decisions(log), "append").drop("epoch")
+    log = t.decision_log.select("case_id", F.col("seq").cast("int").alias("seq"), F.col("expected_version").cast("int").alias("expected_version"))
+    return ordered.apply_in_order(ordered.shuffled_arrivals(log), ordered.DecisionFold(first=1))
 
 
 @query("st04_status_buckets", "SELECT batch_id, status, count(*) AS n FROM v_jobs GROUP BY 1, 2")
@@ -69,9 +69,6 @@ def _(t):
 
 @query("st08_chain_check", "SELECT conv_id AS aggregate_key, CAST(turn AS INT) AS seq, NOT (turn = 2 AND conv_id % 5 = 0) AS linked FROM conversations")
 def _(t):
-    folder = work_folder(t.spark, "chain")
     stored = audit.chain_events(t.audit_events).select("aggregate_key", F.col("seq").cast("int").alias("seq"), "event_hash", F.when(
         (F.col("seq") == 2) & (F.col("aggregate_key") % 5 == 0), F.lit("0")).otherwise(F.col("previous_hash")).alias("previous_hash"))
-    stored.write.parquet(f"{folder}/events")
-    arriving = t.spark.readStream.schema(t.spark.read.parquet(f"{folder}/events").schema).parquet(f"{folder}/events")
-    return S.drain(S.check_chain(arriving), "append").drop("epoch")
+    return ordered.apply_in_order(ordered.shuffled_arrivals(stored), ordered.ChainCheck(first=0))
