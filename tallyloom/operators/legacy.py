@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tallyloom.functions.stage import put
 from tallyloom.operators.lines import PAGE_MARK, with_lines
 
+# The markers that begin and end the sections of products and of exchange of knowledge.
+PRODUCTS = (("PRODUCCION CIENTIFICA IMPACTO",), ("INTERCAMBIO DE CONOCIMIENTO", "EVIDENCIAS DE LO REPORTADO", "PONENCIAS", "CAPITULOS", "LIBROS"))
+EXCHANGE = (("INTERCAMBIO DE CONOCIMIENTO",), ("EVIDENCIAS DE LO REPORTADO", "ANEXOS", "OBSERVACIONES"))
 HEADING = r"^\d{1,2}\.\s+"
 NOISE = r"FORMULARIO DE INFORME|JOTFORM|^\d+\s+DE\s+\d+$"
 

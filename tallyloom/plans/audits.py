@@ -8,7 +8,7 @@ from tallyloom.functions import redact
 from tallyloom.functions.fuzzy import token_share
 from tallyloom.functions.people import has_piece
 from tallyloom.functions.text import alnum_key, name_tokens, upper_key
-from tallyloom.operators import audit as A
+from tallyloom.operators import audit as A, legacy
 from tallyloom.operators import extract, kpis, layouts, lines, views
 from tallyloom.plans.common import Facts
 from tallyloom.plans.participants import X_STATES, _states
@@ -371,6 +371,22 @@ def _(t):
     return df.filter(start > 0).select("doc_id", (F.coalesce(F.array_min(F.filter(stops, lambda i: i >= start)), F.size("lines")) - start).cast("long").alias("lines_between"))
 
 
+def _marked_sql(section, starts, stops):
+    return f"""
+l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: s <> '') AS x FROM v_reports) d),
+k AS (SELECT doc_id, line, i, trim(regexp_replace(strip_accents(upper(line)), '[^A-Z0-9%./:\\-]+', ' ', 'g')) AS k, regexp_matches(line, '(?i)^\\[\\[PAGE_BREAK(:[0-9]+)?\\]\\]$') AS mark FROM l),
+b AS (SELECT doc_id, min(i) AS s FROM k WHERE NOT mark AND regexp_matches(k, '{'|'.join(starts)}') GROUP BY 1),
+r AS (SELECT k.doc_id, k.i, k.line, NOT mark AND regexp_matches(k, '{'|'.join(stops)}') AS stop, mark OR regexp_matches(k, '{legacy.NOISE}') AS noise, NOT mark AND regexp_matches(k, '{legacy.HEADING}') AS head FROM k JOIN b ON k.doc_id = b.doc_id AND k.i > b.s),
+o AS (SELECT doc_id, min(i) FILTER (stop) AS stop, min(i) FILTER (NOT noise) AS one FROM r GROUP BY 1),
+e AS (SELECT o.doc_id, least(coalesce(min(o.stop), 1e9), coalesce(min(r.i) FILTER (r.head AND r.i > o.one), 1e9)) AS e FROM o JOIN r ON r.doc_id = o.doc_id GROUP BY 1)
+SELECT r.doc_id, '{section}' AS section, CAST(row_number() OVER (PARTITION BY r.doc_id ORDER BY r.i) - 1 AS INT) AS line_no, line FROM r JOIN e ON e.doc_id = r.doc_id WHERE r.i < e.e AND NOT noise"""
+
+
+@query("t39_marked_lines", "SELECT * FROM (WITH " + _marked_sql("products", *legacy.PRODUCTS) + ") p UNION ALL SELECT * FROM (WITH " + _marked_sql("exchange", *legacy.EXCHANGE) + ") x")
+def _(t):
+    return legacy.marked_lines(t.reports, "doc_id", {"products": legacy.PRODUCTS, "exchange": legacy.EXCHANGE})
+
+
 @query("t41_extraction_merge", f"""
 SELECT doc_id, {list(PEOPLE)}[doc_id % 5 + 1] AS name, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS layout, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 3 END::BIGINT AS candidates FROM documents""")
 def _(t):
