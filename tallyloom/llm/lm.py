@@ -24,13 +24,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +51,14 @@ LEAST_BATCH = 64
 STEPS = 256
 RATE = 0.15
 SEED = 7
-#: Distinct tokens a task gathers before it hands their counts on; tokens scored at once; contexts normalised at once.
+#: Distinct tokens a task gathers before it hands their counts on; tokens learned from at once; contexts normalised at once.
 FLUSH = 400_000
+#: Bytes of text that are split and scored at once, if no single text is longer.
+SLICE = 1 << 21
 PIECE = 400_000
-CONTEXTS = 8192
+CONTEXTS = 1024
+#: Scores whose exponentials are summed as they are, far from what 32 bits hold.
+SAFE = 60.0
 #: The end of a text; no word is empty.
 END = b""
 
@@ -67,24 +71,52 @@ def tail(token: bytes) -> int:
     return zlib.crc32(token[-2:]) % TAILS
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes | None]:
-    for batch in batches:
-        yield from batch.column("text").cast(pa.binary()).to_pylist()
+def text_slices(texts: pa.Array) -> Iterator[slice]:
+    """The rows in runs of about SLICE bytes of text, one row at least each."""
+    part = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+    cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), len(texts)]
+    for first, last in zip(cuts[:-1], cuts[1:]):
+        if last > first:
+            yield slice(first, last)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts as bytes, in order, and the number of the first word of each text, closed by the number of all."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = lists.flatten().cast(pa.binary())
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
+    full = pc.greater(pc.binary_length(words), 0)
+    if not pc.all(full, min_count=0).as_py():  # beside white space at either end of a text
+        bounds = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[bounds]
+        words = words.filter(full)
+    return words, bounds
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
+    held: list[pa.Table] = []
+    size = 0
 
-    def drain() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["token", "n"])
-        held.clear()
-        return batch
+    def merged() -> pa.Table:
+        table = pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")])
+        return table.select(["token", "n_sum"]).rename_columns(["token", "n"])
 
-    for data in _texts(batches):
-        held.update(tokens(data))
-        if len(held) >= FLUSH:
-            yield drain()
-    yield drain()
+    for batch in batches:
+        texts = batch.column("text")
+        for part in text_slices(texts):
+            words, _ = words_of(texts[part])
+            counted = pc.value_counts(words)
+            held.append(pa.table({"token": counted.field(0), "n": counted.field(1)}))
+            held.append(pa.table({"token": pa.array([END], pa.binary()), "n": pa.array([part.stop - part.start], pa.int64())}))
+            size += len(counted) + 1
+            if size >= FLUSH:
+                held = [merged()]
+                size = len(held[0])
+                if 2 * size >= FLUSH:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+    if held:
+        yield from merged().to_batches()
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -92,6 +124,27 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return cut_lineage(docs.select("text").mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place of ``x``."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def chosen(scores: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """Log probability of one choice a row by softmax; ``scores`` is overwritten."""
+    own = scores[np.arange(len(scores)), choice]
+    if -SAFE < scores.min() and scores.max() < SAFE:  # no row can overflow or vanish
+        top = 0.0
+    else:
+        top = scores.max(axis=1)
+        scores -= top[:, None]
+    np.exp(scores, out=scores)
+    return own - top - np.log(scores @ np.ones(scores.shape[1], scores.dtype))
+
+
 @dataclass
 class Level:
     """Choices first[p] to first[p + 1] belong to parent p; ``mass`` is by choice."""
@@ -115,15 +168,15 @@ class Level:
 
     def log(self, weights: np.ndarray, vector: np.ndarray, parent: np.ndarray, choice: np.ndarray) -> np.ndarray:
         """Normalised log probability of each choice among those of its parent."""
-        order = np.argsort(parent, kind="stable")
+        order = np.argsort(parent.astype(np.uint16), kind="stable")  # fewer than 2^16 parents, which sorts by digits
         cuts = np.append(np.nonzero(np.diff(parent[order], prepend=-1))[0], len(order))
         result = np.empty(len(parent))
         for a, b in zip(cuts[:-1], cuts[1:]):
-            rows = order[a:b]
-            low, high = self.first[parent[rows[0]]], self.first[parent[rows[0]] + 1]
-            scores = vector[rows] @ weights[low:high, :SIZE].T + weights[low:high, SIZE]
-            top = scores.max(axis=1)
-            result[rows] = scores[np.arange(len(rows)), choice[rows] - low] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+            low, high = self.first[parent[order[a]]], self.first[parent[order[a]] + 1]
+            out, bias = np.ascontiguousarray(weights[low:high, :SIZE].T), weights[low:high, SIZE]
+            for at in range(a, b, CONTEXTS):
+                rows = order[at : min(b, at + CONTEXTS)]
+                result[rows] = chosen(vector.take(rows, axis=0) @ out + bias, choice[rows] - low)
         return result
 
 
@@ -163,13 +216,25 @@ class Model:
     def classes(self) -> int:
         return len(self.bias)
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
+    def codes(self, words: pa.Array | list[bytes]) -> np.ndarray:
         """Number in the head, or -1 - tail class for other tokens."""
-        codes = np.fromiter(map(self.head.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        words = pa.array(words, pa.binary())
+        codes = pc.index_in(words, value_set=pa.array(list(self.head), pa.binary())).fill_null(-1).to_numpy().astype(np.int64)
         other = np.nonzero(codes < 0)[0]
-        codes[other] = [-1 - tail(words[i]) for i in other.tolist()]
+        ends = pc.binary_slice(words.take(pa.array(other)), start=-2).dictionary_encode()  # few distinct ones
+        tails = np.array([-1 - tail(token) for token in ends.dictionary.to_pylist()], dtype=np.int64)
+        codes[other] = tails.take(ends.indices.to_numpy()) if len(other) else 0
         return codes
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Codes of all tokens of the texts and where each text starts; its words and their bounds, without the ends."""
+        words, bounds = words_of(texts)
+        ends = np.zeros(len(words) + len(texts), dtype=bool)
+        ends[bounds[1:] + np.arange(len(texts))] = True
+        codes = np.zeros(len(ends), dtype=np.int64)  # the end is the first of the head
+        codes[~ends] = self.codes(words)
+        return codes, bounds[:-1] + np.arange(len(texts)), words, bounds
+
     def class_of(self, codes: np.ndarray) -> np.ndarray:
         return np.where(codes >= 0, self.head_class[np.maximum(codes, 0)], self.own - 1 - codes)
 
@@ -193,32 +258,30 @@ class Model:
         two[starts] = self.classes
         return one, two
 
+    def before(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each place adds to the context as the token before, and as the one before that."""
+        vector = embed(vars(self), self.place_class, np.arange(len(self.place_class)))
+        return vector * self.place[0], vector * self.place[1]
+
     def log10(self, classes: np.ndarray, starts: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
         """Normalised log10 probability of each class given the two places (classes, if there are none) before it."""
         one, two = self.contexts(classes if places is None else places, starts)
-        known = self.place_class
-        pairs, at = np.unique(one * len(known) + two, return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at[order], np.arange(0, len(pairs) + CONTEXTS, CONTEXTS))
+        first, second = self.before()
+        out = np.ascontiguousarray(self.out.T)
         result = np.empty(len(classes))
-        for k, first in enumerate(range(0, len(pairs), CONTEXTS)):
-            some = pairs[first : first + CONTEXTS]
-            vector = embed(vars(self), known, some // len(known)) * self.place[0] + embed(vars(self), known, some % len(known)) * self.place[1]
-            scores = vector @ self.out.T + self.bias
-            top = scores.max(axis=1)
-            norm = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-            rows = order[cuts[k] : cuts[k + 1]]
-            local = at[rows] - first
-            result[rows] = scores[local, classes[rows]] - norm[local]
+        for a in range(0, len(classes), CONTEXTS):
+            part = slice(a, a + CONTEXTS)
+            vector = first.take(one[part], axis=0) + second.take(two[part], axis=0)
+            result[part] = chosen(vector @ out + self.bias, classes[part])
         return result / math.log(10)
 
     def log10_inside(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each token in its class; of the rest's tokens without log10(c + 0.5)."""
         one, two = self.contexts(self.places(codes), starts)
         result = np.zeros(len(codes))
-        known = self.place_class
         at = np.nonzero((codes < 0) | (codes >= self.own))[0]
-        vector = embed(vars(self), known, one[at]) * self.place[0] + embed(vars(self), known, two[at]) * self.place[1]
+        first, second = self.before()
+        vector = first.take(one[at], axis=0) + second.take(two[at], axis=0)
         parent, group, item = self.inside(codes[at])
         result[at] = self.by_class.log(self.groups, vector, parent, group)
         word = item >= 0
@@ -229,10 +292,10 @@ class Model:
 
 def embed(weights: dict[str, np.ndarray], place_class: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Vectors of places before a token: of the class, and the word's own."""
-    vector = weights["into"][place_class[places]]
+    vector = weights["into"].take(place_class.take(places), axis=0)
     words = places - len(weights["into"])
     own = np.nonzero(words >= 0)[0]
-    vector[own] += weights["word_into"][words[own]]
+    vector[own] += weights["word_into"].take(words[own], axis=0)
     return vector
 
 
@@ -326,28 +389,39 @@ class Trainer:
         self.squares[name] += grad * grad
         self.weights[name] -= RATE * grad / np.sqrt(self.squares[name])
 
-    def _rows(self, name: str, at: np.ndarray, grads: np.ndarray) -> None:
-        rows, inverse, times = np.unique(at, return_inverse=True, return_counts=True)
-        grad = self._scatter(inverse, grads, len(rows))
-        self.touched[name][rows] += times
-        self.squares[name][rows] += grad * grad
-        self.weights[name][rows] -= RATE * grad / np.sqrt(self.squares[name][rows])
-
-    def _before(self, one: np.ndarray, two: np.ndarray, d_one: np.ndarray, d_two: np.ndarray, size: int) -> None:
-        """Gradients of the means over ``size`` tokens reach the vectors of what stood before."""
-        at, grads = np.concatenate([one, two]), np.concatenate([d_one, d_two])
-        self._apply("into", self._scatter(self.place_class[at], grads, len(self.weights["into"])))
+    def _rows(self, name: str, at: np.ndarray, grads: Iterable[np.ndarray]) -> None:
+        times = np.bincount(at, minlength=len(self.touched[name]))
+        rows = np.nonzero(times)[0]
+        number = np.empty(len(times), dtype=np.int64)
+        number[rows] = np.arange(len(rows))
+        grad = self._scatter(number.take(at), grads, len(rows))
+        self.touched[name] += times
+        squares = self.squares[name].take(rows, axis=0) + grad * grad
+        self.squares[name][rows] = squares
+        self.weights[name][rows] -= RATE * grad / np.sqrt(squares)
+
+    def _before(self, one: np.ndarray, two: np.ndarray, d_context: np.ndarray) -> None:
+        """Gradients reach the vectors of what stood before: their mean those of classes, their sum those of words."""
+        at = np.concatenate([one, two])
         words = at - len(self.weights["into"])
-        own = words >= 0
-        self._rows("word_into", words[own], grads[own] * size)
+        own = np.nonzero(words >= 0)[0]
+        columns = list(self._both(d_context))
+        if len(own):
+            self._rows("word_into", words[own], (x.take(own) for x in columns))
+        self._apply("into", self._scatter(self.place_class.take(at), columns, len(self.weights["into"])) / len(one))
+
+    def _both(self, d_context: np.ndarray) -> Iterator[np.ndarray]:
+        """By column, the gradients of what stood before and then of what stood before that."""
+        for d, place in zip(np.ascontiguousarray(d_context.T), self.weights["place"].T):
+            yield np.concatenate([d * place[0], d * place[1]])
 
     @staticmethod
-    def _scatter(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-        width = rows.shape[1]
-        flat = (at[:, None] * width + np.arange(width)).ravel()
-        return np.bincount(flat, weights=rows.ravel(), minlength=size * width).reshape(size, width)
+    def _scatter(at: np.ndarray, columns: Iterable[np.ndarray], size: int) -> np.ndarray:
+        """Sums by number, a column at a time, so that nothing as large as all rows is made."""
+        return np.stack([np.bincount(at, weights=column, minlength=size).astype(np.float32) for column in columns], axis=1)
 
-    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> None:
+    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """One step of the class level; the gradient of each token's context, not divided by their number."""
         out, bias, place = (self.weights[k] for k in ("out", "bias", "place"))
         k, b = len(bias), len(target)
         noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), k - 1)
@@ -356,39 +430,43 @@ class Trainer:
         true = out[target]
         s_true = np.einsum("ij,ij->i", context, true) + bias[target] - self.log_noise[target]
         s_noise = context @ out[noise].T + (bias[noise] - self.log_noise[noise])
-        g_true = (1 / (1 + np.exp(-np.clip(s_true, -30, 30))) - 1) / b
-        g_noise = 1 / (1 + np.exp(-np.clip(s_noise, -30, 30))) / b
+        g_true = (sigmoid(s_true) - 1) / b
+        g_noise = sigmoid(s_noise)
+        g_noise /= b
         d_context = g_true[:, None] * true + g_noise @ out[noise]
-        d_out = self._scatter(target, g_true[:, None] * context, k)
+        flat = (target[:, None] * SIZE + np.arange(SIZE)).ravel()
+        d_out = np.bincount(flat, weights=(g_true[:, None] * context).ravel(), minlength=k * SIZE).reshape(k, SIZE)
         np.add.at(d_out, noise, g_noise.T @ context)
         d_bias = np.bincount(target, weights=g_true, minlength=k)
         np.add.at(d_bias, noise, g_noise.sum(axis=0))
-        d_one, d_two = d_context * place[0], d_context * place[1]
-        d_place = np.stack([(d_context * e1).sum(axis=0), (d_context * e2).sum(axis=0)])
+        d_place = np.stack([np.einsum("ij,ij->j", d_context, e1), np.einsum("ij,ij->j", d_context, e2)])
         for name, grad in (("out", d_out), ("bias", d_bias), ("place", d_place)):
             self._apply(name, grad)
-        self._before(one, two, d_one, d_two, b)
         self.seen += b
+        return d_context * b
 
     def _choose(self, name: str, level: Level, context: np.ndarray, parent: np.ndarray, choice: np.ndarray) -> np.ndarray:
         """One step for the choices inside their parents; the gradient of each context."""
-        weights, width = self.weights[name], INSIDE_NOISE + 1
+        weights = self.weights[name]
         at = np.concatenate([choice[:, None], level.noise(parent, self.rng.random((len(choice), INSIDE_NOISE)))], axis=1)
-        rows = weights[at]
+        rows = weights.take(at, axis=0)
         s = np.einsum("nd,nkd->nk", context, rows[:, :, :SIZE]) + rows[:, :, SIZE] - (level.prior[at] + math.log(INSIDE_NOISE))
-        g = (1 / (1 + np.exp(-np.clip(s, -30, 30)))).astype(np.float32)
+        g = sigmoid(s.astype(np.float32))
         g[:, 0] -= 1
         d_context = np.einsum("nk,nkd->nd", g, rows[:, :, :SIZE])
-        wide = np.concatenate([context, np.ones((len(context), 1), dtype=context.dtype)], axis=1)
-        self._rows(name, at.ravel(), (g[:, :, None] * wide[:, None, :]).reshape(len(choice) * width, SIZE + 1))
+        g = np.ascontiguousarray(g.T)
+        self._rows(name, at.T.ravel(), chain(((g * x).ravel() for x in np.ascontiguousarray(context.T)), [g.ravel()]))
         return d_context
 
-    def step_inside(self, one: np.ndarray, two: np.ndarray, codes: np.ndarray) -> None:
+    def step_inside(self, one: np.ndarray, two: np.ndarray, codes: np.ndarray, d_classes: np.ndarray) -> None:
+        """One step of the choices inside classes, and of the vectors of the words before, to which ``d_classes`` adds."""
         size = len(codes)
+        place = self.weights["place"]
         some = np.nonzero((codes < 0) | (codes >= self.m.own))[0]
         if not len(some):
+            self._before(one, two, d_classes)
             return
-        one, two, place = one[some], two[some], self.weights["place"]
+        all_one, all_two, one, two = one, two, one[some], two[some]
         e1, e2 = embed(self.weights, self.place_class, one), embed(self.weights, self.place_class, two)
         context = e1 * place[0] + e2 * place[1]
         parent, group, item = self.m.inside(codes[some])
@@ -396,12 +474,12 @@ class Trainer:
         word = np.nonzero(item >= 0)[0]
         if len(word):
             d_context[word] += self._choose("words", self.m.by_group, context[word], group[word], item[word])
-        d_context /= size
-        d_one, d_two = d_context * place[0], d_context * place[1]
-        self._apply("place", np.stack([(d_context * e1).sum(axis=0), (d_context * e2).sum(axis=0)]))
-        self._before(one, two, d_one, d_two, size)
+        d_classes[some] += d_context
+        self._before(all_one, all_two, d_classes)
+        self._apply("place", np.stack([np.einsum("ij,ij->j", d_context, e1), np.einsum("ij,ij->j", d_context, e2)]) / size)
 
-    def learn(self, texts: Iterator[bytes | None]) -> None:
+    def learn(self, batches: Iterator[pa.Array]) -> None:
+        """All steps over the texts of the batches, a piece of whole texts at a time."""
         held: list[np.ndarray] = []
         starts, length = [], 0
 
@@ -411,21 +489,23 @@ class Trainer:
             one, two = self.m.contexts(self.m.places(codes), np.array(starts))
             order = self.rng.permutation(len(classes))
             size = min(BATCH, max(LEAST_BATCH, len(order) // STEPS))  # little text still takes many steps
-            for at in range(0, len(order), size):
-                some = order[at : at + size]
-                self.step(one[some], two[some], classes[some])
-                if at % (size * INSIDE_BATCHES) == 0:
-                    some = order[at : at + size * INSIDE_BATCHES]
-                    self.step_inside(one[some], two[some], codes[some])
-
-        for data in texts:
-            codes = self.m.codes(tokens(data))
-            starts.append(length)
-            held.append(codes)
-            length += len(codes)
-            if length >= PIECE:
-                drain()
-                held, starts, length = [], [], 0
+            for first in range(0, len(order), size * INSIDE_BATCHES):
+                several = order[first : first + size * INSIDE_BATCHES]
+                gradients = []
+                for at in range(0, len(several), size):
+                    some = several[at : at + size]
+                    gradients.append(self.step(one[some], two[some], classes[some]))
+                self.step_inside(one[several], two[several], codes[several], np.concatenate(gradients))
+
+        for texts in batches:
+            for part in text_slices(texts):
+                codes, first, _, _ = self.m.encode(texts[part])
+                starts += (first + length).tolist()
+                held.append(codes)
+                length += len(codes)
+                if length >= PIECE:
+                    drain()
+                    held, starts, length = [], [], 0
         if held:
             drain()
 
@@ -438,7 +518,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(shared.value)
-        trainer.learn(_texts(batches))
+        trainer.learn(batch.column("text") for batch in batches)
         if trainer.seen:
             flat = np.concatenate([trainer.weights[k].ravel() for k in DENSE])
             rows = [(np.arange(dense), np.full(dense, float(trainer.seen)), np.resize(np.append(flat, np.zeros(-len(flat) % width, np.float32)), (dense, width)))]
@@ -488,43 +568,33 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         m = shared.value
         logs = np.log10(m.head_count + 0.5)
         for batch in batches:
-            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            at = 0
-            while at < len(texts):
-                words: list[bytes] = []
-                bounds = [0]
-                first = at
-                while at < len(texts) and (at == first or len(words) < PIECE):
-                    words += tokens(texts[at])
-                    bounds.append(len(words))
-                    at += 1
-                codes = m.codes(words)
-                classes = m.class_of(codes)
-                starts = np.array(bounds[:-1])
+            for part in text_slices(batch.column("text")):
+                some = batch.slice(part.start, part.stop - part.start)
+                codes, starts, words, bounds = m.encode(some.column("text"))
                 place = np.maximum(codes, 0)
                 known = np.where(codes >= 0, logs[place], 0.0)
-                by_class = m.log10(classes, starts, m.places(codes)) + m.log10_inside(codes, starts)
+                by_class = m.log10(m.class_of(codes), starts, m.places(codes)) + m.log10_inside(codes, starts)
                 heads = (codes >= 0) & (m.head_count[place] > 0)
                 sums = {
-                    "n_tokens": np.diff(bounds),
+                    "n_tokens": np.diff(bounds) + 1,
                     "n_known": np.add.reduceat(heads.astype(np.int64), starts),
                     "base": np.add.reduceat(known, starts),
                     "score": np.add.reduceat(by_class, starts),
                 }
-                out: dict[str, list] = {"doc_id": [], "h": [], "token": [], "times": [], "row": []}
-                rare = np.nonzero(codes < 0)[0]
-                cuts = np.searchsorted(rare, bounds)
-                for k in range(len(starts)):
-                    own = Counter([words[i] for i in rare[cuts[k] : cuts[k + 1]]]) or {b" %d" % hashes[first + k]: 0}
-                    out["doc_id"] += [ids[first + k]] * len(own)
-                    out["h"] += [hashes[first + k]] * len(own)
-                    out["token"] += own.keys()
-                    out["times"] += own.values()
-                    out["row"] += [k] + [-1] * (len(own) - 1)
-                row = np.array(out.pop("row"))
-                arrays = [pa.array(out["doc_id"], pa.int64()), pa.array(out["h"], pa.int64()), pa.array(out["token"], pa.binary()), pa.array(out["times"], pa.int64())]
-                arrays += [pa.array(np.where(row >= 0, v[row], 0)) for v in sums.values()] + [pa.array((row >= 0).astype(np.int64))]
+                # each distinct token outside the head once a text; the place of a word among the codes is its own and the ends before
+                text = np.repeat(np.arange(len(starts)), np.diff(bounds))
+                rare = np.nonzero(codes[np.arange(len(text)) + text] < 0)[0]
+                tokens_of = words.take(pa.array(rare)).dictionary_encode()
+                distinct = len(tokens_of.dictionary)
+                pairs, times = np.unique(text[rare] * max(distinct, 1) + tokens_of.indices.to_numpy(), return_counts=True)
+                row = pairs // max(distinct, 1)
+                without = np.setdiff1d(np.arange(len(starts)), row)
+                hashes = some.column("h").to_numpy(zero_copy_only=False)
+                token = pa.concat_arrays([tokens_of.dictionary.take(pa.array(pairs % max(distinct, 1))), pa.array([b" %d" % h for h in hashes[without].tolist()], pa.binary())])
+                carries = np.concatenate([np.diff(row, prepend=-1) > 0, np.ones(len(without), dtype=bool)])
+                row, times = np.concatenate([row, without]), np.concatenate([times, np.zeros(len(without), dtype=np.int64)])
+                arrays = [some.column("doc_id").take(pa.array(row)), some.column("h").take(pa.array(row)), token, pa.array(times, pa.int64())]
+                arrays += [pa.array(np.where(carries, v[row], 0)) for v in sums.values()] + [pa.array(carries.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "token", "times", *sums, "copies"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(
