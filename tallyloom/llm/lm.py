@@ -43,7 +43,7 @@ GROUP = 64
 HEAD = 65_536
 SIZE = 16
 NOISE = 32
-#: Noise words for a token inside its class and its group; batches of classes that make one of words.
+#: Noise words for a token inside its class and its group; batches of classes that make one step of the words and of all vectors before a token.
 INSIDE_NOISE = 2
 INSIDE_BATCHES = 8
 BATCH = 1024
@@ -63,10 +63,6 @@ SAFE = 60.0
 END = b""
 
 
-def tokens(data: bytes | None) -> list[bytes]:
-    return [*(data or b"").lower().split(), END]
-
-
 def tail(token: bytes) -> int:
     return zlib.crc32(token[-2:]) % TAILS
 

@@ -5,23 +5,28 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from frames import awkward_docs, empty_docs, rest
 
 from tallyloom.llm import lm
 
 
+def plain_tokens(data):
+    return [*data.lower().split(), lm.END]
+
+
 def direct(rows):
     """n_tokens, n_known and base score of each row, and the number of training tokens."""
     counts = Counter()
     for doc_id, text in rows:
         if rest(doc_id, 5) not in (1, None):
-            counts.update(lm.tokens((text or "").encode()))
+            counts.update(plain_tokens((text or "").encode()))
     n, v = sum(counts.values()), len(counts)
     norm = math.log10(n + 0.5 * (v + 1))
     out = []
     for doc_id, text in rows:
-        tokens = lm.tokens((text or "").encode())
+        tokens = plain_tokens((text or "").encode())
         out.append((doc_id, len(tokens), sum(counts[t] > 0 for t in tokens), sum(math.log10(counts[t] + 0.5) - norm for t in tokens)))
     return out, n
 
@@ -134,3 +139,21 @@ def test_head_is_filled_where_all_counts_are_equal(spark, monkeypatch):
     head = lm.head_of(lm.count_tokens(docs))
     words = sorted(f"t{i}x{j:02d}".encode() for i in range(10) for j in range(30))
     assert head[0] == (lm.END, 10) and [t for t, _ in head[1:]] == words[:49]
+
+
+def test_words_are_split_as_bytes_are():
+    rng = random.Random(5)
+    texts = [None, "", " ", "A", " a\u00c4 b\u0085c\u00a0d ", "".join(map(chr, range(1, 0x300)))]
+    texts += ["".join(rng.choice("aB \n\t\x0b\x0c\r\x1c\x1f\u0130") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    for rows in (texts, texts[3:], [None, None], []):
+        words, bounds = lm.words_of(pa.array(rows, pa.string()))
+        want = [(t or "").encode().lower().split() for t in rows]
+        assert bounds.tolist() == [sum(map(len, want[:i])) for i in range(len(rows) + 1)]
+        assert words.to_pylist() == [w for own in want for w in own]
+
+
+def test_slices_hold_every_text_once(monkeypatch):
+    monkeypatch.setattr(lm, "SLICE", 10)
+    for rows in ([], [None], ["a" * 50, "b", None, "c" * 9, "", "d" * 30, "e"]):
+        texts = pa.array(rows, pa.string())
+        assert [t for part in lm.text_slices(texts) for t in texts[part].to_pylist()] == rows
