@@ -64,7 +64,7 @@ def _(t):
 @query("st07_revision", "SELECT count(*) AS revision FROM v_decisions WHERE approved")
 def _(t):
     rows = S.drain(S.effective_revision(_stream(t, "v_decisions", "labels")), "complete")
-    return rows.agg(F.max_by("revision", "epoch").alias("revision"))
+    return rows.agg(F.coalesce(F.max_by("revision", "epoch"), F.lit(0)).alias("revision"))
 
 
 @query("st08_chain_check", "SELECT conv_id AS aggregate_key, CAST(turn AS INT) AS seq, NOT (turn = 2 AND conv_id % 5 = 0) AS linked FROM conversations")

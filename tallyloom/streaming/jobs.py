@@ -11,16 +11,21 @@ from tallyloom.operators.scope import OPEN_STATUSES
 from tallyloom.session import work_folder
 
 MOST_RETRIES = 2  # retries of a failed download
+BATCHES = 8  # micro-batches in which a table of many files arrives
 
 
-def arrivals(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """A table folder as a stream of files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def arrivals(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A table, one file or a folder of them, as a stream of files; without a number of files in about ``BATCHES`` micro-batches."""
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    files = files_per_trigger or -(-len(table.inputFiles()) // BATCHES) or 1
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}*.parquet")
 
 
 def drain(stream: DataFrame, mode: str, shape: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Run a stream over what has arrived; every micro-batch is one folder, so a repeated batch overwrites itself."""
+    """Run a stream over what has arrived; every micro-batch is one folder, so a repeated batch overwrites itself.
+
+    Where nothing has arrived, no micro-batch runs, and there are no rows.
+    """
     spark = stream.sparkSession
     folder = work_folder(spark, "stream")
 
@@ -32,6 +37,9 @@ def drain(stream: DataFrame, mode: str, shape: Callable[[DataFrame], DataFrame]
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True).foreachBatch(store).start())
     query.awaitTermination()
+    if query.lastProgress is None:
+        none = spark.createDataFrame([], stream.schema)
+        return (shape(none) if shape else none).withColumn("epoch", F.lit(None).cast("long"))
     return spark.read.parquet(f"{folder}/out/batch_*")
 
 
