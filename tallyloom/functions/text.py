@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 @cache
-def _accent_table() -> tuple[str, str]:
+def accent_table() -> tuple[str, str]:
     """Precomposed letters whose compatibility form is one ASCII letter plus marks."""
     source, target = [], []
     for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
@@ -23,7 +23,7 @@ def _accent_table() -> tuple[str, str]:
 
 
 def strip_accents(value: Column) -> Column:
-    source, target = _accent_table()
+    source, target = accent_table()
     return F.regexp_replace(F.translate(value, source, target), r"\p{M}", "")
 
 

@@ -25,6 +25,7 @@ from tallyloom.functions.stage import put
 from tallyloom.functions.text import parser_key
 from tallyloom.operators import extract
 from tallyloom.operators.lines import PAGE_MARK, is_skipped
+from tallyloom.session import cut_lineage
 
 NAME_LINES = 4  # lines a wrapped name may take, and status words
 LOOK_AHEAD = 5  # lines of a page in which its own first row has to begin
@@ -300,6 +301,11 @@ def career_start(parts: str) -> tuple[Column, Column, Column]:
 # ---- several layouts together
 
 
+def _written(sections: DataFrame, key: str, kind: str) -> DataFrame:
+    """The sections of a kind, found once for all layouts that read them."""
+    return cut_lineage(sections.filter(F.col("kind") == kind).select(key, "section_no", "kind", "lines", "keys"))
+
+
 def merge_by_name(found: list[DataFrame], keys: list[str], value: str) -> DataFrame:
     """One row per name from several extractions: the first of them in order, or the first that has ``value`` if it has not."""
     rows = None
@@ -315,11 +321,13 @@ def merge_by_name(found: list[DataFrame], keys: list[str], value: str) -> DataFr
 
 def internal_members(sections: DataFrame, key: str) -> DataFrame:
     """Internal members of both layouts, one row per name; ``layout`` 1 is the labelled one."""
+    sections = _written(sections, key, "integrantes_internos")
     return merge_by_name([labelled_internal(sections, key), extract.internal_members(sections, key)], [key, "section_no"], "career")
 
 
 def external_members(sections: DataFrame, key: str) -> DataFrame:
     """External members of both layouts, one row per name."""
+    sections = _written(sections, key, "integrantes_externos")
     return merge_by_name([labelled_external(sections, key), extract.external_members(sections, key)], [key, "section_no"], "institution")
 
 
@@ -329,11 +337,12 @@ def scientific_products(sections: DataFrame, key: str) -> DataFrame:
     Of equal titles the best candidate stays, the first on ties; discarded ones without authors and status go where a
     section has others.
     """
+    sections = _written(sections, key, "produccion_cientifica")
     shared = [key, "section_no", "title", "authors", "status", "impact", "link", "validation_status", "kpi_eligible", "quality", "quality_reason"]
     by = lambda df, at, rank: df.select(*shared, F.struct(F.lit(rank).alias("layout"), F.col(at).cast("int").alias("at")).alias("place"))
     marked = by(extract.label_products(sections, key), "product_no", 0).unionByName(by(stacked_products(sections, key), "product_no", 1))
     plain = by(extract.product_records(extract.product_blocks(sections, key)), "block_no", 2)
-    rows = marked.unionByName(plain)
+    rows = cut_lineage(marked.unionByName(plain))
     ranked = rows.join(rows.groupBy(key, "section_no").agg(F.min(F.col("place.layout")).alias("_least")), [key, "section_no"])
     rows = ranked.filter((F.col("place.layout") < 2) | (F.col("_least") == 2)).drop("_least")
     low = (F.col("validation_status") == "discarded_invalid") & (F.size("authors") == 0) & F.col("status").isNull()

@@ -7,6 +7,11 @@ is never cut short.
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +22,7 @@ from tallyloom.functions import wordlists as W
 from tallyloom.functions.stage import put
 from tallyloom.functions.fuzzy import set_ratio
 from tallyloom.functions.people import has_piece
-from tallyloom.functions.text import fix_mojibake, strip_accents
+from tallyloom.functions.text import accent_table, fix_mojibake
 from tallyloom.session import spread
 
 PAGE_MARK = r"(?i)^\[\[PAGE_BREAK(?::\d+)?\]\]$"
@@ -33,15 +38,48 @@ def clean_text(value: Column) -> Column:
 def split_lines(value: Column) -> Column:
     """Non-empty lines with single spaces; the text is cleaned as a whole before it is split."""
     marked = F.replace(clean_text(value), F.lit("\f"), F.lit("\n[[PAGE_BREAK]]\n"))
-    spaced = F.regexp_replace(marked, "[\\s\u00a0&&[^\n\r\u0085\u2028\u2029]]+", " ")
+    # a lone blank, which most matches would be, stays as it is
+    blank, other = "[ \\t\\x0b\\f\u00a0]", "[\\t\\x0b\\f\u00a0]"
+    spaced = F.regexp_replace(marked, f"{other}{blank}*| {blank}+", " ")
     return F.filter(F.transform(F.split(spaced, "\r\n|[\n\r\u0085\u2028\u2029]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+@cache
+def _key_letters() -> dict[int, str | None]:
+    """Accented letters to plain ones, marks to nothing, as ``strip_accents``."""
+    marks = dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)).startswith("M"))
+    return marks | str.maketrans(*accent_table())
+
+
+_NO_KEY = re.compile(r"[^A-Z0-9%./:\- \n]+[^A-Z0-9%./:\-\n]*| [^A-Z0-9%./:\-\n]+")
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def _keys_of(joined: pd.Series) -> pd.Series:
+    def keys(text: str) -> list[str]:
+        upper = text.upper()
+        plain = _NO_KEY.sub(" ", upper if upper.isascii() else upper.translate(_key_letters()))
+        return [line.strip(" ") for line in plain.split("\n")]
+
+    return joined.map(keys)
+
+
 def line_keys(lines: Column) -> Column:
     """``parser_key`` of every line, worked out over the joined lines at once."""
-    joined = strip_accents(F.upper(F.array_join(lines, "\n")))
-    plain = F.regexp_replace(joined, r"[^A-Z0-9%./:\-\n]+", " ")
-    return F.when(F.size(lines) > 0, F.transform(F.split(plain, "\n"), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(lines) > 0, _keys_of(F.array_join(lines, "\n"))).otherwise(F.array().cast("array<string>"))
+
+
+def lines_holding(keys: Column, pieces: tuple[str, ...]) -> Column:
+    """Positions of the keys that hold any of the pieces; all keys are looked through at once, those of texts with a piece one by one."""
+    @pandas_udf(T.ArrayType(T.IntegerType()))
+    def at(joined: pd.Series) -> pd.Series:
+        def found(text: str) -> list[int]:
+            held = [piece for piece in pieces if piece in text]
+            return [i for i, key in enumerate(text.split("\n")) if any(piece in key for piece in held)] if held else []
+
+        return joined.map(found)
+
+    return at(F.array_join(keys, "\n"))
 
 
 def with_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -122,8 +160,8 @@ def with_sections(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     df = with_lines(docs, text)
     long_aliases = tuple(a for _k, a in _alias_keys() if len(a) >= 12)
-    near = F.filter(
-        F.transform("keys", lambda k, i: F.struct(i.alias("at"), k.alias("key"))), lambda s: (F.length(s["key"]) >= 12) & has_piece(s["key"], long_aliases))
+    found = F.transform(lines_holding(F.col("keys"), long_aliases), lambda i: F.struct(i.alias("at"), F.get("keys", i).alias("key")))
+    near = F.filter(found, lambda s: F.length(s["key"]) >= 12)
     df = df.transform(put, "_near", near)
     numbered = F.transform("_near", lambda s: F.struct(s["at"].alias("at"), F.when(
         F.get("lines", s["at"]).rlike(r"^\d{1,2}\."), F.regexp_replace(s["key"], r"^\d{1,2}\.\s*", "")).otherwise(s["key"]).alias("key")))
@@ -132,7 +170,7 @@ def with_sections(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.transform(put, "_found", F.when(F.size("_spots") > 0, _headings(F.transform("_spots", lambda s: s["key"]))))
     starts = F.filter(F.transform("_spots", lambda s, i: F.struct(
         s["at"].alias("at"), F.get("_found", i)["kind"].alias("kind"), F.get("_found", i)["score"].alias("score"))), lambda s: s["score"] >= REVIEW)
-    ends = F.filter(F.transform("keys", lambda k, i: F.when(has_piece(k, W.NEGATIVE_MARKERS), i)), lambda i: i.isNotNull())
+    ends = lines_holding(F.col("keys"), W.NEGATIVE_MARKERS)
     df = df.transform(put, "_starts", starts).transform(put, "_ends", ends)
 
     def section(s: Column, i: Column) -> Column:
