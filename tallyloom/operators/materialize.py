@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import uuid5
+from tallyloom.functions.stage import put
 from tallyloom.functions.text import target_key
 from tallyloom.operators.decisions import first_owner
 from tallyloom.session import cut_lineage
@@ -42,13 +43,17 @@ def locked_rows(plan: DataFrame) -> DataFrame:
     ids follow from the keys, so the same plan gives the same rows in any order and on any number of tasks.
     """
     plan = plan.withColumn("_alias", target_key(F.col("alias")))
-    owners = lambda key, flag: first_owner(plan.filter(F.col(key).isNotNull()), [key], "target_key").select("target_key", F.lit(True).alias(flag))
+    owners = lambda key, flag: first_owner(plan.filter(F.col(key).isNotNull()).select(key, "target_key"), [key], "target_key").select("target_key", F.lit(True).alias(flag))
     plan = plan.join(owners("canonical_identity_key", "_makes_identity"), "target_key", "left").join(owners("_alias", "_makes_alias"), "target_key", "left")
     target = F.col("target_key")
-    decision = row_id("decision", target)
-    identity = row_id("canonical-identity", F.col("canonical_identity_key"))
-    alias = row_id("person-alias", F.col("_alias"))
-    override = lambda f: row_id("field-override", target, F.lit(f))
+    # ids stand in several rows each and are worked out once
+    ids = {
+        "_decision": row_id("decision", target), "_identity": row_id("canonical-identity", F.col("canonical_identity_key")),
+        "_alias_id": F.when(F.col("_makes_alias"), row_id("person-alias", F.col("_alias"))), **{f"_{f}": row_id("field-override", target, F.lit(f)) for f in FIELDS}}
+    for name, value in ids.items():
+        plan = plan.transform(put, name, value)
+    decision, identity, alias = F.col("_decision"), F.col("_identity"), F.col("_alias_id")
+    override = lambda f: F.col(f"_{f}")
 
     def row(table: str, own: Column, field: Column, value: Column) -> Column:
         return F.struct(F.lit(table).alias("table_name"), own.alias("row_id"), decision.alias("decision_id"), target.alias("target_key"), field.alias("field"), value.alias("value"))
