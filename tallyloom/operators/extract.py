@@ -483,17 +483,24 @@ def candidate_score() -> Column:
 
 
 def text_counts(docs: DataFrame, text: str) -> DataFrame:
-    """Counts named in the text (a number before a keyword, capped), its cycle and its year label."""
+    """Counts named in the text (a number before a keyword, capped), its cycle and its year label.
+
+    Digits inside a longer number or code, as of a card, are no year label.
+    """
     df = docs.transform(put, "_k", upper_key(F.col(text)))
 
     def before(words: tuple[str, ...], most: int) -> Column:
-        found = F.coalesce(*[digits(F.col("_k"), rf"(\d+)\s+{w}").cast("bigint") for w in words], F.lit(0))
+        numbers = [digits(F.col("_k"), rf"(\d+)\s+{w}") for w in words]
+        # a number too long for a bigint is above any cap
+        found = F.coalesce(*[F.when(n.isNotNull(), F.coalesce(n.try_cast("bigint"), F.lit(most))) for n in numbers], F.lit(0))
         return F.least(found, F.lit(most)).cast("int")
 
+    def year_label(a: int, b: int) -> str:
+        return rf"(?i)(?<!\d)20{a}\s*[-/]\s*20{b}(?!\d)|CI\s*{a}\s*{b}(?!\d)|C[I1]\s*{a}{b}(?!\d)|(?<![\p{{L}}\d])\p{{L}}*{a}{b}(?![\p{{L}}\d])"
+
     chapters = before(("CAPITULOS", "CAPITULO"), 3)
     cycle = digits(F.col("_k"), r"CICLO\s+(I{1,2}|1|2|\|)")
-    now = r"(?i)2025\s*[-/]\s*2026|CI\s*25\s*26|C[I1]\s*2526|2526"
-    past = r"(?i)2024\s*[-/]\s*2025|CI\s*24\s*25|2425"
+    now, past = year_label(25, 26), year_label(24, 25)
     return df.select(
         *docs.columns, before(("ARTICULOS", "ARTICULO"), 5).alias("articles"), before(("LIBROS", "LIBRO"), 3).alias("books"),
         F.when(chapters > 0, chapters).when(has_piece(F.col("_k"), ("CAP DE LIBROS", "CAPITULO DE LIBRO")), 1).otherwise(0).alias("book_chapters"),

@@ -165,3 +165,13 @@ def test_text_counts_read_the_text(spark, tmp_path):
     spark.createDataFrame([(10, "con 2 ponencias y 3 capitulos", "es", "s", 29), (9, "nada", "es", "s", 4)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: (r["presentations"], r["book_chapters"]) for r in entry.queries()["t18_text_counts"](spark, str(tmp_path)).collect()}
     assert got == {10: (2, 3), 9: (0, 1)}
+
+
+def test_year_label_is_no_part_of_a_longer_number(spark):
+    from tallyloom.operators import extract
+
+    rows = [("2024 - 2025 tarjeta 9807252615804490", "2024-2025"), ("2024/2025 a92526bc", "2024-2025"), ("2024 - 2025 y CI2526", "2025-2026"), ("2425, pago 2526", "2025-2026"),
+            ("SEMESTRE2425", "2024-2025"), ("CI 24 25", "2024-2025"), ("524256", "2025-2026"), (f"2425 con {'9' * 30} libros", "2024-2025")]
+    got = extract.text_counts(spark.createDataFrame(rows, "text string, want string"), "text").collect()
+    assert [r["year_label"] for r in got] == [r["want"] for r in got]
+    assert got[-1]["books"] == 3
