@@ -55,6 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back, so that Spark plans by their true size."""
+    spark = df.sparkSession
+    folder = work_folder(spark, name)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core when the input has fewer splits than that; a large input is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -22,3 +22,27 @@ def test_author_strings_of_the_same_tokens(spark):
     assert [(r["id"], r["split_by"], r["author"]) for r in got] == [
         *[(i, "known_names", a) for i in (1, 2, 3) for a in ("Ana Ruiz Vera", "Luis Paz Mora")],
         (4, "delimiter", "Ana Ruiz Vera"), (4, "delimiter", "Luis Paz"), (5, "single", "Ana Ruiz Vera"), (6, "single", None)]
+
+
+def test_only_relations_in_which_names_meet_get_points(spark):
+    from tallyloom.operators import identity
+
+    schema = "entry string, name string, relations array<string>"
+    roles = spark.createDataFrame([("r1", "Ana Ruiz", ["p1", "j1"]), ("r2", "Rosa", ["p2"]), ("r3", "Luis Vera Paz", ["p3"]), ("r4", None, ["p4"]), ("r5", "Ana Ruiz", ["p5"])], schema)
+    authors = spark.createDataFrame([("a1", "RUIZ, Ana María", ["p1"]), ("a2", "Rosa Mena", ["p2"]), ("a3", "Vera Luis", ["p3"]), ("a4", None, ["p4"]), ("a5", "Ana Vera", ["p5"])], schema)
+    meeting = identity._meeting_relations(roles, authors).collect()
+    of = {r["h"]: r["p"] for r in spark.sql("SELECT xxhash64(p) AS h, p FROM VALUES ('p1'), ('p2'), ('p3'), ('p4'), ('p5'), ('j1') AS t(p)").collect()}
+    assert {of[r["_r"]] for r in meeting} == {"p1", "p3"}
+    labels = {tuple(r) for r in identity.evidence_labels(roles, authors).collect()}
+    assert labels == {("r1", "a1"), ("a1", "a1"), ("r3", "a3"), ("a3", "a3")}
+
+
+def test_rows_alone_in_their_component_are_left_out(spark):
+    from tallyloom.operators import identity
+
+    rows = spark.createDataFrame([("a", "k1", True, 1), ("b", "k2", True, 1), ("c", "k3", False, 2), ("d", "pending:1", False, 3), ("d", "pending:2", False, 3), ("e", "k4", True, 4)],
+                                 "entry string, key string, locked boolean, document int")
+    labels = spark.createDataFrame([("a", "a"), ("b", "a")], "entry string, component string")
+    kept = identity.component_rows(rows, labels)
+    assert sorted((r["entry"], r["component"]) for r in kept.collect()) == [("a", "a"), ("b", "a"), ("d", "d"), ("d", "d")]
+    assert {tuple(r) for r in identity.component_errors(kept).select("component", "error").collect()} == {("a", "conflicting_locks"), ("d", "differing_pending")}
