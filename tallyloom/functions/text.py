@@ -28,7 +28,8 @@ def strip_accents(value: Column) -> Column:
 
 
 def collapse(value: Column) -> Column:
-    return F.trim(F.regexp_replace(value, r"[\s ]+", " "))
+    # single blanks, the usual case, are no match and need no replacing
+    return F.trim(F.regexp_replace(value, r"[\s ]{2,}|[\t\n\x0B\f\r ]", " "))
 
 
 def upper_key(value: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +25,26 @@ def _hits(tokens: Column, words: tuple[str, ...]) -> Column:
     return F.size(F.filter(tokens, lambda t: t.isin(*words)))
 
 
-def _quality(text: Column, key: Column, tokens: Column) -> Column:
+def _holds(key: Column, pieces: tuple[str, ...]) -> Column:
+    """``has_piece`` for a few pieces, which are sought faster one by one."""
+    return reduce(or_, [key.contains(piece) for piece in pieces])
+
+
+def _identifier(text: Column, key: Column) -> Column:
+    return (
+        key.contains("/") | _holds(key, W.IDENTIFIER_WORDS) | (text.rlike(r"\.|/") & key.rlike(r"\b[A-Z]*\d[A-Z0-9]*\b"))
+        | (key.contains(".") & key.rlike(r"\.[A-Z]{1,3}\s+[A-Z]{1,3}\b"))
+    )
+
+
+def _quality(text: Column, key: Column, tokens: Column, identifier: Column) -> Column:
+    """Cheap conditions stand before dear ones, which few titles then reach."""
     n = F.size(tokens)
     last = F.element_at(tokens, -1)
-    roles = (_hits(tokens, W.TITLE_ROLE_WORDS) > 0) & (n <= 6) | key.isin(*W.TITLE_ROLE_ROWS)
+    roles = (n <= 6) & (_hits(tokens, W.TITLE_ROLE_WORDS) > 0) | key.isin(*W.TITLE_ROLE_ROWS)
     unfinished = key.contains("LIBRO") & has_piece(key, ("NO HA SIDO FINALIZADO", "PLANIFICADO"))
-    identifier = (
-        key.contains("/") | has_piece(key, W.IDENTIFIER_WORDS) | (key.rlike(r"\b[A-Z]*\d[A-Z0-9]*\b") & text.rlike(r"\.|/"))
-        | key.rlike(r"\.[A-Z]{1,3}\s+[A-Z]{1,3}\b")
-    )
     embedded = _hits(tokens, W.TITLE_TERMS) >= 2
-    noise = key.isin(*W.TITLE_FIELD_WORDS) | has_piece(key, W.TITLE_NOISE)
+    noise = key.isin(*W.TITLE_FIELD_WORDS) | _holds(key, W.TITLE_NOISE)
     glued = (n >= 10) & (_hits(F.slice(tokens, F.greatest(F.lit(1), n - 11), F.lit(12)), W.GLUED_NAMES) >= 3)
     cut = last.isin(*W.CUT_LAST_WORDS) | last.isin(*W.CUT_PIECES) | ((n <= 3) & (_hits(tokens, W.CUT_PIECES) > 0))
     rule = lambda quality, name: F.struct(F.lit(quality).alias("quality"), F.lit(W.TITLE_REASONS[name]).alias("reason"))
@@ -55,8 +67,9 @@ def with_title_quality(df: DataFrame, title: str, quality: str = "quality", reas
     """Adds quality (valid, truncated, invalid) and the reason of the first rule that decides."""
     staged = df.transform(put, "_text", clean_name(F.col(title))).transform(put, "_key", upper_key(F.col("_text"))).transform(put, 
         "_tokens", F.split("_key", " "))
-    judged = staged.transform(put, "_q", _quality(F.col("_text"), F.col("_key"), F.col("_tokens")))
-    return judged.transform(put, quality, F.col("_q.quality")).transform(put, reason, F.col("_q.reason")).drop("_text", "_key", "_tokens", "_q")
+    staged = staged.transform(put, "_ident", _identifier(F.col("_text"), F.col("_key")))
+    judged = staged.transform(put, "_q", _quality(F.col("_text"), F.col("_key"), F.col("_tokens"), F.col("_ident")))
+    return judged.drop(quality, reason).withColumns({quality: F.col("_q.quality"), reason: F.col("_q.reason")}).drop("_text", "_key", "_tokens", "_ident", "_q")
 
 
 def _trim_marks(value: Column) -> Column:
@@ -82,24 +95,25 @@ def _first_tail(key: Column) -> Column:
 
     Only the first place of each marker counts, wherever it is.
     """
-    places = F.array(*[F.instr(key, marker) - 1 for marker in W.TITLE_TAILS])
-    return F.array_min(F.filter(places, lambda p: p >= 18))
+    places = [F.instr(key, marker) - 1 for marker in W.TITLE_TAILS]
+    return F.least(*[F.when(p >= 18, p) for p in places])
 
 
 def with_clean_title(df: DataFrame, title: str, authors: str | None = None, name: str = "clean_title") -> DataFrame:
     """Cut a title at a status marker, at its first author, and at a probable author tail."""
-    staged = df.transform(put, "_t", clean_name(F.col(title)))
-    staged = staged.transform(put, "_i", _first_tail(upper_key(F.col("_t"))))
+    staged = df.transform(put, "_t", clean_name(F.col(title))).transform(put, "_k", upper_key(F.col("_t")))
+    staged = staged.transform(put, "_i", _first_tail(F.col("_k")))
     staged = staged.transform(put, "_t", F.when(F.col("_i").isNull(), F.col("_t")).otherwise(cut_at_key_index(F.col("_t"), F.col("_i"))))
     if authors is not None:
-        staged = staged.transform(put, "_k", upper_key(F.col("_t")))
+        staged = staged.transform(put, "_k", F.when(F.col("_i").isNull(), F.col("_k")).otherwise(upper_key(F.col("_t"))))
         keys = F.filter(
             F.transform(F.coalesce(F.col(authors), F.array().cast("array<string>")), lambda a: upper_key(clean_name(a))), lambda k: k != "")
         places = F.transform(keys, lambda k: F.position(k, F.col("_k")) - 1)
         staged = staged.transform(put, "_i", F.get(F.filter(places, lambda p: p > 0), F.lit(0)))
-        staged = staged.transform(put, "_t", F.when(F.col("_i").isNull(), F.col("_t")).otherwise(cut_at_key_index(F.col("_t"), F.col("_i")))).drop("_k")
-    staged = staged.transform(put, "_t", _without_sentence_tail(F.col("_t")))
-    return _without_token_tail(staged, name).drop("_t", "_i")
+        staged = staged.transform(put, "_t", F.when(F.col("_i").isNull(), F.col("_t")).otherwise(cut_at_key_index(F.col("_t"), F.col("_i"))))
+    # a title of one sentence has no sentence tail
+    staged = staged.transform(put, "_t", F.when(F.col("_t").rlike(r"\.\s"), _without_sentence_tail(F.col("_t"))).otherwise(F.col("_t")))
+    return _without_token_tail(staged, name).drop("_t", "_i", "_k")
 
 
 def _without_sentence_tail(text: Column) -> Column:
@@ -113,7 +127,7 @@ def _without_sentence_tail(text: Column) -> Column:
 
 def _without_token_tail(df: DataFrame, name: str) -> DataFrame:
     staged = df.transform(put, "_words", F.split("_t", " ")).transform(put, 
-        "_plain", F.transform("_words", lambda w: F.regexp_replace(upper_key(w), r"^[.,;:]+|[.,;:]+$", "")))
+        "_plain", F.when(F.size("_words") >= 12, F.transform("_words", lambda w: F.regexp_replace(upper_key(w), r"^[.,;:]+|[.,;:]+$", ""))))
     n = F.size("_words")
     # a tail from index i counts when three common names are left at i or later
     cuts = F.filter(
@@ -127,7 +141,7 @@ def _without_token_tail(df: DataFrame, name: str) -> DataFrame:
 def product_key(kind: Column, *identity: Column) -> Column:
     """Type and the first of doi, link, title that is set; empty when none is."""
     ident = upper_key(F.coalesce(*[F.nullif(c, F.lit("")) for c in identity]))
-    return F.when(ident == "", "").otherwise(F.concat(upper_key(F.coalesce(F.nullif(kind, F.lit("")), F.lit("UNCLASSIFIED"))), F.lit("|"), ident))
+    return F.coalesce(F.concat(upper_key(F.coalesce(F.nullif(kind, F.lit("")), F.lit("UNCLASSIFIED"))), F.lit("|"), F.nullif(ident, F.lit(""))), F.lit(""))
 
 
 def join_wrapped(parts: Column) -> Column:

@@ -46,3 +46,21 @@ def test_rows_alone_in_their_component_are_left_out(spark):
     kept = identity.component_rows(rows, labels)
     assert sorted((r["entry"], r["component"]) for r in kept.collect()) == [("a", "a"), ("b", "a"), ("d", "d"), ("d", "d")]
     assert {tuple(r) for r in identity.component_errors(kept).select("component", "error").collect()} == {("a", "conflicting_locks"), ("d", "differing_pending")}
+
+
+def test_short_titles_of_one_sentence_skip_the_tail_searches(spark):
+    import __spark_entry__ as entry
+
+    text = plan(entry.queries()["t22_product_reconciliation"](spark, SMALL))
+    assert "array_min(" not in text  # first places of markers are compared as columns, not as an array
+    assert "12) THEN transform(_words" in text
+
+
+def test_product_key_without_identity_is_empty(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.functions import titles
+
+    rows = spark.createDataFrame([("article", " ", "Ángel  uno"), (None, "", "x"), ("BOOK", None, None), ("BOOK", " \t", "")], "k string, a string, b string")
+    got = [r[0] for r in rows.select(titles.product_key(F.col("k"), F.col("a"), F.col("b"))).collect()]
+    assert got == ["", "UNCLASSIFIED|X", "", ""]
