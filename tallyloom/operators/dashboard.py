@@ -9,7 +9,7 @@ from tallyloom.functions.numbers import percent
 from tallyloom.functions.text import upper_key
 from tallyloom.operators import kpis, matching, participants
 from tallyloom.operators.scope import VALIDATED, is_discarded
-from tallyloom.session import cut_lineage
+from tallyloom.session import cut_lineage, written
 
 KEYS = ["period_id", "scope_id"]
 ROLE_MEASURES = ["total_teachers", "internal_fca_count", "internal_other_faculty_count"]
@@ -58,20 +58,29 @@ def progress_counts(progress: DataFrame, traces: DataFrame, current: DataFrame,
     ).join(periods, ["yr", "cycle"]).select("period_id", *REPORT_MEASURES)
 
 
-def mention_scopes(mentions: DataFrame, productions: DataFrame, teachers: DataFrame, careers: DataFrame, entities: DataFrame) -> DataFrame:
-    """Mentions repeated for the total and for each career they fall in."""
-    places = participants.career_links(mentions.filter("source_table = 'person_roles'"), careers).groupBy("affiliation").agg(
+# Columns of mentions that the dashboard reads.
+MENTION_COLUMNS = ["period_id", "source_table", "source_id", "source_key", "overlay_key", "overlay_scope", "person_type", "status", "document", "production_id"]
+
+
+def mention_scopes(roles: DataFrame, authors: DataFrame, productions: DataFrame, teachers: DataFrame, careers: DataFrame, entities: DataFrame) -> DataFrame:
+    """Mentions of roles and of authors repeated for the total and for each career they fall in.
+
+    The careers of products are joined to the authors by the key that joined these to their products, so their rows are
+    shuffled once; only columns that are read go on.
+    """
+    places = written(participants.career_links(roles, careers), "places").groupBy("affiliation").agg(
         F.collect_set("career_id").alias("_place_careers")
     )
     product = production_career_scopes(productions, teachers, careers, entities).groupBy("production_id").agg(
         F.collect_set("career_id").alias("_product_careers")
     )
-    joined = mentions.join(places, "affiliation", "left").join(product, "production_id", "left")
     none = F.array().cast("array<bigint>")
     role_ids = F.when(F.col("teacher_career").isNotNull(), F.array("teacher_career")).otherwise(F.coalesce("_place_careers", none))
-    ids = F.when(F.col("source_table") == "person_roles", role_ids).otherwise(F.coalesce("_product_careers", none))
-    all_ids = F.array_distinct(F.concat(F.array(F.lit(kpis.TOTAL).cast("long")), ids))
-    return joined.withColumn("scope_id", F.explode(all_ids)).drop("_place_careers", "_product_careers")
+    total = F.array(F.lit(kpis.TOTAL).cast("long"))
+    at = lambda df, ids: df.select(*MENTION_COLUMNS, F.explode(F.array_distinct(F.concat(total, ids))).alias("scope_id"))
+    of_roles = at(roles.join(places, "affiliation", "left"), role_ids)
+    of_authors = at(authors.join(product, "production_id", "left"), F.coalesce("_product_careers", none))
+    return of_roles.unionByName(of_authors)
 
 
 def production_career_scopes(productions: DataFrame, teachers: DataFrame, careers: DataFrame, entities: DataFrame) -> DataFrame:
@@ -136,11 +145,12 @@ def matrix(facts, period_ids: list[int] | None = None) -> DataFrame:
         "detected": "research_entities_detected", "eligible": "research_entities_kpi_eligible",
         "pending": "research_entities_pending_review", "excluded": "research_entities_excluded"})
 
+    authors = participants.author_mentions(t.authors, cut(facts.productions), facts.evidence)
     mentions = cut_lineage(
-        mention_scopes(cut(facts.mentions), cut(facts.productions), t.teachers, t.careers, t.entities)
+        mention_scopes(cut(facts.role_mentions), authors, cut(facts.productions), t.teachers, t.careers, t.entities)
     )
-    resolved = participants.resolve_keys(mentions, KEYS)
-    metrics = participants.participant_metrics(participants.canonical_participants(resolved, KEYS), KEYS)
+    resolved = participants.with_keys(mentions, written(participants.redirect_keys(mentions, KEYS), "redirects"), KEYS)
+    metrics = participants.participant_metrics(participants.identity_counts(resolved, KEYS), KEYS)
     metrics = kpis.renamed(metrics, dict(zip(
         ["canonical_identities", "participations", "roles", "authorships", "pending", "external_detected",
          "external_kpi_eligible", "external_pending"], PEOPLE_MEASURES)))

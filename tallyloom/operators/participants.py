@@ -87,22 +87,30 @@ def role_mentions(
     )
 
 
-def author_mentions(
-    authors: DataFrame, productions: DataFrame, evidence: DataFrame, teachers: DataFrame, careers: DataFrame,
-    externals: DataFrame,
-) -> DataFrame:
-    """Authors of operational productions as mentions."""
+def products_of(productions: DataFrame, evidence: DataFrame) -> DataFrame:
+    return productions.select(
+        "production_id", "period_id", F.col("entity_id").alias("_entity"), F.col("created_at").alias("_made")
+    ).join(evidence, "production_id", "left")
+
+
+def _with_homes(rows: DataFrame, teachers: DataFrame, careers: DataFrame, externals: DataFrame) -> DataFrame:
     people = teachers.join(careers.select("career_id", F.col("name").alias("_career")), "career_id").select(
         "teacher_id", "_career"
     )
     homes = externals.select("external_id", F.col("institution").alias("_institution"))
-    products = productions.select(
-        "production_id", "period_id", F.col("entity_id").alias("_entity"), F.col("created_at").alias("_made")
-    ).join(evidence, "production_id", "left")
-    joined = (
-        authors.drop("entity_id", "created_at", "job_id").join(products, "production_id")
-        .join(people, "teacher_id", "left").join(homes, "external_id", "left")
-    )
+    return rows.join(people, "teacher_id", "left").join(homes, "external_id", "left")
+
+
+def author_mentions(
+    authors: DataFrame, productions: DataFrame, evidence: DataFrame, teachers: DataFrame | None = None, careers: DataFrame | None = None,
+    externals: DataFrame | None = None,
+) -> DataFrame:
+    """Authors of operational productions as mentions; without the tables of people their affiliation stays empty."""
+    joined = authors.drop("entity_id", "created_at", "job_id").join(products_of(productions, evidence), "production_id")
+    if teachers is None:
+        joined = joined.select("*", F.lit(None).cast("string").alias("_career"), F.lit(None).cast("string").alias("_institution"))
+    else:
+        joined = _with_homes(joined, teachers, careers, externals)
     return joined.select(
         "period_id", F.lit("scientific_production_authors").alias("source_table"), F.col("author_id").alias("source_id"),
         own_key(F.col("canonical_key"), F.lit(None).cast("string"), F.col("author_id")).alias("source_key"),
@@ -135,6 +143,17 @@ def redirects(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def redirect_keys(mentions: DataFrame, by: list[str]) -> DataFrame:
+    """``redirects`` without the name."""
+    return redirects(mentions.withColumns({"overlay_name": F.lit(None).cast("string"), "read_order": F.lit(0)}), by).drop("redirect_name")
+
+
+def with_keys(mentions: DataFrame, moves: DataFrame, by: list[str]) -> DataFrame:
+    """Adds the identity ``key`` alone; drops discarded mentions."""
+    moved = mentions.filter(~is_discarded(F.col("status"))).join(moves, [*by, "source_key"], "left")
+    return moved.withColumn("key", F.coalesce("overlay_key", "redirect_key", "source_key"))
+
+
 def resolve_keys(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Adds the identity ``key``, its ``name`` and ``by_review``; drops discarded mentions."""
     moved = mentions.join(redirects(mentions, by), [*(by or []), "source_key"], "left")
@@ -167,6 +186,35 @@ def with_last_review(resolved: DataFrame, keys: list[str]) -> DataFrame:
     return resolved.alias("m").join(last.alias("l"), on, "left").select("m.*", "l._last")
 
 
+def _type_rank() -> Column:
+    return F.coalesce(*[F.when(F.col("person_type") == p, i) for i, p in enumerate(PERSON_TYPES)], F.lit(9))
+
+
+def _standing() -> list[Column]:
+    eligible = F.col("_any_valid") & ~F.col("key").startswith("pending:")
+    return [eligible.alias("kpi_eligible"), F.when(eligible, "validated").otherwise("pending_review").alias("overall_status")]
+
+
+def identity_counts(resolved: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """What ``participant_metrics`` reads of ``canonical_participants``: no names, no join of reviews, other person types null.
+
+    Documents, roles and productions are distinct rows of one long list, and only numbers are aggregated, so nothing is sorted.
+    """
+    keys = [*(by or []), "key"]
+    values = (F.col("document"), F.when(F.col("source_table") == "person_roles", F.col("source_id")), F.col("production_id"))
+    held = F.array(*[F.struct(F.lit(i).alias("kind"), v.cast("string").alias("value")) for i, v in enumerate(values)])
+    rows = resolved.select(*keys, _type_rank().alias("_rank"), (F.col("status") == VALIDATED).alias("_valid"), F.explode(held).alias("m"))
+    rows = rows.select(*keys, "_rank", "_valid", "m.kind", "m.value").filter("kind = 0 OR value IS NOT NULL")
+    single = rows.groupBy(*keys, "kind", "value").agg(F.min("_rank").alias("_rank"), F.bool_or("_valid").alias("_valid"))
+    count = lambda kind: F.count_if((F.col("kind") == kind) & F.col("value").isNotNull())
+    grouped = single.groupBy(*keys).agg(
+        count(0).alias("participation_count"), count(1).alias("role_count"), count(2).alias("authorship_count"),
+        F.min("_rank").alias("_rank"), F.bool_or("_valid").alias("_any_valid"))
+    kind = F.get(F.array(*[F.lit(p) for p in PERSON_TYPES]), F.col("_rank"))
+    return grouped.select(
+        *(by or []), F.col("key").alias("canonical_identity_key"), kind.alias("person_type"), "participation_count", "role_count", "authorship_count", *_standing())
+
+
 def canonical_participants(resolved: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One row per identity (and per ``by`` columns) with counts, type, status and eligibility.
 
@@ -176,7 +224,6 @@ def canonical_participants(resolved: DataFrame, by: list[str] | None = None) ->
     """
     by = list(by or [])
     keys = [*by, "key"]
-    type_rank = F.coalesce(*[F.when(F.col("person_type") == p, i) for i, p in enumerate(PERSON_TYPES)], F.lit(9))
     row = F.struct("name", "by_review", "locked", "confidence")
     considered = F.col("_last").isNull() | (F.col("read_order") >= F.col("_last"))
     grouped = with_last_review(resolved, keys).groupBy(*keys).agg(
@@ -186,18 +233,16 @@ def canonical_participants(resolved: DataFrame, by: list[str] | None = None) ->
         F.count_distinct("production_id").alias("authorship_count"),
         F.count_distinct("entity_id").alias("entity_count"),
         F.count(F.lit(1)).alias("evidence_count"),
-        F.min(F.struct(type_rank.alias("rank"), "person_type"))["person_type"].alias("person_type"),
+        F.min(F.struct(_type_rank().alias("rank"), "person_type"))["person_type"].alias("person_type"),
         F.bool_or(F.col("status") == VALIDATED).alias("_any_valid"),
         F.max_by(row, F.when(considered, _rank())).alias("p"),
     )
-    eligible = F.col("_any_valid") & ~F.col("key").startswith("pending:")
     return grouped.select(
         *by, F.col("key").alias("canonical_identity_key"), F.col("p.name").alias("canonical_name"),
         F.when(F.col("p.by_review"), "human_review").otherwise("legacy_fallback").alias("identity_source"),
         (F.col("p.by_review") | F.coalesce("p.locked", F.lit(False))).alias("identity_locked"),
         F.col("p.confidence").alias("identity_confidence"), "person_type", "participation_count", "role_count",
-        "role_type_count", "authorship_count", "entity_count", "evidence_count", eligible.alias("kpi_eligible"),
-        F.when(eligible, "validated").otherwise("pending_review").alias("overall_status"),
+        "role_type_count", "authorship_count", "entity_count", "evidence_count", *_standing(),
     )
 
 

@@ -56,16 +56,20 @@ class Facts:
         return participants.evidence_jobs(self.productions, self.current, self.t.audits)
 
     @cached_property
-    def mentions(self) -> DataFrame:
+    def role_mentions(self) -> DataFrame:
         t = self.t
-        roles = participants.role_mentions(
+        return participants.role_mentions(
             scope.keep_current(t.roles, self.current), t.teachers, t.careers, t.externals, t.decisions
         )
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        t = self.t
         authors = participants.author_mentions(
             t.authors, self.productions, self.evidence, t.teachers, t.careers, t.externals
         )
         # the hub of all participant reads: written once, read several times
-        return cut_lineage(roles.unionByName(authors))
+        return cut_lineage(self.role_mentions.unionByName(authors))
 
     @cached_property
     def resolved(self) -> DataFrame:

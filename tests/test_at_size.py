@@ -64,3 +64,20 @@ def test_product_key_without_identity_is_empty(spark):
     rows = spark.createDataFrame([("article", " ", "Ángel  uno"), (None, "", "x"), ("BOOK", None, None), ("BOOK", " \t", "")], "k string, a string, b string")
     got = [r[0] for r in rows.select(titles.product_key(F.col("k"), F.col("a"), F.col("b"))).collect()]
     assert got == ["", "UNCLASSIFIED|X", "", ""]
+
+
+def test_identity_counts_equal_the_full_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import participants
+
+    pick = __import__("random").Random(3)
+    rows = [(pick.choice("ab"), pick.choice(["k1", "pending:2", "k3"]), pick.choice(["person_roles", "x"]), str(pick.randrange(4)), pick.choice(["d1", "d2", None]), pick.choice([None, 1, 2]),
+             pick.choice([*participants.PERSON_TYPES[:3]]), pick.choice(["validated", "pending_review"]), "r", pick.choice([None, 5]), "n", False, None, 0.1, i) for i in range(60)]
+    schema = ("scope_id string, key string, source_table string, source_id string, document string, production_id long, person_type string, status string, role_type string, entity_id long, "
+              "name string, by_review boolean, locked boolean, confidence double, id_rank long")
+    df = spark.createDataFrame(rows, schema).withColumn("read_order", F.struct(F.lit(0).alias("part"), F.lit(0).alias("age"), F.col("id_rank").alias("num"), F.lit(0).alias("ord"), F.lit("").alias("txt")))
+    counts = participants.identity_counts(df, ["scope_id"])
+    full = participants.canonical_participants(df, ["scope_id"]).select(*counts.columns)
+    assert counts.exceptAll(full).count() == 0 and full.exceptAll(counts).count() == 0
+    assert "SortAggregate" not in plan(counts)
